@@ -38,11 +38,11 @@ FLAG_NAMES = {
 
 @dataclass(frozen=True)
 class Verdict:
-    """One constraint as columns.  ``status`` is NULL where the constraint is not stated."""
+    """One constraint as columns.  ``status`` is NULL where it is not stated; ``detail`` is only built on demand."""
 
     field: str
     status: Column
-    detail: Column
+    detail: Callable[[], Column]
     flagged: Column
 
     def struct(self) -> Column:
@@ -50,7 +50,7 @@ class Verdict:
         whole = F.struct(
             F.lit(self.field).alias("field"),
             self.status.alias("status"),
-            self.detail.alias("detail"),
+            self.detail().alias("detail"),
             F.coalesce(shaky, F.lit(False)).alias("low_confidence"),
         )
         return F.when(self.status.isNotNull(), whole)
@@ -97,8 +97,11 @@ def verdict_enum(field: str, label: str, value: Column, allowed: Column, inconcl
         F.size(wanted) > 0,
         F.when(value.isNull(), UNKNOWN).when(hit, PASS).when(unresolved, UNKNOWN).otherwise(FAIL),
     )
-    asked = F.concat(F.lit(f"{label} "), F.array_join(wanted, " or "))
-    return Verdict(field, status, _detail(asked, value, label), _flag(flagged))
+
+    def detail() -> Column:
+        return _detail(F.concat(F.lit(f"{label} "), F.array_join(wanted, " or ")), value, label)
+
+    return Verdict(field, status, detail, _flag(flagged))
 
 
 def verdict_scalar(field: str, label: str, unit: str, value: Column, want: Column,
@@ -110,8 +113,11 @@ def verdict_scalar(field: str, label: str, unit: str, value: Column, want: Colum
         .when((value < want["min"]) | (value > want["max"]), FAIL)
         .otherwise(PASS),
     )
-    asked = F.concat(F.lit(f"{label} "), _span(want["min"], want["max"], unit))
-    return Verdict(field, status, _detail(asked, _span(value, value, unit), label), _flag(flagged))
+
+    def detail() -> Column:
+        return _detail(F.concat(F.lit(f"{label} "), _span(want["min"], want["max"], unit)), _span(value, value, unit), label)
+
+    return Verdict(field, status, detail, _flag(flagged))
 
 
 def verdict_window_cover(field: str, label: str, unit: str, low: Column, high: Column, want: Column,
@@ -129,8 +135,11 @@ def verdict_window_cover(field: str, label: str, unit: str, low: Column, high: C
         .when(high.isNull(), UNKNOWN)
         .otherwise(PASS),
     )
-    asked = F.concat(F.lit(f"{label} at "), _span(near, far, unit))
-    return Verdict(field, status, _detail(asked, _span(low, high, unit), label), _flag(flagged))
+
+    def detail() -> Column:
+        return _detail(F.concat(F.lit(f"{label} at "), _span(near, far, unit)), _span(low, high, unit), label)
+
+    return Verdict(field, status, detail, _flag(flagged))
 
 
 def verdict_contains(field: str, label: str, unit: str, low: Column, high: Column, want: Column,
@@ -145,8 +154,11 @@ def verdict_contains(field: str, label: str, unit: str, low: Column, high: Colum
         .when(open_side, UNKNOWN)
         .otherwise(PASS),
     )
-    asked = F.concat(F.lit(f"{label} "), _span(want["min"], want["max"], unit))
-    return Verdict(field, status, _detail(asked, _span(low, high, unit), label), _flag(flagged))
+
+    def detail() -> Column:
+        return _detail(F.concat(F.lit(f"{label} "), _span(want["min"], want["max"], unit)), _span(low, high, unit), label)
+
+    return Verdict(field, status, detail, _flag(flagged))
 
 
 def verdict_within(field: str, label: str, unit: str, low: Column, high: Column, want: Column,
@@ -160,30 +172,33 @@ def verdict_within(field: str, label: str, unit: str, low: Column, high: Column,
         .when(low.isNull() | high.isNull(), UNKNOWN)
         .otherwise(PASS),
     )
-    asked = F.concat(F.lit(f"{label} "), _span(near, far, unit))
-    return Verdict(field, status, _detail(asked, _span(low, high, unit), label), _flag(flagged))
 
+    def detail() -> Column:
+        return _detail(F.concat(F.lit(f"{label} "), _span(near, far, unit)), _span(low, high, unit), label)
+
+    return Verdict(field, status, detail, _flag(flagged))
 
-def _simple(field: str, label: str, want: Column, value: Column, ok: Column, asked: Column, found: Column,
-            flagged: Column | None) -> Verdict:
+
+def _simple(field: str, label: str, want: Column, value: Column, ok: Column, asked: Callable[[], Column],
+            found: Callable[[], Column], flagged: Column | None) -> Verdict:
     status = F.when(want.isNotNull(), F.when(value.isNull(), UNKNOWN).when(ok, PASS).otherwise(FAIL))
-    return Verdict(field, status, _detail(asked, found, label), _flag(flagged))
+    return Verdict(field, status, lambda: _detail(asked(), found(), label), _flag(flagged))
 
 
 def verdict_min(field: str, label: str, value: Column, want: Column, flagged: Column | None = None) -> Verdict:
-    asked = F.concat(F.lit(f"{label} of at least "), number_text(want))
-    return _simple(field, label, want, value, value >= want, asked, number_text(value), flagged)
+    asked = lambda: F.concat(F.lit(f"{label} of at least "), number_text(want))
+    return _simple(field, label, want, value, value >= want, asked, lambda: number_text(value), flagged)
 
 
 def verdict_exact(field: str, label: str, value: Column, want: Column, flagged: Column | None = None) -> Verdict:
-    asked = F.concat(F.lit(f"{label} of exactly "), number_text(want))
-    return _simple(field, label, want, value, value == want, asked, number_text(value), flagged)
+    asked = lambda: F.concat(F.lit(f"{label} of exactly "), number_text(want))
+    return _simple(field, label, want, value, value == want, asked, lambda: number_text(value), flagged)
 
 
 def verdict_flag(field: str, label: str, value: Column, want: Column, flagged: Column | None = None) -> Verdict:
     word = lambda c: F.when(c, label).otherwise(f"no {label}")
-    return _simple(field, label, want, value, value == want, word(want),
-                   F.when(value.isNotNull(), word(value)), flagged)
+    found = lambda: F.when(value.isNotNull(), word(value))
+    return _simple(field, label, want, value, value == want, lambda: word(want), found, flagged)
 
 
 def verdict_flag_with_witness(field: str, label: str, value: Column, witness: Column, want: Column,
@@ -198,8 +213,12 @@ def downgrade_inferred(verdict: Verdict, source: Column, inferred: str = "catego
     """A fail that rests on an inferred value proves nothing: it becomes unknown."""
     weak = F.coalesce((verdict.status == FAIL) & (source == inferred), F.lit(False))
     status = F.when(weak, UNKNOWN).otherwise(verdict.status)
-    note = F.concat(verdict.detail, F.lit(f"; inferred from the {inferred}, so it cannot disqualify"))
-    return Verdict(verdict.field, status, F.when(weak, note).otherwise(verdict.detail), verdict.flagged)
+
+    def detail() -> Column:
+        note = F.concat(verdict.detail(), F.lit(f"; inferred from the {inferred}, so it cannot disqualify"))
+        return F.when(weak, note).otherwise(verdict.detail())
+
+    return Verdict(verdict.field, status, detail, verdict.flagged)
 
 
 def verdict_structural(field: str, label: str, value: Column, allowed: Column, ignore_case: bool = True) -> Verdict:

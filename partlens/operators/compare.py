@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,7 +167,7 @@ def comparison(solved: DataFrame, specs: DataFrame, reqs: DataFrame) -> DataFram
     )
     cells = []
     for position, (field, columns, polarity) in enumerate(COMPARISON_FIELDS):
-        verdict = F.try_element_at(F.filter("v.verdicts", lambda x, f=field: x["field"] == f), F.lit(1))["status"]
+        verdict = F.try_element_at(F.filter("v.verdicts", _about(field)), F.lit(1))["status"]
         value = F.col(f"s.{columns[-1]}")
         flag = field in ("io_link", "ip69k")
         stated = F.coalesce(*[F.col(f"s.{c}").isNotNull() if not flag else F.col(f"s.{c}") for c in columns[:1]], F.lit(False))
@@ -265,6 +267,14 @@ def question_queue(assessed: DataFrame, limit: int = MAX_QUESTIONS) -> DataFrame
     return top_k(placed, ["req_id"], [F.asc("place")], limit).select("req_id", "rank", "field")
 
 
+def _outside(allowed: list[str]) -> Callable[[Column], Column]:
+    return lambda v: ~v.isin(*allowed)
+
+
+def _about(field: str) -> Callable[[Column], Column]:
+    return lambda v: v["field"] == field
+
+
 def validate_requirements(reqs: DataFrame, domains: dict[str, list[str]]) -> DataFrame:
     """One row per problem of a requirement: value outside its domain, empty or inverted interval, nothing stated."""
     unknown = [c for c in reqs.columns if c not in {x.split()[0] for x in REQUIREMENT.split(", ")}]
@@ -273,7 +283,7 @@ def validate_requirements(reqs: DataFrame, domains: dict[str, list[str]]) -> Dat
     req = complete(reqs, REQUIREMENT)
     checks = []
     for field, allowed in domains.items():
-        odd = F.filter(field, lambda v, a=allowed: ~v.isin(*a))
+        odd = F.filter(field, _outside(allowed))
         checks.append((field, F.size(odd) > 0, F.concat(F.lit("value not allowed: "), F.array_join(odd, ", "))))
     for field in BOUNDED:
         want = F.col(field)

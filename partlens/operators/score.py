@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,11 @@ class Outcome:
 
     status: Column
     score: Column
-    detail: Column
+    detail: Callable[[], Column]
 
 
-def _outcome(asked: Column, silent: Column, violated: Column, score: Column | float, detail: Column) -> Outcome:
+def _outcome(asked: Column, silent: Column, violated: Column, score: Column | float,
+             detail: Callable[[], Column]) -> Outcome:
     """Absent request, absent value, violation, match: in that order."""
     status = (
         F.when(~F.coalesce(asked, F.lit(False)), NOT_APPLICABLE)
@@ -40,9 +42,18 @@ def _outcome(asked: Column, silent: Column, violated: Column, score: Column | fl
     return Outcome(status, F.when(status == SATISFIED, value).otherwise(0.0), detail)
 
 
-def _say(*parts: str | Column) -> Column:
-    shown = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("not stated")) for p in parts]
-    return F.concat(*shown)
+def _number(c: Column) -> Callable[[], Column]:
+    return lambda: number_text(c)
+
+
+def _say(*parts: str | Column | Callable[[], Column]) -> Callable[[], Column]:
+    """A reason, built only when it is asked for."""
+
+    def build() -> Column:
+        columns = [F.lit(p) if isinstance(p, str) else p if isinstance(p, Column) else p() for p in parts]
+        return F.concat(*[F.coalesce(c.cast("string"), F.lit("not stated")) for c in columns])
+
+    return build
 
 
 def _filled(array: Column) -> Column:
@@ -70,20 +81,20 @@ def sensing_range(p: Column, r: Column) -> Outcome:
     target, low, high = r["target_distance_mm"], p["sensing_range_min_mm"], p["sensing_range_max_mm"]
     violated = F.coalesce(target < low, F.lit(False)) | F.coalesce(high < target, F.lit(False))
     return _outcome(target.isNotNull(), high.isNull(), violated, range_fit(target, high),
-                    _say("reaches ", number_text(high), " mm for a target at ", number_text(target), " mm"))
+                    _say("reaches ", _number(high), " mm for a target at ", _number(target), " mm"))
 
 
 def field_height(p: Column, r: Column) -> Outcome:
     needed, stated = r["field_height_mm"], p["protective_field_height_mm"]
     score = F.greatest(F.lit(0.5), 1 - (stated / needed - 1) * 0.4)
     return _outcome(needed.isNotNull(), stated.isNull(), stated < needed, score,
-                    _say("protective field of ", number_text(stated), " mm for ", number_text(needed), " mm"))
+                    _say("protective field of ", _number(stated), " mm for ", _number(needed), " mm"))
 
 
 def safety_resolution(p: Column, r: Column) -> Outcome:
     needed, stated = r["safety_resolution_mm"], p["safety_resolution_mm"]
     return _outcome(needed.isNotNull(), stated.isNull(), stated > needed, 1,
-                    _say("resolution of ", number_text(stated), " mm for ", number_text(needed), " mm"))
+                    _say("resolution of ", _number(stated), " mm for ", _number(needed), " mm"))
 
 
 def ingress(p: Column, r: Column, half_open: str = "violate") -> Outcome:
@@ -116,7 +127,7 @@ def temperature(p: Column, r: Column, half_open: str = "violate") -> Outcome:
     else:
         violated, unsure = beyond, silent | open_side
     return _outcome(want_low.isNotNull() | want_high.isNotNull(), unsure, violated, 1,
-                    _say("rated ", number_text(low), " to ", number_text(high), " °C"))
+                    _say("rated ", _number(low), " to ", _number(high), " °C"))
 
 
 def switching_output(p: Column, r: Column) -> Outcome:
@@ -126,7 +137,7 @@ def switching_output(p: Column, r: Column) -> Outcome:
 
 def response_time(p: Column, r: Column) -> Outcome:
     wanted, stated = r["max_response_ms"], p["response_time_ms"]
-    return _outcome(wanted.isNotNull(), stated.isNull(), stated > wanted, 1, _say("responds in ", number_text(stated), " ms"))
+    return _outcome(wanted.isNotNull(), stated.isNull(), stated > wanted, 1, _say("responds in ", _number(stated), " ms"))
 
 
 def protocols(p: Column, r: Column) -> Outcome:
@@ -208,8 +219,13 @@ def score_pairs(pairs: DataFrame, constraints: list[Constraint] = CONSTRAINTS, d
     the row violates (0 when it violates none): the number of constraints that
     must be given up before the row survives.
     """
-    built = [(c, c.build(F.col("p"), F.col("r"))) for c in constraints]
-    fit, evidence, rank_score = fit_evidence(built)
+    made = [(c, c.build(F.col("p"), F.col("r"))) for c in constraints]
+    staged = [F.col("r.req_id").alias("req_id"), F.col("p.order_number").alias("order_number"), F.col("p.ord").alias("ord")]
+    for i, (_, o) in enumerate(made):
+        staged += [o.status.alias(f"_s{i}"), o.score.alias(f"_v{i}")] + ([o.detail().alias(f"_d{i}")] if details else [])
+    rows = pairs.select(*staged)
+    built = [(c, Outcome(F.col(f"_s{i}"), F.col(f"_v{i}"), partial(F.col, f"_d{i}"))) for i, c in enumerate(constraints)]
+    fit, evidence, _ = fit_evidence(built)
     place = {name: i + 1 for i, name in enumerate(relaxation_order(constraints))}
     level = F.lit(0)
     excluded = []
@@ -218,23 +234,23 @@ def score_pairs(pairs: DataFrame, constraints: list[Constraint] = CONSTRAINTS, d
             level = F.greatest(level, F.when(o.status == VIOLATED, place[c.name]).otherwise(0))
             excluded.append(F.when(o.status == VIOLATED, F.lit(c.name)))
     out = [
-        F.col("r.req_id").alias("req_id"),
-        F.col("p.order_number").alias("order_number"),
-        F.col("p.ord").alias("ord"),
+        "req_id",
+        "order_number",
+        "ord",
         fit.alias("fit"),
         evidence.alias("evidence"),
-        rank_score.alias("rank_score"),
         level.alias("level"),
         F.coalesce(*excluded).alias("violates"),
     ]
     if details:
         entries = [
             F.struct(F.lit(c.name).alias("constraint"), o.status.alias("status"), o.score.alias("score"),
-                     F.lit(c.weight).alias("weight"), F.lit(c.hard).alias("hard"), o.detail.alias("detail"))
+                     F.lit(c.weight).alias("weight"), F.lit(c.hard).alias("hard"), o.detail().alias("detail"))
             for c, o in built
         ]
         out.append(F.array(*entries).alias("outcomes"))
-    return pairs.select(*out)
+    rank_score = F.col("fit") * (FIT_SHARE + EVIDENCE_SHARE * F.col("evidence"))
+    return rows.select(*out).withColumn("rank_score", rank_score)
 
 
 def _with_ord(products: DataFrame) -> DataFrame:

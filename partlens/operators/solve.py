@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ def attach_specs(products: DataFrame, specs: DataFrame) -> DataFrame:
     return base.join(spec, "order_number", "left")
 
 
-def constraint_verdicts(req: Column) -> list[V.Verdict]:
+def constraint_verdicts(req: Column, details: bool = True) -> list[V.Verdict]:
     """Every constraint of a requirement struct against the columns of :func:`attach_specs`."""
     c = F.col
-    flag = lambda field: V.low_confidence_flag(c("low_confidence"), field)
+    flag = lambda field: V.low_confidence_flag(c("low_confidence"), field) if details else None
 
     def enum(field: str, label: str, inconclusive: str) -> V.Verdict:
         return V.verdict_enum(field, label, c(field), req[field], (inconclusive,), flag(field))
@@ -54,26 +56,37 @@ def constraint_verdicts(req: Column) -> list[V.Verdict]:
     ]
 
 
-def _count(verdicts: list[V.Verdict], status: str) -> Column:
+def _count(n: int, status: str) -> Column:
     total = F.lit(0)
-    for v in verdicts:
-        total = total + F.when(v.status == status, 1).otherwise(0)
+    for i in range(n):
+        total = total + F.when(F.col(f"_s{i}") == status, 1).otherwise(0)
     return total
 
 
 def evaluate(pairs: DataFrame, req: str = "req", details: bool = True) -> DataFrame:
-    """Verdicts and counters of (product, requirement) rows made by :func:`attach_specs` plus a struct ``req``."""
-    verdicts = constraint_verdicts(F.col(req))
+    """Verdicts and counters of (product, requirement) rows made by :func:`attach_specs` plus a struct ``req``.
+
+    Statuses are columns of their own first, so that each is computed once and
+    read by all three counters.
+    """
+    verdicts = constraint_verdicts(F.col(req), details)
+    n = len(verdicts)
+    staged = [v.status.alias(f"_s{i}") for i, v in enumerate(verdicts)]
+    if details:
+        staged += [v.detail().alias(f"_d{i}") for i, v in enumerate(verdicts)]
+        staged += [v.flagged.alias(f"_f{i}") for i, v in enumerate(verdicts)]
+    rows = pairs.select(F.col(f"{req}.req_id").alias("req_id"), "order_number", *staged)
     out = [
-        F.col(f"{req}.req_id").alias("req_id"),
+        "req_id",
         "order_number",
-        _count(verdicts, V.PASS).alias("passed"),
-        _count(verdicts, V.FAIL).alias("failed"),
-        _count(verdicts, V.UNKNOWN).alias("unknown"),
+        _count(n, V.PASS).alias("passed"),
+        _count(n, V.FAIL).alias("failed"),
+        _count(n, V.UNKNOWN).alias("unknown"),
     ]
     if details:
-        out.append(F.array_compact(F.array(*[v.struct() for v in verdicts])).alias("verdicts"))
-    return pairs.select(*out).withColumn("viable", F.col("failed") == 0)
+        told = [V.Verdict(v.field, F.col(f"_s{i}"), partial(F.col, f"_d{i}"), F.col(f"_f{i}")).struct() for i, v in enumerate(verdicts)]
+        out.append(F.array_compact(F.array(*told)).alias("verdicts"))
+    return rows.select(*out).withColumn("viable", F.col("failed") == 0)
 
 
 def _structure_may_hold(row_req: Column) -> Column:

@@ -19,10 +19,22 @@ def get_spark(app: str = "partlens", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings of an existing session that the wide rule expressions need.
+
+    Verdict and score projections hold dozens of aliases over shared
+    expressions; inferring filters from every combination of those aliases costs
+    the optimizer far more than the filters could save.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
