@@ -114,8 +114,10 @@ def problem_keywords(c: Column, stopwords: Sequence[str], min_length: int = 5, l
 
 
 # What a catalog order number and a type code look like in running text.
-ORDER_NUMBER_IN_TEXT = "\\b\\d{7}\\b"
-TYPE_CODE_IN_TEXT = "\\b[A-Z]{2,4}\\d{1,3}[A-Z]?-(?=[A-Z0-9]{5,}\\b)(?=[A-Z0-9]*\\d)[A-Z0-9]{5,}\\b"
+# Word edges are spelled out, as they must be ASCII ones: an accented letter does not continue a number.
+START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+ORDER_NUMBER_IN_TEXT = f"{START}\\d{{7}}{END}"
+TYPE_CODE_IN_TEXT = f"{START}[A-Z]{{2,4}}\\d{{1,3}}[A-Z]?-(?=[A-Z0-9]{{5,}}{END})(?=[A-Z0-9]*\\d)[A-Z0-9]{{5,}}{END}"
 
 
 def contains_part_reference(c: Column) -> Column:
@@ -126,7 +128,7 @@ def redact_foreign_ids(c: Column, own: Column, mask: str = "[part number removed
     """Hide every order number in a text but the row's own."""
     # The own number is shielded by a marker that cannot occur in text, then put back.
     shield = F.lit("\u0001")
-    own_pattern = F.concat(F.lit("\\b"), own, F.lit("\\b"))
+    own_pattern = F.concat(F.lit(START), own, F.lit(END))
     shielded = F.regexp_replace(c, own_pattern, shield)
     masked = F.regexp_replace(F.coalesce(shielded, c), ORDER_NUMBER_IN_TEXT, mask)
     return F.when(own.isNull(), masked).otherwise(F.replace(masked, shield, own))
