@@ -33,6 +33,17 @@ def survives(objections: Column) -> Column:
     return ~F.exists(objections, lambda c: (c["severity"] == "fatal") & (c["verdict"] == "upheld"))
 
 
+def judge(solved: DataFrame) -> DataFrame:
+    """Confidence and survival of solved rows from their own verdicts, without a join."""
+    serious = F.exists("verdicts", lambda v: v["status"].isin("fail", "unknown"))
+    level = (
+        F.when((F.size("verdicts") == 0) | (F.col("failed") > 0) | (F.col("unknown") > 0), "low")
+        .when(serious, "medium")
+        .otherwise("high")
+    )
+    return solved.withColumns({"confidence": level, "survives": F.col("failed") == 0})
+
+
 def survival(raised: DataFrame, solved: DataFrame) -> DataFrame:
     """survives per solved row, as one aggregate over the objections."""
     dead = raised.filter("severity = 'fatal' and verdict = 'upheld'").select("req_id", "order_number").distinct()

@@ -98,8 +98,8 @@ def best_assignment(proposals: DataFrame) -> DataFrame:
 def manifest(products: DataFrame, assigned: DataFrame, all_rows: DataFrame) -> DataFrame:
     """Every product row with its image, how it was matched, and the printed code of the image's page."""
     printed = first_by(all_rows, ["pdf_page"], ["ord"], ["source_page"]).select((F.col("pdf_page") + 1).alias("page"), F.col("source_page").alias("image_page"))
-    out = products.join(assigned.select("order_number", "page", F.col("sha").alias("image"), "method", "low_confidence"), "order_number", "left")
-    return out.join(printed, "page", "left").withColumn("family_photo", F.col("image").isNotNull() & F.coalesce("low_confidence", F.lit(False)))
+    out = products.join(assigned.select("order_number", "page", F.col("sha").alias("image"), "method", F.col("low_confidence").alias("_shaky")), "order_number", "left")
+    return out.join(printed, "page", "left").withColumn("family_photo", F.col("image").isNotNull() & F.coalesce("_shaky", F.lit(False))).drop("_shaky")
 
 
 def image_summary(products: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from partlens.operators import chunks as C
 from partlens.operators import retrieval as R
 from partlens.operators.normalize import normalize_spec
+from partlens.session import cut_lineage
 from partlens.sources import catalog, index_store
 from partlens.sources.schemas import FAMILY, complete
 
@@ -28,11 +29,17 @@ def index_tables(products: DataFrame, families: DataFrame | None = None, transla
 
 
 def search_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables plus postings and corpus statistics, as :func:`partlens.plans.search.hybrid_search` takes them."""
+    """The tables plus postings and corpus statistics, as :func:`partlens.plans.search.hybrid_search` takes them.
+
+    Cards and postings are materialised in the checkpoint folder: a search reads
+    them several times, and building a card joins a dozen aggregates.
+    """
+    chunk = cut_lineage(tables["chunk"])
     return {
         **tables,
-        "posting": R.build_postings(tables["chunk"]),
-        "stats": R.corpus_stats(R.doc_lengths(tables["chunk"])),
+        "chunk": chunk,
+        "posting": cut_lineage(R.build_postings(chunk)),
+        "stats": R.corpus_stats(R.doc_lengths(chunk)),
     }
 
 

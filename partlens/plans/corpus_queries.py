@@ -41,9 +41,9 @@ TERM_SQL = f"""CASE WHEN length(token) < 2 THEN NULL WHEN regexp_matches(token,
   WHEN token IN ('series', 'species') THEN token WHEN token LIKE '%ies' AND length(token) >= 5 THEN concat(substr(token, 1, length(token) - 3), 'y')
   WHEN token LIKE '%ing' AND length(token) >= 6 THEN substr(token, 1, length(token) - 3) WHEN token LIKE '%ed' AND length(token) >= 5 AND token NOT LIKE '%eed' THEN substr(token, 1, length(token) - 2)
   WHEN token LIKE '%s' AND length(token) >= 4 AND NOT regexp_matches(token, '(ss|us|is)$') THEN substr(token, 1, length(token) - 1) ELSE token END"""
-POSTINGS_SQL = f"""raw AS (SELECT doc_id AS id, {_tokens_sql('text')} AS tokens FROM documents),
+POSTINGS_SQL = f"""raw AS MATERIALIZED (SELECT doc_id AS id, {_tokens_sql('text')} AS tokens FROM documents),
 lens AS (SELECT id, len(list_distinct(tokens)) AS length FROM raw), tok AS (SELECT id, unnest(tokens) AS token FROM raw),
-post AS (SELECT term, id, count(*) AS tf FROM (SELECT id, {TERM_SQL} AS term FROM tok) x WHERE term IS NOT NULL GROUP BY term, id)"""
+post AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM (SELECT id, {TERM_SQL} AS term FROM tok) x WHERE term IS NOT NULL GROUP BY term, id)"""
 
 
 def _documents(spark, sf):
@@ -55,7 +55,7 @@ def term_stats(spark, sf):
     return R.term_stats(R.build_postings(_documents(spark, sf)))
 
 
-@query("WITH " + POSTINGS_SQL + " SELECT post.id, count(*) AS terms, sum(tf) AS tokens, max(length) AS length FROM post JOIN lens ON lens.id = post.id GROUP BY post.id")
+@query("WITH " + POSTINGS_SQL + " SELECT p.id, terms, p.tokens, length FROM (SELECT id, count(*) AS terms, sum(tf) AS tokens FROM post GROUP BY id) p JOIN lens ON lens.id = p.id")
 def postings(spark, sf):
     post = R.build_postings(_documents(spark, sf))
     return post.groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("length").alias("length"))
@@ -150,7 +150,7 @@ def lane_status(spark, sf):
 
 
 def _index(spark, sf):
-    return search_tables(index_tables(T.full_products(spark, sf)))
+    return search_tables({**index_tables(T.full_products(spark, sf)), "spec": T.specs(spark, sf)})
 
 
 @query()
@@ -158,7 +158,6 @@ def hybrid_topk(spark, sf):
     """Requirement texts searched over the cards of the derived catalog, prefiltered by the requirement itself."""
     reqs = T.requirements(spark, sf)
     index = _index(spark, sf)
-    index["spec"] = T.specs(spark, sf)
     texts = reqs.select(F.col("req_id").alias("query_id"), "req_id", F.concat_ws(" ", F.lit("red bolt"), F.array_join("section", " "), F.array_join("connector", " ")).alias("text"))
     return hybrid_search(index, texts, reqs, top=10, dense=False).select("query_id", "rank", "item", "kind", "bm25_rank", "dense_rank", "source_page")
 
@@ -169,7 +168,6 @@ def migrate(spark, sf):
     from partlens.plans.migration import migrate as run
 
     index = _index(spark, sf)
-    index["spec"] = T.specs(spark, sf)
     out = run(index, T.requirements(spark, sf), {"principle": {"diffuse": "red widget", "through-beam": "blue bolt"}})
     return out.select("req_id", "outcome", "order_number", "closest", "n_challenged", "confidence", F.array_join("questions", ",").alias("questions"))
 
@@ -393,7 +391,7 @@ def index_provenance(spark, sf):
 
 # --- traces --------------------------------------------------------------------
 
-TRACE_SQL = """SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'tool.call' WHEN 'error' THEN 'challenger.attack' ELSE event_type END AS type, event_id * 1.0 AS at, event_type AS label,
+TRACE_SQL = """SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'tool.call' WHEN 'error' THEN 'challenger.attack' ELSE event_type END AS type, event_id * 1.0 AS at_ms, event_type AS label,
   CASE WHEN value > 5 THEN 'upheld' ELSE 'unverifiable' END AS verdict FROM events"""
 
 
@@ -405,7 +403,7 @@ def _as_trace(e):
     return e.select(F.col("user_id").cast("string").alias("run_id"), kind.alias("type"), F.col("event_id").cast("double").alias("at"), F.col("event_type").alias("label"), payload.alias("payload"))
 
 
-TRACE_SUMMARY_SQL = f"""SELECT run_id::varchar AS run_id, count(*) AS events, max(at)::double - min(at)::double AS ms, sum(CASE WHEN type = 'tool.call' THEN 1 ELSE 0 END) AS tool_calls, sum(CASE WHEN type = 'challenger.attack' THEN 1 ELSE 0 END) AS attacks,
+TRACE_SUMMARY_SQL = f"""SELECT run_id::varchar AS run_id, count(*) AS events, max(at_ms)::double - min(at_ms)::double AS ms, sum(CASE WHEN type = 'tool.call' THEN 1 ELSE 0 END) AS tool_calls, sum(CASE WHEN type = 'challenger.attack' THEN 1 ELSE 0 END) AS attacks,
   sum(CASE WHEN type = 'challenger.attack' AND verdict = 'upheld' THEN 1 ELSE 0 END) AS upheld FROM ({TRACE_SQL}) x GROUP BY run_id"""
 
 
@@ -494,12 +492,12 @@ def _layout(spark, sf):
 
 
 MATCH_SQL = "WITH " + LAYOUT_SQL + """, use AS (SELECT *, top + h / 2.0::double AS centre, w * h AS area FROM img WHERE w < page_width * 0.7::double AND w * h >= 500), th AS (SELECT * FROM use WHERE h <= 100),
-pr AS (SELECT page, top + 5.5::double AS at, min(order_number) AS order_number FROM rws GROUP BY page, top),
-near AS (SELECT t.page, t.image_id, t.sha, t.area, t.centre, p.order_number, p.at, row_number() OVER (PARTITION BY t.page, t.image_id ORDER BY abs(t.centre - p.at), p.at) AS rn FROM th t JOIN pr p ON p.page = t.page),
-matched AS (SELECT * FROM near WHERE rn = 1 AND abs(centre - at) <= 45)"""
+pr AS (SELECT page, top + 5.5::double AS pos, min(order_number) AS order_number FROM rws GROUP BY page, top),
+near AS (SELECT t.page, t.image_id, t.sha, t.area, t.centre, p.order_number, p.pos, row_number() OVER (PARTITION BY t.page, t.image_id ORDER BY abs(t.centre - p.pos), p.pos) AS rn FROM th t JOIN pr p ON p.page = t.page),
+matched AS (SELECT * FROM near WHERE rn = 1 AND abs(centre - pos) <= 45)"""
 
 
-@query(MATCH_SQL + " SELECT page, order_number, image_id, centre - at AS \"offset\" FROM matched")
+@query(MATCH_SQL + " SELECT page, order_number, image_id, centre - pos AS \"offset\" FROM matched")
 def row_image_match(spark, sf):
     """Thumbnails to rows; a page of this layout has one image, so nearest is mutual."""
     images, rows = _layout(spark, sf)

@@ -9,6 +9,7 @@ from partlens.operators import audit as A
 from partlens.operators import compare as CP
 from partlens.operators import solve as S
 from partlens.plans.search import hybrid_search, retrieved_ids
+from partlens.session import cut_lineage
 
 RETRIEVED = 50
 
@@ -20,7 +21,7 @@ def migrate(index: dict[str, DataFrame], reqs: DataFrame, terms: dict[str, dict[
     text is empty is solved over the whole catalog.
     """
     req = S.complete(reqs, S.REQUIREMENT)
-    assessed = CP.sufficiency(reqs)
+    assessed = cut_lineage(CP.sufficiency(reqs))
     ready = req.join(assessed.filter("sufficient").select("req_id"), "req_id", "left_semi")
     texts = A.retrieval_query(ready, terms)
     queries = texts.filter("text != ''").select(F.col("req_id").alias("query_id"), "text", "req_id")
@@ -30,14 +31,14 @@ def migrate(index: dict[str, DataFrame], reqs: DataFrame, terms: dict[str, dict[
     solved = S.solve_candidates(index["product"], index["spec"], ready, nominated, 100).unionByName(
         S.solve(index["product"], index["spec"], silent, RETRIEVED).select("req_id", "order_number", "passed", "failed", "unknown", "verdicts", "viable", "rank")
     )
-    return decide(reqs, assessed, solved)
+    # A handful of rows per requirement, read by every later step.
+    return decide(assessed, cut_lineage(solved))
 
 
-def decide(reqs: DataFrame, assessed: DataFrame, solved: DataFrame) -> DataFrame:
+def decide(assessed: DataFrame, solved: DataFrame) -> DataFrame:
     """Outcomes out of solved rows: the first survivor of the challenge, with confidence and losses."""
     head = solved.filter(F.col("rank") <= A.MAX_CHALLENGED)
-    raised = A.challenges(head)
-    judged = A.survival(raised, A.confidence(head, raised)).withColumn("losses", A.losses())
+    judged = A.judge(head).withColumn("losses", A.losses())
     winners = A.first_survivor(judged)
     chosen = winners.withColumn("pick", F.coalesce("order_number", "closest"))
     detail = judged.select("req_id", F.col("order_number").alias("pick"), "passed", "failed", "unknown", "confidence", "losses")

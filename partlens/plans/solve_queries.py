@@ -11,6 +11,7 @@ from partlens.operators import score as SC
 from partlens.operators import solve as S
 from partlens.plans import tables as T
 from partlens.plans.registry import query
+from partlens.session import cut_lineage
 
 
 def _enum(field: str, sentinel: str | None = None, upper: bool = False) -> str:
@@ -192,14 +193,14 @@ CONFIDENCE_SQL = TOP4_SQL + """, judged AS (SELECT req_id, rnk, order_number, fa
 
 
 def _judged(spark, sf):
-    solved = _top4(spark, sf)
-    raised = A.challenges(solved)
-    return A.survival(raised, A.confidence(solved, raised))
+    return A.judge(_top4(spark, sf))
 
 
 @query(CONFIDENCE_SQL + "SELECT req_id, rnk AS rank, order_number, confidence, survives FROM judged")
 def confidence(spark, sf):
-    return _judged(spark, sf).select("req_id", "rank", "order_number", "confidence", "survives")
+    solved = cut_lineage(_top4(spark, sf))
+    raised = A.challenges(solved)
+    return A.survival(raised, A.confidence(solved, raised)).select("req_id", "rank", "order_number", "confidence", "survives")
 
 
 @query(CONFIDENCE_SQL + """, firsts AS (SELECT req_id, min(CASE WHEN survives THEN rnk END) AS sr, count(*) AS n FROM judged GROUP BY req_id)

@@ -151,7 +151,7 @@ DERIVED = {
 
 
 def names_in(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -178,7 +178,7 @@ def oracle(sql: str) -> str:
                 needed.append(n)
 
     need(sql)
-    plain = lambda text: re.sub(r"\{(\w+)\}", r"\1", text).strip()
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", text).strip()
     ctes = [f"{n} AS ({plain(DERIVED[n])})" for n in needed]
     body = plain(sql)
     if not ctes:

@@ -70,21 +70,20 @@ def split_records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
 
 def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        rows: dict[str, list] = {"file": [], "record": [], "line": [], "cells": []}
         for file, value in zip(batch["file"], batch["value"]):
-            text = value.lstrip("﻿")
-            records = list(split_records(text, sniff_delimiter(text)))
-            yield pd.DataFrame(
-                {
-                    "file": [file] * len(records),
-                    "line": [r[0] for r in records],
-                    "cells": [[c.strip() for c in r[1]] for r in records],
-                }
-            )
+            text = value.lstrip("\ufeff")
+            for record, (line, cells) in enumerate(split_records(text, sniff_delimiter(text))):
+                rows["file"].append(file)
+                rows["record"].append(record)
+                rows["line"].append(line)
+                rows["cells"].append([c.strip() for c in cells])
+        yield pd.DataFrame(rows)
 
 
 def split_boms(files: DataFrame) -> DataFrame:
-    """(file, line, cells) of every record out of (file, value); delimiter-only records are kept."""
-    return files.select("file", "value").mapInPandas(_split_files, "file string, line int, cells array<string>")
+    """(file, record, line, cells) of every record out of (file, value); delimiter-only records are kept."""
+    return files.select("file", "value").mapInPandas(_split_files, "file string, record int, line int, cells array<string>")
 
 
 def read_boms(spark: SparkSession, path: str) -> DataFrame:
