@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), MARKS, "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
 
@@ -140,36 +145,40 @@ def gloss(c: Column, terms: dict[str, str], rules: Sequence[tuple[str, str]] = (
     ``terms`` is a dictionary of folded phrases given by the caller; ``rules``
     are regex rewrites applied before the lookup.
     """
-    start = fold_print(c)
-    staged = start
-    for pattern, replacement in rules:
-        staged = F.regexp_replace(staged, pattern, replacement)
     phrases = any_of(list(terms))
     token = f"(?<![a-z0-9])(?:{phrases})(?![a-z0-9])|[a-z0-9]+|[^a-z0-9]"
-    pairs = [F.lit(x) for pair in terms.items() for x in pair]
-    table = F.create_map(*pairs)
-    pieces = F.regexp_extract_all(staged, F.lit(token), F.lit(0))
-    out = squeeze(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), ""))
-    return F.when((start != "") & (out != start), out)
+    table = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+
+    def replaced(start: Column) -> Column:
+        staged = start
+        for pattern, replacement in rules:
+            staged = F.regexp_replace(staged, pattern, replacement)
+        pieces = F.regexp_extract_all(staged, F.lit(token), F.lit(0))
+        return squeeze(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), ""))
+
+    return let(fold_print(c), lambda start: let(replaced(start), lambda out: F.when((start != "") & (out != start), out)))
 
 
 def keywords(c: Column, triggers: Sequence[tuple[str, Sequence[str]]], limit: int = 14) -> Column:
     """Search words of every trigger that starts a word of the text, distinct without case, in trigger order."""
-    text = fold_print(c)
-    found = F.flatten(
-        F.array(
-            *[
-                F.when(text.rlike("(?<![a-z0-9])" + re.escape(trigger)), F.array(*[F.lit(w) for w in words])).otherwise(
-                    F.array().cast("array<string>")
-                )
-                for trigger, words in triggers
-            ]
+    nothing = F.array().cast("array<string>")
+
+    def found(text: Column) -> Column:
+        return F.flatten(
+            F.array(
+                *[
+                    F.when(text.rlike("(?<![a-z0-9])" + re.escape(trigger)), F.array(*[F.lit(w) for w in words])).otherwise(nothing)
+                    for trigger, words in triggers
+                ]
+            )
         )
-    )
-    # A word is kept where its lower-cased form occurs for the first time.
-    lowered = F.transform(found, lambda w: F.lower(w))
-    firsts = F.filter(found, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1)
-    return F.slice(firsts, 1, limit)
+
+    def distinct(words: Column) -> Column:
+        # A word is kept where its lower-cased form occurs for the first time.
+        lowered = F.transform(words, lambda w: F.lower(w))
+        return F.filter(words, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1)
+
+    return F.slice(let(let(fold_print(c), found), distinct), 1, limit)
 
 
 def quoted_in(quote: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlens.functions.text import field_key, fold
+from partlens.functions.text import field_key, fold, let
 from partlens.functions.units import parse_ip
 
 # The words the catalog prints, on folded text.
@@ -63,7 +63,10 @@ def _first_group(text: Column, pattern: str) -> Column:
 
 def parse_output(c: Column) -> Column:
     """struct<type, count, current_ma, io_link> of a switching-output text."""
-    text = fold(F.regexp_replace(c, FOOTNOTE, ""))
+    return let(fold(F.regexp_replace(c, FOOTNOTE, "")), _output_of)
+
+
+def _output_of(text: Column) -> Column:
     pnp, npn = F.contains(text, F.lit("pnp")), F.contains(text, F.lit("npn"))
     kind = (
         F.when(F.contains(text, F.lit("contrafase")), "push-pull")
@@ -88,7 +91,10 @@ def parse_output(c: Column) -> Column:
 
 def parse_connection(c: Column) -> Column:
     """struct<connector, pins>; two different threads say nothing."""
-    text = fold(c)
+    return let(fold(c), _connection_of)
+
+
+def _connection_of(text: Column) -> Column:
     threads = F.array_distinct(F.regexp_extract_all(text, F.lit("\\bm(5|8|12)\\b"), F.lit(1)))
     pins = F.array_distinct(F.regexp_extract_all(text, F.lit(PINS), F.lit(1)))
     pin = F.when(F.size(pins) == 1, F.try_element_at(pins, F.lit(1)).try_cast("int"))
@@ -108,9 +114,18 @@ def parse_connection(c: Column) -> Column:
 
 def parse_principle(sensor: Column, detection: Column, category: Column, row_type: Column) -> Column:
     """struct<principle, source>: the sensor text first, refined by the detection text, the category last."""
-    by_sensor = first_match(fold(sensor), SENSOR_PRINCIPLES)
-    by_detection = first_match(fold(detection), DETECTION_PRINCIPLES)
-    by_category = F.when(row_type == "product", first_match(fold(category), CATEGORY_PRINCIPLES))
+    rule = lambda c, rules: let(fold(c), lambda text: first_match(text, rules))
+    by_category = F.when(row_type == "product", rule(category, CATEGORY_PRINCIPLES))
+    found = F.struct(
+        rule(sensor, SENSOR_PRINCIPLES).alias("sensor"),
+        rule(detection, DETECTION_PRINCIPLES).alias("detection"),
+        by_category.alias("category"),
+    )
+    return let(found, _principle_of)
+
+
+def _principle_of(found: Column) -> Column:
+    by_sensor, by_detection, by_category = found["sensor"], found["detection"], found["category"]
     suppression = by_detection.isin("background-suppression", "foreground-suppression")
     use_detection = by_detection.isNotNull() & (by_sensor.isNull() | ((by_sensor == "diffuse") & suppression))
     principle = F.when(use_detection, by_detection).otherwise(F.coalesce(by_sensor, by_category))
@@ -123,12 +138,15 @@ def parse_principle(sensor: Column, detection: Column, category: Column, row_typ
 
 
 def parse_housing(c: Column) -> Column:
-    return first_match(fold(c), HOUSINGS)
+    return let(fold(c), lambda text: first_match(text, HOUSINGS))
 
 
 def parse_light(c: Column) -> Column:
     """Laser, then infrared, then one colour; several colours are rgb or nothing."""
-    text = fold(c)
+    return let(fold(c), _light_of)
+
+
+def _light_of(text: Column) -> Column:
     red, green, blue, white = (F.contains(text, F.lit(w)) for w in ("roj", "verde", "azul", "blanc"))
     colours = sum((x.cast("int") for x in (green, blue, white)), red.cast("int"))
     return (

@@ -72,15 +72,26 @@ def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text"
 
     Identical tokens of one chunk combine before the shuffle.
     """
-    raw = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
-    flat = raw.select("id", F.size(F.array_distinct("tokens")).alias("length"), F.explode("tokens").alias("token"))
+    # The length is a column of its own before the tokens are exploded, so it is computed once per chunk.
+    raw = _sorted_tokens(chunks, id_col, text_col, tokens).withColumn("length", _distinct_size())
+    flat = raw.select("id", "length", F.explode("tokens").alias("token"))
     kept = flat.select(terms(F.col("token")).alias("term"), "id", "length").filter("term is not null")
     return kept.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"))
 
 
+def _sorted_tokens(chunks: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    return chunks.select(F.col(id_col).alias("id"), F.sort_array(tokens(F.col(text_col))).alias("tokens"))
+
+
+def _distinct_size() -> Column:
+    """Number of distinct entries of the sorted ``tokens``, in one pass over it."""
+    firsts = F.filter("tokens", lambda t, i: (i == 0) | (t != F.get("tokens", i - 1)))
+    return F.size(firsts)
+
+
 def doc_lengths(chunks: DataFrame, id_col: str = "id", text_col: str = "text",
                 tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
-    return chunks.select(F.col(id_col).alias("id"), F.size(F.array_distinct(tokens(F.col(text_col)))).alias("length"))
+    return _sorted_tokens(chunks, id_col, text_col, tokens).select("id", _distinct_size().alias("length"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
