@@ -18,7 +18,7 @@ from partlens.operators import retrieval as R
 from partlens.plans import tables as T
 from partlens.plans.build_index import index_tables, search_tables
 from partlens.plans.registry import query
-from partlens.plans.scale import block_row_number, top_k
+from partlens.plans.scale import block_row_number, spread, top_k
 from partlens.plans.search import hybrid_search
 from partlens.sources.bom_files import split_boms
 from partlens.sources.index_store import provenance
@@ -47,7 +47,7 @@ post AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM (SELECT id, {TERM_SQL
 
 
 def _documents(spark, sf):
-    return T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("WITH " + POSTINGS_SQL + " SELECT term, count(*) AS df, sum(tf) AS total_tf FROM post GROUP BY term")

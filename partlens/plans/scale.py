@@ -23,6 +23,16 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source over all cores before a CPU-heavy step, where its files give fewer partitions than that.
+
+    A source of many files already has its partitions and is returned unchanged,
+    so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key group, ranked from 1.
 

@@ -13,6 +13,7 @@ from partlens.operators.bom import looks_like_part, looks_like_quantity, quantit
 from partlens.operators.match import map_housing
 from partlens.plans import tables as T
 from partlens.plans.registry import query
+from partlens.plans.scale import spread
 from partlens.sources.schemas import PRODUCT, complete
 
 FOLD = "trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))"
@@ -21,7 +22,7 @@ FOLD = "trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))"
 @query(f"SELECT doc_id, md5({FOLD}) AS folded, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS heading, md5(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g')) AS part_key FROM documents")
 def fold(spark, sf):
     c = F.col("text")
-    return T.read(spark, sf, "documents").select("doc_id", F.md5(X.fold(c)).alias("folded"), F.md5(X.header_key(c)).alias("heading"), F.md5(X.part_key(c)).alias("part_key"))
+    return spread(T.read(spark, sf, "documents")).select("doc_id", F.md5(X.fold(c)).alias("folded"), F.md5(X.header_key(c)).alias("heading"), F.md5(X.part_key(c)).alias("part_key"))
 
 
 _count = lambda words: "len(regexp_extract_all(concat(' ', regexp_replace(lower(text), '[^a-z0-9_]', '  ', 'g'), ' '), ' (?:" + "|".join(words) + ") '))"
@@ -32,7 +33,7 @@ EN_WORDS = ["the", "a", "an", "of", "that", "with", "for", "in", "is", "are", "f
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[áéíóúñ¿¡]') THEN 'es' WHEN {_count(ES_WORDS)} >= {_count(EN_WORDS)} THEN 'es' ELSE 'en' END AS language FROM documents")
 def detect_language(spark, sf):
     out = X.detect_language(F.col("text"), "es", "en", ES_WORDS, EN_WORDS, "áéíóúñ¿¡")
-    return T.read(spark, sf, "documents").select("doc_id", out.alias("language"))
+    return spread(T.read(spark, sf, "documents")).select("doc_id", out.alias("language"))
 
 
 STOP = ["would", "there", "which", "about", "should", "could", "sensor", "sensores"]
@@ -60,7 +61,7 @@ def gloss(spark, sf):
     words = F.regexp_extract_all(start, F.lit("[a-z0-9]+"), F.lit(0))
     hits = F.size(F.filter(words, lambda w: w.isin(*[k for k in GLOSS if " " not in k])))
     pairs = F.regexp_count(F.concat(F.lit(" "), start, F.lit(" ")), F.lit("[^a-z0-9]for the[^a-z0-9]"))
-    return T.read(spark, sf, "documents").select("doc_id", hits.alias("hits"), pairs.alias("pairs"), out.isNotNull().alias("changed"))
+    return spread(T.read(spark, sf, "documents")).select("doc_id", hits.alias("hits"), pairs.alias("pairs"), out.isNotNull().alias("changed"))
 
 
 TRIGGERS = [("the", ["article", "Definite"]), ("un", ["article", "indefinite"]), ("license", ["license", "terms"]), ("copyright", ["terms", "notice"]), ("que", ["question"])]
@@ -74,7 +75,7 @@ SELECT doc_id, concat_ws(',', CASE WHEN {_trigger('the')} THEN 'article,Definite
   CASE WHEN {_trigger('copyright')} THEN CASE WHEN {_trigger('license')} THEN 'notice' ELSE 'terms,notice' END END,
   CASE WHEN {_trigger('que')} THEN 'question' END) AS words FROM f""")
 def keywords(spark, sf):
-    return T.read(spark, sf, "documents").select("doc_id", F.array_join(X.keywords(F.col("text"), TRIGGERS), ",").alias("words"))
+    return spread(T.read(spark, sf, "documents")).select("doc_id", F.array_join(X.keywords(F.col("text"), TRIGGERS), ",").alias("words"))
 
 
 @query("""SELECT page_id, regexp_matches(html, '\\b[0-9]{7}\\b') AS has_id, len(regexp_extract_all(regexp_replace(html, '\\b[0-9]{7}\\b', '#######', 'g'), '#######')) AS masked,
@@ -83,7 +84,7 @@ def redact_ids(spark, sf):
     c = F.col("html")
     none = F.lit(None).cast("string")
     red = X.redact_foreign_ids(c, none)
-    return T.read(spark, sf, "pages").select("page_id", c.rlike(X.ORDER_NUMBER_IN_TEXT).alias("has_id"), F.regexp_count(c, F.lit(X.ORDER_NUMBER_IN_TEXT)).cast("int").alias("masked"), F.md5(red).alias("redacted"))
+    return spread(T.read(spark, sf, "pages")).select("page_id", c.rlike(X.ORDER_NUMBER_IN_TEXT).alias("has_id"), F.regexp_count(c, F.lit(X.ORDER_NUMBER_IN_TEXT)).cast("int").alias("masked"), F.md5(red).alias("redacted"))
 
 
 @query("SELECT event_id, (props::json->>'k')::int AS k, regexp_matches(concat('WT', event_id, '-', upper(event_type), user_id), '\\b[A-Z]{2,4}[0-9]{1,3}[A-Z]?-[A-Z0-9]{5,}\\b') OR event_id >= 1000000 AND event_id <= 9999999 AS has_reference FROM events")
