@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from partlens.session import cut_lineage
 
@@ -25,6 +31,17 @@ def coarse(value: Column) -> Column:
     return value - value % step
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of ``keys``: of rows already sorted by them, as a join leaves them, without another sort or shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1]))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def _names(id_: Column, key: Column) -> tuple[Column, Column]:
+    """An id and key without nulls, so that joins and windows on them share a partitioning."""
+    return F.coalesce(id_.cast("long"), F.lit(0)), F.xxhash64(key, id_.isNull())
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` named in ``kept`` (``id``, ``key``: of the columns ``key``, ``times``), each as often as ``times`` says.
 
@@ -32,10 +49,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: tuple[str, ...], id_col: st
     its copies.  The texts are shuffled once: the join, the choice of one row and
     the repetition share the partitions.  Names in ``docs`` may be any.
     """
-    named = docs.withColumns({"__id": F.col(id_col), "__key": row_key(*key)}).dropDuplicates(["__id", "__key"])
-    keys = kept.groupBy(F.col("id").alias("__kid"), F.col("key").alias("__kkey")).agg(F.sum("times").cast("int").alias("__times"))
-    same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__key") == F.col("__kkey"))
-    rows = named.join(keys, same).where("__times > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
+    id_, key_ = _names(F.col(id_col), row_key(*key))
+    named = docs.withColumns({"__id": id_, "__key": key_})
+    kid, kkey = _names(F.col("id"), F.col("key"))
+    keys = kept.groupBy(kid.alias("__kid"), kkey.alias("__kkey")).agg(F.sum("times").cast("int").alias("__times"))
+    rows = named.join(keys, (F.col("__id") == F.col("__kid")) & (F.col("__key") == F.col("__kkey"))).where("__times > 0")
+    rows = once(rows, "__id", "__key").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -81,3 +100,42 @@ def components(edges: DataFrame) -> DataFrame:
         links = cut_lineage(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
     roots = links.select("v").distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="partlens-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing made before."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int, weight: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """A task's rows, sorted by column ``key``, in batches of about ``most`` weight that cut no group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[bool(held) and keys[0] != held[-1].column(key)[-1].as_py()], keys[1:] != keys[:-1]])) if batch.num_rows else []
+        load = np.concatenate([[0], np.cumsum(weight(batch))])
+        at = 0
+        for start in starts:
+            if size + load[start] - load[at] >= most:
+                held.append(batch.slice(at, start - at))
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, at = [], 0, start
+        held.append(batch.slice(at))
+        size += load[-1] - load[at]
+    held = [b for b in held if b.num_rows]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import mixing, quality, simhash, urls
+from partlens.llm import mixing, piece_codec, quality, simhash, suffixes, token_counts, urls
 from partlens.llm.registry import query, read
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -90,6 +90,24 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def piece_model() -> str:
+    """The public vocabulary that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op4_pieces")
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(read(spark, sf_dir, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_suffixes")
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 _URL_SQL = """
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -110,6 +128,12 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+@query("op9_counts")
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), piece_model(), budget=4096)
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), F.col("fits").alias("chars_within_limit"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
