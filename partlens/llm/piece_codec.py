@@ -144,7 +144,9 @@ class Codec:
         self.part, lone = safe_parts([text for text, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)])
         self.front = "\n" if "\n" in lone else ""
         self.quick = self.plain and self.model.dummy_prefix and bool(self.front) and self.part.match(f"a{MARK}").end() == 1
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        #: One object for each token, shared by all words that hold it.
+        self.tokens = list(range(len(self.model.pieces)))
         #: The words and parts on which the libraries differ, and those that decoding does not give back.
         self.differ: set[str] = set()
         self.lossy: set[str] = set()
@@ -171,10 +173,10 @@ class Codec:
         tokens = [e.ids for e in self.bare.encode_batch_fast(flat, add_special_tokens=False)]
         back = self.bare.decode_batch(tokens, skip_special_tokens=False)
         own = self._library(flat)
-        at = 0
+        at, shared = 0, self.tokens
         for word, made in zip(new, parts, strict=True):
             to = at + len(made)
-            self.words[word] = own[at] if to == at + 1 else list(chain.from_iterable(own[at:to]))
+            self.words[word] = tuple([shared[t] for ids in own[at:to] for t in ids])
             if tokens[at:to] != own[at:to]:
                 self.differ.add(word)
             if "".join(back[at:to]) != "".join(made).replace(MARK, " "):

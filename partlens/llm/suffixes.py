@@ -35,8 +35,8 @@ GRAM = 32
 PLACE_BITS = 19
 PIECE = (1 << PLACE_BITS) - 1024
 #: Distinct stretches of an anchor that one task takes, bytes that share a suffix array, and the runs of starts dealt again.
-MOST_STRETCHES = 4_000
-BYTES_AT_ONCE = 1_000_000
+MOST_STRETCHES = 2_000
+BYTES_AT_ONCE = 400_000
 STEPS = (16, 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 MARK = "▁"
 LONE = "\n\r\t"
 #: Parts (and neighbours) remembered in a task; beyond that the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Keys and marks of the search: a trie's entry for the piece that ends there, and what a prefix ends in.
 PIECE, START, UNKNOWN, NOTHING = 0, -1, -2, -3
 #: Characters of text that are counted at a time.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def safe_parts(pieces: list[str]) -> tuple[re.Pattern[str], str]:
