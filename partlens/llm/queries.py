@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import mixing, piece_codec, quality, simhash, suffixes, token_counts, urls
+from partlens.llm import embeddings, extract, mixing, piece_codec, pseudo_likelihood, quality, simhash, suffixes, token_counts, urls
 from partlens.llm.registry import query, read
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -97,11 +97,22 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op3_extract")
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 @query("op4_pieces")
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(read(spark, sf_dir, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
 
 
+@query("op5_hnsw")
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 @query("op6_suffixes")
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -128,6 +139,11 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+@query("op8_pseudo_likelihood")
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op9_counts")
 def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), piece_model(), budget=4096)
