@@ -23,8 +23,10 @@ from partlens.session import cut_lineage
 THRESHOLD = 0.93
 #: Neighbours of a node in the lowest layer and above, candidates when building, the first beam, nodes expanded at a time.
 NEIGHBOURS, ABOVE, BUILD_BEAM, FIRST_BEAM, EXPAND = 24, 12, 48, 48, 4
+#: Blocks that query a shard in one task; others of the same shard have the graph built for them again.
+TASK_BLOCKS = 16
 #: Classes of a shard, queries of a block, queries searched at once, and audited queries of a block with the recall they must reach.
-SHARD_ROWS, BLOCK_ROWS, AT_ONCE, AUDITED, RECALL = 8_192, 2_048, 256, 64, 0.99
+SHARD_ROWS, BLOCK_ROWS, AT_ONCE, AUDITED, RECALL = 8_192, 2_048, 256, 128, 1.0
 
 
 class Graph:
@@ -48,6 +50,35 @@ class Graph:
         self.points = self.vectors[self.order]
         for depth in range(len(self.layers)):
             self._build(depth)
+            self._reach(depth)
+
+    def _reach(self, depth: int) -> None:
+        """Links every node that no walk from the first one meets to and from the nearest node that one does."""
+        links = self.layers[depth]
+        n = len(links)
+        met = np.zeros(n, bool)
+        front = np.zeros(1, np.int64)
+        while True:
+            while front.size:
+                met[front] = True
+                near = np.unique(links[front])
+                front = near[(near >= 0) & ~met[np.maximum(near, 0)]]
+            apart = np.flatnonzero(~met)
+            if not apart.size:
+                break
+            there = np.flatnonzero(met)
+            apart = apart[:AT_ONCE]
+            to = there[np.argmax(self.points[apart] @ self.points[there].T, axis=1)]
+            source, target = np.concatenate([to, apart]), np.concatenate([apart, to])
+            by = np.argsort(source, kind="stable")
+            source, target = source[by], target[by]
+            _, first, count = np.unique(source, return_index=True, return_counts=True)
+            column = np.arange(source.size) - np.repeat(first, count)
+            more = np.full((n, int(count.max())), -1, np.int32)
+            more[source, column] = target
+            links = np.concatenate([links, more], axis=1)
+            front = apart
+        self.layers[depth] = links
 
     def _build(self, depth: int) -> None:
         links = self.layers[depth]
@@ -167,7 +198,7 @@ class Graph:
             left, width = np.arange(at, min(len(queries), at + AT_ONCE)), min(beam, n)
             while left.size:
                 ids, sims = self._beam(queries[left], depth, self._entry(queries[left], depth), width, n)
-                full = (sims[:, -1] >= least) if width < n else np.zeros(left.size, bool)
+                full = (sims[:, -1] >= least - 0.05) if width < n else np.zeros(left.size, bool)
                 who, place = np.nonzero((sims >= least) & ~full[:, None])
                 found.append((left[who], self.order[ids[who, place]]))
                 left, width = left[full], min(2 * width, n)
@@ -214,16 +245,18 @@ def near_duplicates(
     spread = sizes.select("label", "dim", F.ceil(F.col("rows") / shard_rows).alias("shards"), F.ceil(F.col("rows") / block_rows).alias("blocks"))
     placed = classes.join(spread, ["label", "dim"])
     turn = F.pmod(F.xxhash64("c"), F.col("shards"))
-    members = placed.select("label", "dim", turn.alias("shard"), F.lit(-1).cast("long").alias("block"), "c", "n", "v")
-    block = F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks"))
-    queries = placed.select("label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), block.alias("block"), "c", "n", "v")
+    zero = F.lit(0).cast("long")
+    parts = F.explode(F.sequence(zero, F.ceil(F.col("blocks") / TASK_BLOCKS) - 1))
+    members = placed.select("label", "dim", turn.alias("shard"), parts.alias("part"), F.lit(-1).cast("long").alias("block"), "c", "n", "v")
+    queries = placed.withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")))
+    queries = queries.select("label", "dim", F.explode(F.sequence(zero, F.col("shards") - 1)).alias("shard"), F.expr(f"block div {TASK_BLOCKS}").alias("part"), "block", "c", "n", "v")
     both = members.unionByName(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, own, weight, unit = None, None, None, None
         for blk, table in _blocks(batches):
-            ids, counts = table.column(4).to_numpy(), table.column(5).to_numpy()
-            made = _unit(table.column(6))
+            ids, counts = table.column(5).to_numpy(), table.column(6).to_numpy()
+            made = _unit(table.column(7))
             if blk < 0:
                 own, weight, unit = ids, counts, made
                 graph = Graph(unit)
@@ -241,7 +274,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.nulls(int(joined.sum()), pa.int64()), pa.array(root[joined])], names=["c", "links", "root"])
 
     # A task meets each shard's members first (block -1), then the blocks that query it.
-    keys = ["label", "dim", "shard"]
+    keys = ["label", "dim", "shard", "part"]
     dealt = both.repartition(*keys).sortWithinPartitions(*keys, "block")
     made = cut_lineage(dealt.mapInArrow(run, "c long, links long, root long"))
     links = made.where("links is not null").groupBy("c").agg(F.sum("links").alias("links"))
@@ -268,15 +301,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
         at = 0
         for i, name in enumerate(names):
             if name != now:
                 if i > at:
                     held.append(batch.slice(at, i - at))
                 if held:
-                    yield now[3], pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    yield now[4], pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, at, now = [], i, name
         held.append(batch.slice(at))
     if held:
-        yield now[3], pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield now[4], pa.Table.from_batches(held).combine_chunks().to_batches()[0]
