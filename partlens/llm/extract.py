@@ -314,13 +314,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``id``, ``url``, ``text`` and ``n_chars`` of every row of ``pages``.
 
     Without a ``model`` one is trained on at most LEARNED_PAGES pages, those first
-    in the order of a hash of id and url, none longer than LEARNED_CHARS.  A null or empty
+    in the order of a hash of the row, none longer than LEARNED_CHARS.  A null or empty
     page, and one without article text, has an empty text; repeated rows are each
     read; an empty table gives an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
     if model is None:
-        some = rows.where(F.length("html") <= LEARNED_CHARS).orderBy(F.xxhash64("id", "url"), "html").limit(LEARNED_PAGES)
+        key = F.xxhash64("id", "url", "html")
+        few = rows.where(F.length("html") <= LEARNED_CHARS).select(key.alias("k")).distinct().orderBy("k").limit(LEARNED_PAGES)
+        some = rows.withColumn("k", key).join(F.broadcast(few), "k", "left_semi").dropDuplicates(["k"]).orderBy("k")
         model = train([r.html for r in some.select("html").collect()])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
