@@ -58,6 +58,24 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: tuple[str, ...], id_col: st
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Bits of the mark table by which rows without a partner are left out of a shuffle: it is broadcast and never larger than this.
+MARK_BITS = 1 << 23
+
+
+def marked(rows: DataFrame, wanted: DataFrame, keys: tuple[str, str] = ("id", "key")) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where no row of ``wanted`` has the same keys.
+
+    One bit for each hash of the keys: at most MARK_BITS of them, whatever the size
+    of ``wanted``, so the broadcast is bounded; a fuller table only lets more rows pass.
+    """
+    spot = F.pmod(F.xxhash64(*keys), F.lit(MARK_BITS))
+    bits = wanted.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("__bits"))
+    placed = rows.withColumn("__spot", spot).withColumn("__at", F.expr("__spot div 64"))
+    met = placed.join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
+    maybe = F.coalesce(F.expr("shiftright(__bits, cast(__spot % 64 as int)) & 1 = 1"), F.lit(False))
+    return met.withColumn("__maybe", maybe).drop("__spot", "__at", "__word", "__bits")
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 joined by edges (a, b): the smallest node of each one's component."""
     label = np.arange(n)

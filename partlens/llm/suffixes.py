@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from partlens.llm.common import once, whole_groups, written
+from partlens.llm.common import marked, once, whole_groups, written
 from partlens.session import cut_lineage
 
 LENGTH = 200
@@ -202,6 +202,7 @@ def _all_anchors(rows: DataFrame) -> DataFrame:
 def _with_ranges(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``text`` and the ``wanted`` ranges of each named text, once."""
     ranges = wanted.groupBy(F.col("o.id").alias("rid"), F.col("o.key").alias("rkey")).agg(F.collect_list(F.struct("g", "n", "o.lo", "o.hi", "o.a")).alias("ranges"))
+    rows = marked(rows, wanted.select("o.id", "o.key")).where("__maybe")
     met = rows.join(ranges, (F.col("id") == F.col("rid")) & (F.col("key") == F.col("rkey")))
     return once(met, "id", "key").select("id", "key", "text", "ranges")
 
@@ -269,14 +270,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     rows = _named(docs, id_col, text_col)
     found, places = [], written(_all_anchors(rows), "anchors")
     for step in (*STEPS, None):
-        shared = places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        # Tables that hot anchors are joined with are cut off first, so that the join's shuffles can be split where one is hot.
+        shared = cut_lineage(places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
         places = written(places.join(shared, "g", "left_semi"), "shared")
         kinds = places.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo", "hi", "a")).alias("o"))
         kinds = cut_lineage(kinds)
-        groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+        groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
         again = kinds.where("n > 1").select("g", "c")
         found.append(places.join(again, ["g", "c"], "left_semi").select("id", "key", "lo", (F.col("hi") + LENGTH).alias("hi")))
-        mixed = kinds.join(groups.where("kinds > 1 and least = 1"), "g")
+        mixed = kinds.join(cut_lineage(groups), "g")
         found.append(_matches(rows, mixed.where(F.col("kinds") <= most)))
         large = mixed.where(F.col("kinds") > most)
         if step is None or large.isEmpty():
@@ -297,13 +299,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has, and of equal texts every one; an empty table gives an empty result; other
     columns are handed on, whatever their names.
     """
-    spans = repeats(docs, id_col, text_col, most)
-    spans = spans.groupBy(F.col("id").alias("__sid"), F.col("key").alias("__skey")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    found = cut_lineage(repeats(docs, id_col, text_col, most).distinct())
+    spans = found.groupBy(F.col("id").alias("__sid"), F.col("key").alias("__skey")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
     id_, key = _names(id_col, text_col)
-    rows = docs.withColumns({"__id": id_, "__key": key, "__text": F.col(text_col).cast("string")})
-    met = rows.join(spans, (F.col("__id") == F.col("__sid")) & (F.col("__key") == F.col("__skey")), "left")
+    rows = marked(docs.withColumns({"__id": id_, "__key": key, "__text": F.col(text_col).cast("string")}), found.select(F.col("id").alias("__id"), F.col("key").alias("__key")), ("__id", "__key"))
+    met = rows.where("__maybe").join(spans, (F.col("__id") == F.col("__sid")) & (F.col("__key") == F.col("__skey")), "left")
     columns = docs.columns
     met = met.select(*[F.col(f"`{c}`") for c in columns], "__text", "__spans")
+    whole = rows.where("not __maybe").select(*[F.col(f"`{c}`") for c in columns], "__text", F.lit(None).cast(met.schema["__spans"].dataType).alias("__spans"))
+    met = met.unionByName(whole) if len(set(columns)) == len(columns) else met.union(whole)
     made = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
