@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
@@ -286,12 +286,12 @@ def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def tokens_upto(n_chars, prefix_counts="prefix_counts"):
+def tokens_upto(n_chars: Column, prefix_counts: str = "prefix_counts") -> Column:
     """Column: tokens of the first ``n_chars`` characters, from the stored counts."""
-    return F.element_at(F.col(prefix_counts), F.least(n_chars, F.size(prefix_counts) - 1) + 1)
+    return F.element_at(F.col(prefix_counts), (F.least(n_chars, F.size(prefix_counts) - 1) + 1).cast("int"))
 
 
-def cut_at(budget: int, prefix_counts="prefix_counts"):
+def cut_at(budget: int, prefix_counts: str = "prefix_counts") -> Column:
     """Column: characters of the longest prefix with at most ``budget`` tokens, from the stored counts."""
     counts = F.col(prefix_counts)
     return F.array_max(F.transform(counts, lambda c, i: F.when(c <= budget, i)))
