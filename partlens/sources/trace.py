@@ -13,7 +13,8 @@ def _checked(rows: DataFrame) -> DataFrame:
     shape_ok = F.col("type").isNotNull() & F.col("label").isNotNull() & F.col("at").isNotNull()
     told = F.concat(F.lit("not a trace event: "), F.coalesce("_corrupt", F.to_json(F.struct("type", "label", "at"))))
     broken = F.col("_corrupt").isNotNull() | ~shape_ok
-    return rows.withColumn("type", F.when(broken, F.raise_error(told)).otherwise(F.col("type"))).drop("_corrupt")
+    # A filter: unlike a column it is not pruned when the caller reads other columns or only counts.
+    return rows.where(F.when(broken, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).drop("_corrupt")
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
