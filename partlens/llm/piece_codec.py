@@ -145,6 +145,7 @@ class Codec:
         self.front = "\n" if "\n" in lone else ""
         self.quick = self.plain and self.model.dummy_prefix and bool(self.front) and self.part.match(f"a{MARK}").end() == 1
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         #: One object for each token, shared by all words that hold it.
         self.tokens = list(range(len(self.model.pieces)))
         #: The words and parts on which the libraries differ, and those that decoding does not give back.
@@ -165,9 +166,15 @@ class Codec:
         """Encodes, compares and decodes the words not met before."""
         new = list(words.difference(self.words))
         if len(self.words) + len(new) > REMEMBERED:
-            for kept in (self.words, self.differ, self.lossy):
-                kept.clear()
+            # Words met since the last time are kept for one more round; those met again move on.
+            self.old, self.words = self.words, {}
+            self.differ &= self.old.keys()
+            self.lossy &= self.old.keys()
             new = list(words)
+        again = self.old.keys() & new
+        if again:
+            self.words.update((w, self.old[w]) for w in again)
+            new = [w for w in new if w not in again]
         parts = [[w[1:]] if w[:1] == " " else self.part.findall(w if w[:1] == "\n" else MARK + w) for w in new]
         flat = list(chain.from_iterable(parts))
         tokens = [e.ids for e in self.bare.encode_batch_fast(flat, add_special_tokens=False)]

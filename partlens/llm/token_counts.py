@@ -27,6 +27,8 @@ MARK = "▁"
 LONE = "\n\r\t"
 #: Parts (and neighbours) remembered in a task; beyond that the memory is emptied and filled anew.
 REMEMBERED = 200_000
+#: Pairs of pieces whose standing together is remembered.
+PAIRS = 1_500_000
 #: Keys and marks of the search: a trie's entry for the piece that ends there, and what a prefix ends in.
 PIECE, START, UNKNOWN, NOTHING = 0, -1, -2, -3
 #: Characters of text that are counted at a time.
@@ -61,12 +63,17 @@ class Remembered(dict):
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            # What was met since the last time is kept for one more round; what is met again moves on.
+            self.old = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -93,7 +100,7 @@ class PrefixCounter:
         self.prefix = self._starts_with_mark()
         self.quick = self.prefix and "\n" in self.lone and self.part.match(f"a{MARK}").end() == 1
         self.known: dict[str, bytes] = {}
-        self.totals = Remembered(self._word)
+        self.totals = Remembered(self._word, 2 * REMEMBERED)
         self.together: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
 
@@ -186,7 +193,7 @@ class PrefixCounter:
                 at = a * size + b
                 fits = together.get(at)
                 if fits is None:
-                    if len(together) > REMEMBERED:
+                    if len(together) > PAIRS:
                         together.clear()
                     fits = together[at] = self._stand(START if a == UNKNOWN else a, b)
                 if fits:
