@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from partlens.functions.text import strip_accents
 from partlens.functions.units import cosine
 from partlens.plans.scale import top_k
+from partlens.session import cut_lineage
 
 # Function words that carry no search meaning, and words that only look like plurals.
-STOPWORDS = (
-    "the and for with from that this are was its into onto not but all any can has have been will also such than then "
-    "there they these those de del la el los las un una unos unas en con para por que se su sus al es son lo como pero "
-    "mas este esta estos estas"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "with", "from", "that", "this", "are", "was", "its", "into", "onto", "not", "but", "all", "any",
+    "can", "has", "have", "been", "will", "also", "such", "than", "then", "there", "they", "these", "those",
+    "de", "del", "la", "el", "los", "las", "un", "una", "unos", "unas", "en", "con", "para", "por", "que", "se", "su",
+    "sus", "al", "es", "son", "lo", "como", "pero", "mas", "este", "esta", "estos", "estas",
+]
 IES_WORDS = ["series", "species"]
 # The BM25+ parameters, the fusion constant and the rerank window.
 BM25_K, BM25_B, BM25_D = 1.2, 0.7, 0.5
@@ -303,7 +305,8 @@ def embed_documents(chunks: DataFrame, embedder: Callable[[list[str]], list[list
         padded = list(vectors[: len(pdf)]) + [None] * (len(pdf) - len(vectors))
         return pd.DataFrame({"chunk_id": pdf["id"].to_numpy(), "embedding": padded})
 
-    made = rows.groupBy("document_id", "slice").applyInPandas(apply, "chunk_id string, embedding array<float>")
+    # Kept before it is read twice, so that the embedder is asked once for each text.
+    made = cut_lineage(rows.groupBy("document_id", "slice").applyInPandas(apply, "chunk_id string, embedding array<float>"))
     holes = made.agg(F.count_if(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).alias("holes")).withColumn("_one", F.lit(1))
     checked = made.withColumn("_one", F.lit(1)).join(holes, "_one")
     return checked.select("chunk_id", F.when(F.col("holes") == 0, F.col("embedding")).alias("embedding"))

@@ -311,7 +311,7 @@ def score_catalog(products: DataFrame, reqs: DataFrame, limit: int = 12, include
         )
     )
     alive = scored.join(totals, "req_id").filter("level <= req_level")
-    best = top_k(alive, ["req_id"], [F.desc("rank_score"), F.asc("ord")], clamp_k(limit, 12, 1000))
+    best = top_k(alive, ["req_id"], [F.desc("rank_score"), F.asc("ord")], clamp_k(limit, 12))
     return best.withColumn("relaxed", relaxed_names(F.col("req_level"), constraints))
 
 

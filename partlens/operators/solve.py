@@ -118,7 +118,7 @@ def solve(products: DataFrame, specs: DataFrame, reqs: DataFrame, k: int | None
     Pairs are ranked on five narrow columns; the verdict texts are built for the
     winners only.
     """
-    k = clamp_k(k, 20, 100)
+    k = clamp_k(k, 20)
     counted = evaluate(_pairs(products, specs, reqs, viable_only), details=False)
     if viable_only:
         counted = counted.filter("viable")
@@ -148,7 +148,7 @@ def solve_candidates(products: DataFrame, specs: DataFrame, reqs: DataFrame, can
     req = complete(reqs, REQUIREMENT)
     packed = req.select(F.col("req_id"), F.struct(*req.columns).alias("req"))
     pairs = listed.join(attach_specs(products, specs), "order_number").join(packed, "req_id")
-    return top_k(evaluate(pairs), ["req_id"], solve_order(), clamp_k(k, 20, 100))
+    return top_k(evaluate(pairs), ["req_id"], solve_order(), clamp_k(k, 20))
 
 
 def prefilter(products: DataFrame, specs: DataFrame, reqs: DataFrame) -> DataFrame:

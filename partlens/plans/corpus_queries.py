@@ -457,24 +457,22 @@ BOM_SQL = """b AS (SELECT l_orderkey, o_orderstatus, l_quantity, CASE WHEN l_ret
 
 
 @query("WITH " + BOM_SQL + """ SELECT o_orderstatus, count(*) AS lines, sum(CASE WHEN part IS NULL THEN 1 ELSE 0 END) AS unprocessable, sum(CASE WHEN part IS NOT NULL THEN 1 ELSE 0 END) AS resolved,
-  sum(l_quantity) AS quantity, count(*) AS with_vendor FROM b WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus""")
+  sum(l_quantity) AS quantity, count(*) AS with_vendor FROM b GROUP BY o_orderstatus""")
 def bom_audit(spark, sf):
-    """Every line of the files with a heading, split, read and resolved."""
-    files = _bom_files(spark, sf).filter("o_orderstatus <> 'P'")
-    rows = B.bom_rows(split_boms(files), ["acme"])
-    out = B.bom_audit(rows, T.run(spark, sf, RECORDS_SQL)).join(files.select("file", "o_orderstatus"), "file")
+    """Every line of every file, with a heading or without, split, read and resolved."""
+    status = T.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("file"), "o_orderstatus")
+    out = B.bom_audit(_bom_rows(spark, sf), T.run(spark, sf, RECORDS_SQL)).join(status, "file")
     return out.groupBy("o_orderstatus").agg(
         F.count("*").alias("lines"), F.count_if(F.col("status") == "unprocessable").alias("unprocessable"), F.count_if(F.col("status") == "resolved").alias("resolved"),
         F.sum("quantity").alias("quantity"), F.count("vendor").alias("with_vendor"),
     )
 
 
-@query("""WITH c AS (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'),
-s AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS stated FROM lineitem JOIN c ON c.o_orderkey = l_orderkey GROUP BY l_orderkey)
-SELECT role, col, count(*) AS files FROM (SELECT 'part_number' AS role, 0 AS col FROM s WHERE stated > 0 UNION ALL SELECT 'vendor', 2 FROM s UNION ALL SELECT 'quantity', 1 FROM s) x GROUP BY role, col""")
+@query("""WITH s AS (SELECT l_orderkey, max(CASE WHEN o_orderstatus <> 'P' OR l_returnflag <> 'R' THEN 1 ELSE 0 END) AS told FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
+SELECT role, col, count(*) AS files FROM (SELECT 'part_number' AS role, 0 AS col FROM s WHERE told > 0 UNION ALL SELECT 'vendor', 2 FROM s UNION ALL SELECT 'quantity', 1 FROM s) x GROUP BY role, col""")
 def bom_roles(spark, sf):
-    """Roles told from the cells alone, in files without a heading."""
-    roles = B.column_roles(split_boms(_bom_files(spark, sf).filter("o_orderstatus = 'P'")), ["acme"])
+    """Roles told by the heading, or from the cells alone in files without one."""
+    roles = B.column_roles(split_boms(_bom_files(spark, sf)), ["acme"])
     return roles.groupBy("role", "col").agg(F.count("*").alias("files"))
 
 

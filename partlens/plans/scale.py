@@ -43,11 +43,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def clamp_k(k: int | None, default: int, ceiling: int) -> int:
-    """A usable result size: junk becomes the default, the rest is clamped."""
-    if isinstance(k, bool) or not isinstance(k, (int, float)) or k != k or k < 1:
+def clamp_k(k: float | None, default: int, ceiling: int | None = None) -> int:
+    """A usable result size: junk becomes the default; only a ceiling that the caller names lowers the rest."""
+    if isinstance(k, bool) or not isinstance(k, (int, float)) or not 1 <= k < float("inf"):
         return default
-    return min(int(k), ceiling)
+    return int(k) if ceiling is None else min(int(k), ceiling)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:

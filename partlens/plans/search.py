@@ -38,8 +38,8 @@ def hybrid_search(index: dict[str, DataFrame], queries: DataFrame, reqs: DataFra
     ``index`` holds chunk, posting, stats, vector, product, spec and family
     tables.  Lane ranks are NULL where a lane did not run or did not find the item.
     """
-    k = clamp_k(top, 10, 50)
-    lane_k = clamp_k(candidate_k, R.CANDIDATES, 1000)
+    k = clamp_k(top, 10)
+    lane_k = clamp_k(candidate_k, R.CANDIDATES)
     asked = queries.filter(F.trim("text") != "")
     filtered = reqs is not None and "req_id" in queries.columns
     lanes = []

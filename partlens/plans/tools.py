@@ -14,7 +14,7 @@ from partlens.sources.index_store import provenance
 
 
 def search_catalog(index: dict[str, DataFrame], queries: DataFrame, reqs: DataFrame | None = None, top: int | None = None, **options) -> DataFrame:
-    return hybrid_search(index, queries, reqs, top=clamp_k(top, 10, 50), **options)
+    return hybrid_search(index, queries, reqs, top=clamp_k(top, 10), **options)
 
 
 def get_product(index: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def solve_constraints(index: dict[str, DataFrame], reqs: DataFrame, top: int | N
     empty = (F.size("_stated") == 0) & (F.coalesce(F.size("row_type"), F.lit(0)) <= 0)
     message = F.concat(F.lit("requirement states no constraint: "), "req_id")
     checked = stated.withColumn("req_id", F.when(empty, F.raise_error(message)).otherwise(F.col("req_id"))).drop("_stated")
-    ranked = S.solve(index["product"], index["spec"], checked, clamp_k(top, 20, 100), viable_only)
+    ranked = S.solve(index["product"], index["spec"], checked, clamp_k(top, 20), viable_only)
     return S.evidence_summary(ranked), S.solve_totals(index["product"], index["spec"], checked)
 
 
