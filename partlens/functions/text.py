@@ -111,11 +111,11 @@ def detect_language(c: Column, first: str, second: str, first_words: Sequence[st
     )
 
 
-def problem_keywords(c: Column, stopwords: Sequence[str], min_length: int = 5, limit: int = 8) -> Column:
-    """Longer words of a description, stopwords left out, in order of appearance."""
+def problem_keywords(c: Column, stopwords: Sequence[str], min_length: int = 5, limit: int | None = None) -> Column:
+    """Longer words of a description, stopwords left out, in order of appearance; the first ``limit`` if one is given."""
     words = F.split(F.lower(strip_accents(c)), "[^a-z0-9]+")
     kept = F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*stopwords))
-    return F.slice(kept, 1, limit)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 # What a catalog order number and a type code look like in running text.

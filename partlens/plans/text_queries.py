@@ -26,8 +26,9 @@ def fold(spark, sf):
 
 
 _count = lambda words: "len(regexp_extract_all(concat(' ', regexp_replace(lower(text), '[^a-z0-9_]', '  ', 'g'), ' '), ' (?:" + "|".join(words) + ") '))"
-ES_WORDS = ["el", "la", "los", "las", "un", "una", "de", "del", "que", "con", "por", "para", "en", "es", "son"]
-EN_WORDS = ["the", "a", "an", "of", "that", "with", "for", "in", "is", "are", "from", "to", "on"]
+# The most frequent words of the documents of sf0.001 in each of the two languages.
+ES_WORDS = ["de", "la", "que", "el", "en", "y", "se", "los", "las", "del", "con", "un", "por", "una"]
+EN_WORDS = ["the", "of", "and", "to", "a", "is", "in", "that", "it", "for", "on", "was", "with"]
 
 
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[áéíóúñ¿¡]') THEN 'es' WHEN {_count(ES_WORDS)} >= {_count(EN_WORDS)} THEN 'es' ELSE 'en' END AS language FROM documents")
@@ -36,11 +37,13 @@ def detect_language(spark, sf):
     return spread(T.read(spark, sf, "documents")).select("doc_id", out.alias("language"))
 
 
-STOP = ["would", "there", "which", "about", "should", "could", "sensor", "sensores"]
+# The most frequent longer words of the conversations of sf0.001.
+STOP = ["thble", "thing", "thtion", "ontion", "ertion", "enein", "ering", "reing", "aning"]
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'),
-  lambda w: length(w) > 4 AND NOT list_contains(['would', 'there', 'which', 'about', 'should', 'could', 'sensor', 'sensores'], w))[1:8], ' ') AS words FROM conversations""")
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'),
+  lambda w: length(w) > 4 AND NOT list_contains({STOP_SQL}, w)), ' ') AS words FROM conversations""")
 def problem_keywords(spark, sf):
     return T.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.problem_keywords(F.col("text"), STOP), " ").alias("words"))
 
