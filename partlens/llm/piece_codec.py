@@ -12,8 +12,8 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -26,6 +26,8 @@ from partlens.llm.token_counts import MARK, REMEMBERED, _bounded, safe_parts, wo
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
+#: Words that are encoded at a time; the libraries' answers take far more memory than the tokens that are kept.
+WORDS_AT_ONCE = 16_384
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -91,7 +93,7 @@ class PieceModel:
 
 def rebuild(model: PieceModel):
     """The model as a pipeline of the tokenizers library."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     ids = {text: i for i, (text, _, _) in enumerate(model.pieces)}
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
@@ -116,12 +118,17 @@ def rebuild(model: PieceModel):
         steps.append(normalizers.Prepend(" "))
     steps.append(normalizers.Replace(" ", MARK))
     made.normalizer = normalizers.Sequence(steps)
-    made.decoder = decoders.Sequence([
-        decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []),
-    ])
+    made.decoder = decoder_of(model.dummy_prefix)
     return made
 
 
+def decoder_of(dummy_prefix: bool):
+    """The way back from tokens to text; ``dummy_prefix``: the space that encoding puts in front is taken off."""
+    from tokenizers import decoders
+
+    return decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if dummy_prefix else [])])
+
+
 class Codec:
     """The rebuilt pipeline and sentencepiece's own, with the parts of texts met so far.
 
@@ -136,9 +143,9 @@ class Codec:
         import sentencepiece
 
         self.model = PieceModel.read(path)
-        self.whole, self.bare = rebuild(self.model), rebuild(self.model)
+        self.bare = rebuild(self.model)
         self.bare.normalizer = None
-        self.bare.decoder = rebuild(replace(self.model, dummy_prefix=False)).decoder
+        self.bare.decoder = decoder_of(False)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.plain = not self.model.charsmap and not self.model.squeeze
         self.part, lone = safe_parts([text for text, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)])
@@ -152,6 +159,11 @@ class Codec:
         self.differ: set[str] = set()
         self.lossy: set[str] = set()
 
+    @cached_property
+    def whole(self):
+        """The rebuilt pipeline for whole texts, made when it is first asked for: a plain model's words do without."""
+        return rebuild(self.model)
+
     def cut(self, text: str) -> list[str]:
         """A text as words, or else as marked parts that are told from words by a space in front."""
         if not text:
@@ -175,6 +187,10 @@ class Codec:
         if again:
             self.words.update((w, self.old[w]) for w in again)
             new = [w for w in new if w not in again]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[at : at + WORDS_AT_ONCE])
+
+    def _learn(self, new: list[str]) -> None:
         parts = [[w[1:]] if w[:1] == " " else self.part.findall(w if w[:1] == "\n" else MARK + w) for w in new]
         flat = list(chain.from_iterable(parts))
         tokens = [e.ids for e in self.bare.encode_batch_fast(flat, add_special_tokens=False)]
