@@ -27,7 +27,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the row with the smallest id (of equal ids, the smallest key)."""
     found = simhash.near_duplicates(docs, key=KEY)
-    kept = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("r")).select("r.*", F.lit(1).alias("times"))
+    kept = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("r")).select("r.*", F.lit(1).alias("times"))
     return keep_rows(docs, kept, KEY)
 
 

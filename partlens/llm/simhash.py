@@ -213,11 +213,12 @@ def _cut(code: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("text",), limit: int = 3, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """``id``, ``key``, ``fingerprint`` (16 hex digits), ``component`` (smallest id reachable) for every row of ``docs``.
+    """``id``, ``key``, ``fingerprint`` (16 hex digits), ``component`` (smallest id reachable), ``root`` (smallest code reachable) for every row of ``docs``.
 
     Null and blank texts have fingerprint zero and are linked like any other; a
     row counts as often as it stands in the table; a component whose ids are all
-    null has a null ``component``; other columns are not read; an empty table
+    null has a null ``component``, and two components may have the same smallest id,
+    so groups are told apart by ``root``; other columns are not read; an empty table
     gives an empty result.
     """
     prints = cut_lineage(with_fingerprints(docs, id_col, text_col, key))
@@ -226,7 +227,7 @@ def near_duplicates(
     named = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     named = cut_lineage(named)
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    of_code = named.join(least, "root").select(F.col("code").alias("c"), "component")
+    of_code = named.join(least, "root").select(F.col("code").alias("c"), "component", "root")
     return prints.join(of_code, prints["code"] == of_code["c"]).select(
-        "id", "key", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component"
+        "id", "key", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component", "root"
     )

@@ -291,6 +291,24 @@ def test_keep_rows(edge):
     assert sorted(map(str, keep_rows(edge, named, ("text", "source")).collect())) == sorted(map(str, edge.collect()))
 
 
+def test_groups_with_null_and_repeated_ids(spark):
+    """Unlike texts without an id, or with the same one, are groups of their own."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("first", "second", "third")]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[0] + " x"), (1, "other words " + texts[1][::-1]), (2, texts[2])]
+    table = spark.createDataFrame([(i, t, "en", f"s{n}", len(t), "k") for n, (i, t) in enumerate(rows)], SCHEMA)
+    left = [r.text for r in corpus_pipeline.one_of_each_group(spark, table, SF).collect()]
+    assert {texts[1], texts[2], rows[5][1]} <= set(left) and len(left) == len(set(left)) and any(texts[0] in t for t in left)
+
+
+def test_stages_on_edge_rows(spark, edge):
+    """Every stage takes null and repeated ids; a stage loses no text that is unlike all others."""
+    assert {r.text for r in corpus_pipeline.one_of_each_group(spark, edge, SF).collect()} >= {ROWS[i][1] for i in (0, 5, 7, 8, 9)}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, edge, SF)
+        assert name == corpus_pipeline.STAGES[-1][0] or made.columns == edge.columns
+        made.collect()
+
+
 def test_pipeline_stages(spark, docs):
     """Each stage against a plain version on its own input."""
     judged = {r.doc_id: r.kept for r in entry.queries()["op2_quality"](spark, SF).collect()}
