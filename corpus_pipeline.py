@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import mixing, piece_codec, quality, simhash, suffixes
+from partlens.llm import mixing, piece_codec, quality, similar, suffixes
 from partlens.llm.common import keep_rows, written
 from partlens.llm.queries import piece_model
 
@@ -25,8 +25,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the row with the smallest id (of equal ids, the smallest key)."""
-    found = simhash.near_duplicates(docs, key=KEY)
+    """Of every group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the row with the smallest id (of equal ids, the smallest key)."""
+    found = similar.similar_groups(docs, key=KEY)
     kept = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("r")).select("r.*", F.lit(1).alias("times"))
     return keep_rows(docs, kept, KEY)
 

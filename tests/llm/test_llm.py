@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from partlens.llm import embeddings, extract, mixing, piece_codec, pseudo_likelihood, quality, simhash, suffixes, token_counts, urls
+from partlens.llm import embeddings, extract, mixing, piece_codec, pseudo_likelihood, quality, similar, simhash, suffixes, token_counts, urls
 from partlens.llm.common import components, forest, keep_rows, row_key
 
 SF = "/root/testdata/sf0.001"
@@ -291,6 +291,38 @@ def test_keep_rows(edge):
     assert sorted(map(str, keep_rows(edge, named, ("text", "source")).collect())) == sorted(map(str, edge.collect()))
 
 
+def word_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_similar_groups_brute_force(spark):
+    """Groups of the stage are those of all pairs with a Jaccard of 0.8 or more over five-word shingles."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = table.orderBy("doc_id").collect()
+    sets = word_sets([r.text for r in rows])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    root = forest(len(rows), *np.array(pairs).T)
+    found = {r.id: r.root for r in similar.similar_groups(table).collect()}
+    assert len(found) == len(rows) and found[56] == found[467]
+    assert len(set(found.values())) == len(set(root.tolist())) == len({(found[r.doc_id], x) for r, x in zip(rows, root.tolist(), strict=True)})
+
+
+def test_similar_groups_at_the_edge(spark):
+    """Pairs just over a Jaccard of 0.8 are found nearly always, those just under it never."""
+    rng, rows, over = random.Random(5), [], set()
+    for n in range(300):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(400)]
+        other = words[: 354 if n % 2 else 359] + [f"{rng.getrandbits(40):x}" for _ in range(46 if n % 2 else 41)]
+        a, b = word_sets([" ".join(words), " ".join(other)])
+        if 5 * len(a & b) >= 4 * len(a | b):
+            over.add(n)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    found = {r.id: r.root for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = {n for n in range(300) if found[2 * n] == found[2 * n + 1]}
+    assert len(over) == 150 and met <= over and len(met) >= 145 and len(set(found.values())) == 600 - len(met)
+
+
 def test_groups_with_null_and_repeated_ids(spark):
     """Unlike texts without an id, or with the same one, are groups of their own."""
     texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("first", "second", "third")]
