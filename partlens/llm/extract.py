@@ -27,7 +27,9 @@ from partlens.llm.token_counts import Remembered, _bounded
 # Elements by their place in the text, and common names of page parts.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|template|title|svg|math|iframe|object|noscript|noframes|canvas|audio|video"
+#: Elements whose text is raw up to the end tag, and others that show no text of their own.
+RAW = "script|style|title"
+SILENT = set("template svg math iframe object noscript noframes canvas audio video".split())
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 ARTICLE_PARTS = ["article", "main", "article.post", "div.content", "div.article-body", "div#main", "div.entry-content", "section.story", "div.post", "div.main-content", "main.page"]
 OTHER_PARTS = [
@@ -44,12 +46,28 @@ PATH_SIZE, WORD_SIZE, EXTRA, HIDDEN = 96, 32, 5, 24
 LEARNED_PAGES, LEARNED_CHARS, LAYOUTS, PASSES, PAGES_AT_ONCE = 300, 60_000, 900, 14, 32
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[a-zA-Z]|[!?])[^>]*(?:>|\Z)", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[a-zA-Z]|[!?])[^>]*(?:>|\Z)", re.S | re.I
 )
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def _closed(tokens: list[re.Match]) -> dict[int, int]:
+    """The place of the end tag of each silent element that has one; an element ends at the nearest end tag of its name not taken by one inside it."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for i, token in enumerate(tokens):
+        tag = (token[3] or "").lower()
+        if tag not in SILENT:
+            continue
+        if not token[2]:
+            if tag not in ("svg", "math") or not (token[4] or "").endswith("/"):
+                opened.setdefault(tag, []).append(i)
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = i
+    return ends
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block of a page, in order; the path holds tags and the words of their names."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -75,12 +93,19 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             parts.clear()
         linked = 0
 
-    at = 0
-    for token in _TOKEN.finditer(page):
-        say(page[at : token.start()])
+    at, until = 0, -1
+    tokens = list(_TOKEN.finditer(page))
+    ends = _closed(tokens)
+    for place, token in enumerate(tokens):
+        if place > until:
+            say(page[at : token.start()])
         at = token.end()
         tag = (token[3] or "").lower()
-        if not tag:
+        if not tag or place <= until:
+            continue
+        if tag in SILENT:
+            # One that is self-closed, or has no end tag, hides nothing.
+            until = ends.get(place, until)
             continue
         if tag == "br":
             parts.append(" ")

@@ -214,6 +214,19 @@ def test_blocks():
     assert extract.blocks(None) == extract.blocks("") == extract.blocks("<p> <i></i>") == []
 
 
+@pytest.mark.parametrize(
+    "silent",
+    ['<svg class="i"/>', "<math />", "<object data=x>", "<object><object></object>", "<video-player>", "<video-player></video-player>", "<title-bar></title-bar>", "<iframe src=x>", "<noscript>a</noscript>",
+     "<svg><svg/><g><svg><text>a</text></svg></g>b</svg>", "<template><p>a</p></div></template>", "<SCRIPT>a</SCRIPT >", "</svg>", "<canvas><!-- </canvas> -->a</canvas>", "<video/>a</video>"],
+)
+def test_silent_elements(silent):
+    """A silent element hides what it holds and nothing behind it, and does not cut the block it stands in."""
+    page = f"<article><p>one</p>{silent}<p>two</p><p>three</p></article>"
+    assert [t for _, t, _ in extract.blocks(page)] == ["one", "two", "three"]
+    inside = extract.blocks(f"<p>one {silent} two</p><p>three</p>")
+    assert [t for _, t, _ in inside] == ["one two", "three"] or "-" in silent
+
+
 def test_pseudo_likelihood(docs):
     words = pseudo_likelihood.Words.of(pseudo_likelihood.count_words(docs))
     net = pseudo_likelihood.train(docs, words)
