@@ -3,12 +3,13 @@
 A small network (numpy) predicts each word from the two words on either side: their
 vectors, weighted by place, are summed and squashed, a softmax gives the word's
 class, and the corpus' counts give the word within its class.  A document's score
-is the sum of these conditional log-probabilities over all its words.
+is the sum of these conditional log-probabilities over all its words.  Words that are
+not among the commonest have a vector and a class in common, but each its own
+probability within the class, joined in by word from the table of counts.
 
 Word counts cover the whole corpus.  The network learns from every document too:
-each task trains on one in MASKED positions of all its texts, and the weights of the
-tasks are averaged by a grouped sum of whole numbers (so their order does not matter),
-ROUNDS times.  What reaches the driver has a fixed size: the commonest words and the
+in each of ROUNDS rounds each task trains on another share of the positions of all its
+texts, so on every position once, and the weights of the tasks are averaged by a grouped sum of whole numbers (so their order does not matter).  What reaches the driver has a fixed size: the commonest words and the
 averaged weights.
 """
 
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partlens.llm.common import written
 from partlens.llm.token_counts import _bounded
 from partlens.session import cut_lineage
 
 #: Words with a vector of their own, classes (the commonest words have one each), size of vectors, words seen on either side.
 VOCABULARY, CLASSES, OWN_CLASS, SIZE, SIDE = 4_096, 128, 64, 16, 2
-#: One in MASKED positions is learned from, STEP at a time; weights are averaged ROUNDS times; SCALE makes them whole numbers.
-MASKED, STEP, ROUNDS, RATE, SCALE = 8, 4_096, 2, 0.05, 1 << 24
+#: Positions are learned from STEP at a time; weights are averaged ROUNDS times; SCALE makes them whole numbers.
+STEP, ROUNDS, RATE, SCALE = 4_096, 2, 0.05, 1 << 24
 SCORED_AT_ONCE = 16_384
 #: Different words that a task counts before it hands its counts on.
 COUNTED = 200_000
@@ -70,15 +72,15 @@ class Words:
 
     @classmethod
     def of(cls, counted: DataFrame, vocabulary: int = VOCABULARY) -> Words:
-        """The last entry stands for all other words, which share their class's mass evenly."""
+        """The last entry stands for all other words: ``within`` has one over their mass, to be multiplied by a word's own count."""
         top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-        total, kinds = counted.agg(F.sum("n"), F.count("*")).first()
+        total = counted.agg(F.sum("n")).first()[0] or 0
         place = {bytes(r.word): i for i, r in enumerate(top)}
         n = np.array([r.n for r in top], np.float64)
         kind = np.array([i if i < OWN_CLASS else OWN_CLASS + (i - OWN_CLASS) % (CLASSES - OWN_CLASS - 1) for i in range(len(top))] + [CLASSES - 1], np.int64)
         mass = np.bincount(kind[:-1], n, CLASSES)
         within = np.log(n) - np.log(mass[kind[:-1]])
-        return cls(place, kind, np.append(within, -np.log(max(kinds - len(top), 1))))
+        return cls(place, kind, np.append(within, -np.log(max(total - n.sum(), 1))))
 
     @property
     def other(self) -> int:
@@ -149,7 +151,7 @@ def encoded(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarr
 _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 
-def _round(rows: DataFrame, words, flat: np.ndarray, turn: int) -> DataFrame:
+def _round(rows: DataFrame, words, flat: np.ndarray, turn: int, rounds: int) -> DataFrame:
     """``i`` and whole-number sums: of weights times positions, and of positions (at -1)."""
     start = rows.sparkSession.sparkContext.broadcast(flat)
 
@@ -161,7 +163,7 @@ def _round(rows: DataFrame, words, flat: np.ndarray, turn: int) -> DataFrame:
         for batch in batches:
             for part in _bounded(batch):
                 row, places, _ = encoded(part.column(1).to_pylist(), known)
-                places = places[(places + 3 * turn) % MASKED == 0]
+                places = places[places % rounds == turn]
                 held.append((row[places[:, None] + _AROUND], known.kind[row[places]]))
                 around, kind = (np.concatenate(x) for x in zip(*held, strict=True))
                 full = len(kind) - len(kind) % STEP
@@ -187,9 +189,9 @@ def train(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(words)
     net = Network(words.other + 1)
     for turn in range(rounds):
-        sums = {r.i: int(r.v) for r in _round(rows, shared, net.flat, turn).collect()}
+        sums = {r.i: int(r.v) for r in _round(rows, shared, net.flat, turn, rounds).collect()}
         if -1 not in sums:
-            break
+            continue
         net = Network(net.entries, np.array([sums[i] / sums[-1] / SCALE for i in range(net.flat.size)]))
     return net
 
@@ -202,7 +204,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     other columns are not read.  The averaged weights depend on how the table is split
     into partitions, so scores of reruns agree for the same split.
     """
-    words = Words.of(cut_lineage(count_words(docs, text_col)))
+    counted = cut_lineage(count_words(docs, text_col))
+    words = Words.of(counted)
     net = train(docs, words, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))
 
@@ -218,10 +221,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ]
                 n = np.bincount(owner, minlength=part.num_rows)
                 sums = np.bincount(owner, np.concatenate(told) if told else None, part.num_rows).astype(np.float64)
-                mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)]
+                found = [Counter(w for w in words_of(t) if w not in known.place) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)])
+                rare = [pa.array([w for c in found for w in c], pa.binary()), pa.array([k for c in found for k in c.values()], pa.int64())]
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(rare, names=["word", "times"]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], names=["id", "n_words", "log_likelihood", "per_word"]
+                    [part.column(2), part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), rare], names=["row", "id", "n_words", "known", "rare"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_words long, log_likelihood double, per_word double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    told = written(rows.mapInArrow(run, "row long, id long, n_words long, known double, rare array<struct<word: binary, times: long>>"), "pseudo-likelihood")
+    # Whole numbers, so that the order of the sum does not matter.
+    own = counted.select("word", F.round(F.log("n") * SCALE).cast("long").alias("own"))
+    each = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(own, "word")
+    sums = each.groupBy("row").agg(F.sum(F.col("times") * F.col("own")).alias("more"))
+    value = F.col("known") + F.coalesce("more", F.lit(0)) / F.lit(float(SCALE))
+    scored = told.select("row", "id", "n_words", "known").join(sums, "row", "left").withColumn("log_likelihood", value)
+    return scored.select("id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))

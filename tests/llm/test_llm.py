@@ -240,6 +240,25 @@ def test_pseudo_likelihood(docs):
     assert np.allclose(mass[mass > 0], 1)
 
 
+def test_rare_words_have_their_own_probability(spark):
+    """Words beyond the commonest are told apart by their counts."""
+    common = " ".join(f"w{i}" for i in range(pseudo_likelihood.VOCABULARY))
+    texts = [common] * 12 + ["often"] * 10 + ["seldom"] * 2
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.log_likelihood for r in pseudo_likelihood.score(table).collect()}
+    assert len(found) == len(texts) and found[12] - found[23] == pytest.approx(np.log(5), abs=1e-5)
+
+
+def test_every_position_is_learned_from(spark, docs):
+    """Over all rounds each word is learned from once."""
+    counted = pseudo_likelihood.count_words(docs).persist()
+    words = pseudo_likelihood.Words.of(counted)
+    rows, shared = docs.select(F.col("doc_id").alias("id"), "text"), spark.sparkContext.broadcast(words)
+    flat = pseudo_likelihood.Network(words.other + 1).flat
+    turns = [pseudo_likelihood._round(rows, shared, flat, t, pseudo_likelihood.ROUNDS).where("i = -1").first().v for t in range(pseudo_likelihood.ROUNDS)]
+    assert sum(turns) == counted.agg(F.sum("n")).first()[0]
+
+
 def test_targets_by_resharing(spark):
     sums = {"a": 10, "b": 500, "c": 3, "d": 0, None: 7}
     rows = spark.createDataFrame([(k if k is None else k, v) for k, v in sums.items()], "source string, size long")
