@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlens.llm import embeddings, extract, mixing, piece_codec, pseudo_likelihood, quality, simhash, suffixes, token_counts, urls
+from partlens.llm import embeddings, extract, mixing, packing, piece_codec, pseudo_likelihood, quality, simhash, suffixes, token_counts, urls, variants, whitening
 from partlens.llm.registry import query, read
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -154,3 +154,25 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
+
+
+@query("op11_variants")
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
+def byte_vocabulary() -> str:
+    """The public vocabulary that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
