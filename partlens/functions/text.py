@@ -23,12 +23,12 @@ def _latin_letters() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
-_ACCENTED, _PLAIN = _latin_letters()
+ACCENTED, PLAIN = _latin_letters()
 
 
 def strip_accents(c: Column) -> Column:
     """Letters without their marks, for precomposed and for decomposed input."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), MARKS, "")
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), MARKS, "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -6,28 +6,24 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partlens.functions.text import strip_accents
 from partlens.functions.units import cosine
-from partlens.plans.scale import top_k
+from partlens.operators import postings as P
+from partlens.operators.postings import IES_WORDS, STOPWORDS
+from partlens.plans.scale import at_most, top_k
 from partlens.session import cut_lineage
 
-# Function words that carry no search meaning, and words that only look like plurals.
-STOPWORDS = [
-    "the", "and", "for", "with", "from", "that", "this", "are", "was", "its", "into", "onto", "not", "but", "all", "any",
-    "can", "has", "have", "been", "will", "also", "such", "than", "then", "there", "they", "these", "those",
-    "de", "del", "la", "el", "los", "las", "un", "una", "unos", "unas", "en", "con", "para", "por", "que", "se", "su",
-    "sus", "al", "es", "son", "lo", "como", "pero", "mas", "este", "esta", "estos", "estas",
-]
-IES_WORDS = ["series", "species"]
 # The BM25+ parameters, the fusion constant and the rerank window.
 BM25_K, BM25_B, BM25_D = 1.2, 0.7, 0.5
 RRF_K = 60
 CANDIDATES, RERANK_WINDOW = 60, 50
-# Queries that travel to the workers in one closure.
+# Queries compared with a batch of vectors at once, and asked terms that are sent to every task.
 QUERY_BLOCK = 1024
+BROADCAST_TERMS = 100_000
 
 PART = "[a-z0-9]+"
 JOINED = "[a-z0-9]+(?:[^a-z0-9\\s]+[a-z0-9]+)+"
@@ -72,8 +68,11 @@ def build_postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text"
                    tokens: Callable[[Column], Column] = tokenize, terms: Callable[[Column], Column] = term) -> DataFrame:
     """(term, id, tf, length): term counts per chunk, with the chunk's number of distinct tokens.
 
-    Identical tokens of one chunk combine before the shuffle.
+    The terms of this module are counted in one Arrow pass over the texts.  With other
+    ``tokens`` or ``terms`` (as columns) equal tokens of one chunk combine before the shuffle.
     """
+    if tokens is tokenize and terms is term:
+        return P.index_rows(chunks, id_col, text_col).filter("term is not null")
     # The length is a column of its own before the tokens are exploded, so it is computed once per chunk.
     raw = _sorted_tokens(chunks, id_col, text_col, tokens).withColumn("length", _distinct_size())
     flat = raw.select("id", "length", F.explode("tokens").alias("token"))
@@ -93,6 +92,8 @@ def _distinct_size() -> Column:
 
 def doc_lengths(chunks: DataFrame, id_col: str = "id", text_col: str = "text",
                 tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
+    if tokens is tokenize:
+        return P.index_rows(chunks, id_col, text_col).filter("term is null").select("id", "length")
     return _sorted_tokens(chunks, id_col, text_col, tokens).select("id", _distinct_size().alias("length"))
 
 
@@ -129,17 +130,44 @@ def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: in
     combine map-side.  ``allowed`` (query_id, item) restricts the chunks before
     ranking; document frequencies stay those of the whole corpus.
     """
+    totals = sum_weights(bm25_pairs(queries, postings, stats, **params))
+    if allowed is not None:
+        totals = totals.join(allowed.select("query_id", "item"), ["query_id", "item"], "left_semi")
+    return lane_rank(totals, k)
+
+
+def bm25_pairs(queries: DataFrame, postings: DataFrame, stats: DataFrame, **params: float) -> DataFrame:
+    """(query_id, item, w): the weight of every query term in every chunk that holds it."""
     asked = query_terms(queries)
     hits = postings.join(asked.select("term").distinct(), "term", "left_semi")
     weights = hits.groupBy("term").agg(F.count("*").alias("df"))
     terms = asked.join(weights, "term").withColumn("_one", F.lit(1)).join(stats.withColumn("_one", F.lit(1)), "_one")
     matched = terms.join(hits, "term").withColumnRenamed("id", "item")
-    if allowed is not None:
-        matched = matched.join(allowed.select("query_id", "item"), ["query_id", "item"], "left_semi")
     cols = [F.col(c) for c in ("tf", "df", "length", "n_docs", "avg_length")]
-    scored = matched.withColumn("w", F.col("qtf") * bm25_weight(*cols, **params))
-    totals = scored.groupBy("query_id", "item").agg(F.round(F.sum("w"), 9).alias("score"))
-    return lane_rank(totals, k)
+    return matched.select("query_id", "item", (F.col("qtf") * bm25_weight(*cols, **params)).alias("w"))
+
+
+def sum_weights(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("query_id", "item").agg(F.round(F.sum("w"), 9).alias("score"))
+
+
+def asked_rows(queries: DataFrame, chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The rows of ``index_rows`` that the queries ask for, and the one of each chunk: one pass over the texts, kept.
+
+    The asked terms are sent to every task while they are few (a checked bound);
+    more of them meet the rows in a shuffle.
+    """
+    rows = P.index_rows(chunks, id_col, text_col)
+    asked = query_terms(queries).select("term").distinct().withColumn("asked", F.lit(True))
+    asked = cut_lineage(asked)
+    met = rows.join(F.broadcast(asked) if at_most(asked, BROADCAST_TERMS) else asked, "term", "left")
+    return cut_lineage(met.filter("asked or term is null").drop("asked"))
+
+
+def bm25_over(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, id_col: str = "id", text_col: str = "text", **params: float) -> DataFrame:
+    """``bm25_search`` over texts without a stored index; they are read once."""
+    rows = asked_rows(queries, chunks, id_col, text_col)
+    return bm25_search(queries, rows.filter("term is not null"), P.corpus_stats(rows), k, **params)
 
 
 def lane_rank(scored: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -148,56 +176,69 @@ def lane_rank(scored: DataFrame, k: int = CANDIDATES) -> DataFrame:
     return best.withColumn("rank", F.col("rank") - 1)
 
 
-def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, ties by id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= edge)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
-
-
-def _dense_block(queries: list, vectors: DataFrame, k: int, id_type: str, query_type: str) -> DataFrame:
-    names = [q["query_id"] for q in queries]
-    asked = [np.asarray(q["embedding"], dtype="f8") for q in queries]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = [pd.DataFrame({"s": [], "id": []}) for _ in asked]
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            widths = batch["embedding"].map(len).to_numpy()
-            blocks = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-            matrices = {w: np.stack(batch["embedding"].to_numpy()[rows]).astype("f8") for w, rows in blocks.items()}
-            norms = {w: np.sqrt((m * m).sum(axis=1)) for w, m in matrices.items()}
-            for i, q in enumerate(asked):
-                scores = np.zeros(len(ids))
-                length = float(np.sqrt((q * q).sum()))
-                if len(q) in blocks and length > 0:
-                    w = len(q)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sims = (matrices[w] @ q) / (norms[w] * length)
-                    scores[blocks[w]] = np.clip(np.nan_to_num(sims, nan=0.0, posinf=0.0, neginf=0.0), -1, 1)
-                best = _best_rows(scores, ids, k)
-                merged = pd.concat([kept[i], pd.DataFrame({"s": scores[best], "id": ids[best]})])
-                rows = _best_rows(merged["s"].to_numpy(), merged["id"].to_numpy(), k)
-                kept[i] = merged.iloc[rows]
-        for name, found in zip(names, kept):
-            if len(found):
-                yield pd.DataFrame({"query_id": name, "item": found["id"].to_numpy(), "score": found["s"].to_numpy()})
-
-    return vectors.mapInPandas(scan, f"query_id {query_type}, item {id_type}, score double")
+class _Best:
+    """The ``k`` highest scores of each query so far, ties by id, as rows sorted by query."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.floor = k, np.full(n_queries, -np.inf)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: a row for each vector, a column for each query.  Below a query's k-th score nothing can enter."""
+        row, query = np.nonzero(scores >= self.floor)
+        if not row.size:
+            return
+        found = [query, scores[row, query], ids[row]]
+        if self.id is not None:
+            found = [np.concatenate([a, b]) for a, b in zip((self.query, self.score, self.id), found, strict=True)]
+        order = np.lexsort((found[2], -found[1], found[0]))
+        query, score, ids = (f[order] for f in found)
+        starts = np.searchsorted(query, np.arange(len(self.floor)))
+        kept = np.arange(query.size) - starts[query] < self.k
+        self.query, self.score, self.id = query[kept], score[kept], ids[kept]
+        ends = np.searchsorted(self.query, np.arange(len(self.floor)), side="right")
+        full = ends - np.searchsorted(self.query, np.arange(len(self.floor))) >= self.k
+        self.floor[full] = self.score[ends[full] - 1]
+
+
+def _cosines(rows: list, asked: dict[int, tuple[np.ndarray, np.ndarray]], n_queries: int) -> np.ndarray:
+    """A matrix product for each width; a vector of another width, and one of length zero, has the cosine 0."""
+    scores = np.zeros((len(rows), n_queries))
+    widths = np.array([len(r) for r in rows])
+    for width, (places, unit) in asked.items():
+        own = np.flatnonzero(widths == width)
+        if own.size:
+            block = np.stack([rows[i] for i in own]).astype("f8")
+            norms = np.sqrt((block * block).sum(axis=1, keepdims=True))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = (block @ unit.T) / norms
+            scores[np.ix_(own, places)] = np.clip(np.round(np.nan_to_num(found, nan=0.0, posinf=0.0, neginf=0.0), 9), -1, 1)
+    return scores
+
+
+def _units(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: the places of the queries and their vectors at length one; a query of length zero is left out."""
+    widths = np.array([len(v) for v in vectors])
+    out = {}
+    for width in np.unique(widths):
+        places = np.flatnonzero(widths == width)
+        block = np.stack([vectors[i] for i in places]).astype("f8")
+        norms = np.sqrt((block * block).sum(axis=1))
+        some = norms > 0
+        out[int(width)] = places[some], block[some] / norms[some, None]
+    return out
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, id_col: str = "id",
                  allowed: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, item, score, rank): exact cosine top ``k`` per query.
-
-    Every task compares its vectors with a block of queries and hands on ``k``
-    rows per query, so the shuffle carries k rows per partition.  Queries beyond
-    one block are answered in further scans.  NULL or empty vectors are skipped;
-    a vector of another width scores 0.  With ``allowed`` the restricted pairs
-    are compared directly, through an equi-join.
+    """(query_id, item, score, rank): exact cosine top ``k`` per query, cosines rounded to nine places.
+
+    Queries are cut into blocks of about ``block`` and vectors into as many parts as
+    shuffles have partitions; each (block, part) meets in one task, which holds the
+    block, streams the part through matrix products, and hands on ``k`` rows per
+    query.  Nothing passes through the driver but the number of queries.  NULL or
+    empty vectors are skipped; a vector of another width scores 0.  With ``allowed``
+    the restricted pairs are compared directly, through an equi-join.
     """
     rows = vectors.select(F.col(id_col).alias("id"), "embedding").filter(F.size("embedding") > 0)
     asked = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
@@ -205,18 +246,61 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, id
         pairs = allowed.select("query_id", F.col("item").alias("id")).join(rows, "id").join(
             asked.withColumnRenamed("embedding", "asked"), "query_id"
         )
-        scored = pairs.select("query_id", F.col("id").alias("item"), cosine(F.col("asked"), F.col("embedding")).alias("score"))
+        scored = pairs.select("query_id", F.col("id").alias("item"), F.round(cosine(F.col("asked"), F.col("embedding")), 9).alias("score"))
         return lane_rank(scored, k)
     types = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *asked.schema.fields]}
-    total = asked.count()
-    blocks = max(1, -(-total // block))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = None
-    for number in range(blocks):
-        chosen = asked.filter(part == number).collect()
-        found = _dense_block(chosen, rows, k, types["id"], types["query_id"])
-        out = found if out is None else out.unionByName(found)
-    return lane_rank(out, k)
+    blocks = max(1, -(-asked.count() // block))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(side: DataFrame, key: str, own: int, other: int, name: str) -> DataFrame:
+        """Rows with their own place and, once for each of the other side's, the pair's number."""
+        place = F.pmod(F.xxhash64(key), F.lit(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        pair = (F.col("_own") * parts + F.col("_other")) if name == "query" else (F.col("_other") * parts + F.col("_own"))
+        out = side.withColumn("_own", place).withColumn("_other", every).withColumn("pair", pair)
+        empty = {"query_id": types["query_id"], "id": types["id"]}
+        return out.select("pair", F.lit(name == "query").alias("asks"), *[(F.col(c) if c == key else F.lit(None).cast(t)).alias(c) for c, t in empty.items()],
+                          F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, names, held, asked, best, kinds = -1, [], [], None, None, ()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if best is not None and best.id is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, kinds[0]).take(pa.array(best.query)), pa.array(best.id.tolist(), kinds[1]), pa.array(best.score)],
+                    names=["query_id", "item", "score"],
+                )
+
+        for batch in batches:
+            kinds = batch.schema.field("query_id").type, batch.schema.field("id").type
+            numbers = batch.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if numbers[a] != pair:
+                    yield from told()
+                    pair, names, held, asked, best = numbers[a], [], [], None, None
+                asks = part.column("asks").to_numpy(zero_copy_only=False)
+                n = int(asks.sum())
+                if n:
+                    names += part.column("query_id").slice(0, n).to_pylist()
+                    held += [np.array(v) for v in part.column("embedding").slice(0, n).to_pylist()]
+                if n < part.num_rows and names:
+                    if best is None:
+                        asked, best = _units(held), _Best(k, len(names))
+                    own = part.slice(n)
+                    ids = own.column("id").to_numpy(zero_copy_only=False)
+                    ids = ids.astype(str) if ids.dtype == object else ids
+                    best.add(_cosines([v.values.to_numpy(zero_copy_only=False) for v in own.column("embedding")], asked, len(names)), ids)
+        yield from told()
+
+    both = dealt(asked, "query_id", blocks, parts, "query").unionByName(dealt(rows, "id", parts, blocks, "vector"))
+    met = both.repartition(blocks * parts, "pair").sortWithinPartitions("pair", F.desc("asks"))
+    found = met.mapInArrow(compare, f"query_id {types['query_id']}, item {types['id']}, score double")
+    return lane_rank(found, k)
 
 
 def rrf(lanes: DataFrame, names: Sequence[str], k: float | None = RRF_K, weights: dict[str, float] | None = None,

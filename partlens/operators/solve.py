@@ -157,6 +157,15 @@ def prefilter(products: DataFrame, specs: DataFrame, reqs: DataFrame) -> DataFra
     return counted.filter("viable").select("req_id", "order_number")
 
 
+def prefilter_pairs(products: DataFrame, specs: DataFrame, reqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (req_id, order_number) without a stated violation; only these are evaluated."""
+    req = complete(reqs, REQUIREMENT)
+    packed = req.select("req_id", F.struct(*req.columns).alias("req"))
+    named = pairs.select("req_id", "order_number").distinct()
+    met = named.join(attach_specs(products, specs), "order_number").join(packed, "req_id")
+    return evaluate(met, details=False).filter("viable").select("req_id", "order_number")
+
+
 def solve_totals(products: DataFrame, specs: DataFrame, reqs: DataFrame) -> DataFrame:
     """Evaluated, viable, disqualified and fully verified products per requirement."""
     counted = evaluate(_pairs(products, specs, reqs, viable_only=False), details=False)

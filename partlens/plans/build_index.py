@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.operators import chunks as C
+from partlens.operators import postings as P
 from partlens.operators import retrieval as R
 from partlens.operators.normalize import normalize_spec
 from partlens.session import cut_lineage
@@ -35,21 +36,12 @@ def search_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     them several times, and building a card joins a dozen aggregates.
     """
     chunk = cut_lineage(tables["chunk"])
-    return {
-        **tables,
-        "chunk": chunk,
-        "posting": cut_lineage(R.build_postings(chunk)),
-        "stats": R.corpus_stats(R.doc_lengths(chunk)),
-    }
+    rows = cut_lineage(P.index_rows(chunk))
+    return {**tables, "chunk": chunk, "posting": rows.filter("term is not null"), "stats": P.corpus_stats(rows)}
 
 
 def build_index(spark: SparkSession, products_path: str, families_path: str, out: str, **options) -> str:
     """Read a catalog, build its index and write it under ``out``; returns the version folder."""
-    products = catalog.read_catalog_jsonl(spark, products_path).withColumn("ord", F.monotonically_increasing_id())
+    products = catalog.read_catalog_jsonl(spark, products_path)
     families = catalog.read_families_csv(spark, families_path)
     return index_store.write_index(index_tables(products, families, **options), out, products_path)
-
-
-def bucket_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Save postings bucketed by term, so that later searches join without shuffling them."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+from partlens.sources import posting_store
+
+VERSION = 2
 TABLES = ["chunk", "vector", "spec", "product", "family"]
 
 
@@ -70,8 +72,8 @@ def provenance(tables: dict[str, DataFrame], source_dir: str, built_at: str | No
     ).drop("_one", "min_width", "max_width")
 
 
-def write_index(tables: dict[str, DataFrame], path: str, source_dir: str = "", buckets: int = 0) -> str:
-    """Write every table under a fresh version folder, then point ``current`` at it.
+def write_index(tables: dict[str, DataFrame], path: str, source_dir: str = "", buckets: int = posting_store.BUCKETS) -> str:
+    """Write every table and the postings of the chunks under a fresh version folder, then point ``current`` at it.
 
     Readers follow the pointer, so they see the old index or the new one, never a mix.
     """
@@ -83,6 +85,7 @@ def write_index(tables: dict[str, DataFrame], path: str, source_dir: str = "", b
             writer = writer.partitionBy("section")
         writer.parquet(f"{version}/{name}")
     written = {name: spark.read.parquet(f"{version}/{name}") for name in TABLES}
+    posting_store.write_postings(written["chunk"], version, buckets=buckets)
     provenance(written, source_dir).write.parquet(f"{version}/provenance")
     validate_index(spark, version)
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
@@ -90,9 +93,11 @@ def write_index(tables: dict[str, DataFrame], path: str, source_dir: str = "", b
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the current version, its provenance, and its ``postings`` (a :class:`partlens.sources.posting_store.Postings`)."""
     version = spark.read.parquet(f"{path}/current").first()["version"]
     validate_index(spark, version)
-    return {name: spark.read.parquet(f"{version}/{name}") for name in [*TABLES, "provenance"]}
+    tables = {name: spark.read.parquet(f"{version}/{name}") for name in [*TABLES, "provenance"]}
+    return {**tables, "postings": posting_store.read_postings(spark, version)}
 
 
 def validate_index(spark: SparkSession, version: str) -> None:
@@ -106,5 +111,9 @@ def validate_index(spark: SparkSession, version: str) -> None:
         raise ValueError(f"index {version}: chunk count differs from its provenance")
     if not vector.join(chunk, vector["chunk_id"] == chunk["id"], "left_anti").isEmpty():
         raise ValueError(f"index {version}: a vector belongs to no chunk")
+    stored = posting_store.read_postings(spark, version)
+    if stored.n_docs != told["chunk_count"]:
+        raise ValueError(f"index {version}: postings of {stored.n_docs} chunks, but {told['chunk_count']} chunks")
+    posting_store.validate_postings(stored)
     if told["mixed_widths"]:
         raise ValueError(f"index {version}: vectors of different widths")
