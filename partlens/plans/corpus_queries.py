@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from partlens.operators import audit as A
@@ -16,12 +13,16 @@ from partlens.operators import match as M
 from partlens.operators import normalize as N
 from partlens.operators import retrieval as R
 from partlens.plans import tables as T
+from partlens.plans import tools
 from partlens.plans.build_index import index_tables, search_tables
 from partlens.plans.registry import query
 from partlens.plans.scale import block_row_number, spread, top_k
-from partlens.plans.search import hybrid_search
+from partlens.plans.search import hybrid_search, retrieved_ids
+from partlens.plans.solve_queries import PAIRS_SQL
+from partlens.session import shared_folder
+from partlens.sources import posting_store as PS
 from partlens.sources.bom_files import split_boms
-from partlens.sources.index_store import provenance
+from partlens.sources.index_store import provenance, read_index, write_index
 from partlens.streaming.bom import audit_stream
 from partlens.streaming.trace import latest_summary, summarize_stream, write_summary
 
@@ -41,11 +42,26 @@ TERM_SQL = f"""CASE WHEN length(token) < 2 THEN NULL WHEN regexp_matches(token,
   WHEN token IN ('series', 'species') THEN token WHEN token LIKE '%ies' AND length(token) >= 5 THEN concat(substr(token, 1, length(token) - 3), 'y')
   WHEN token LIKE '%ing' AND length(token) >= 6 THEN substr(token, 1, length(token) - 3) WHEN token LIKE '%ed' AND length(token) >= 5 AND token NOT LIKE '%eed' THEN substr(token, 1, length(token) - 2)
   WHEN token LIKE '%s' AND length(token) >= 4 AND NOT regexp_matches(token, '(ss|us|is)$') THEN substr(token, 1, length(token) - 1) ELSE token END"""
-POSTINGS_SQL = f"""raw AS MATERIALIZED (SELECT doc_id AS id, {_tokens_sql('text')} AS tokens FROM documents),
+
+
+def _postings_sql(table: str, id_: str) -> str:
+    return f"""raw AS MATERIALIZED (SELECT {id_} AS id, {_tokens_sql('text')} AS tokens FROM {table}),
 lens AS (SELECT id, len(list_distinct(tokens)) AS length FROM raw), tok AS (SELECT id, unnest(tokens) AS token FROM raw),
 post AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM (SELECT id, {TERM_SQL} AS term FROM tok) x WHERE term IS NOT NULL GROUP BY term, id)"""
 
 
+def _bm25_sql(queries: str, id_: str) -> str:
+    return f""", st AS (SELECT count(*)::double AS n, avg(length) AS al FROM lens), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qtok AS (SELECT {id_} AS query_id, unnest({_tokens_sql('text')}) AS token FROM {queries}),
+qterm AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, {TERM_SQL} AS term FROM qtok) x WHERE term IS NOT NULL GROUP BY query_id, term),
+w AS (SELECT q.query_id, p.id AS item, qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * l.length / al))) AS s
+  FROM qterm q JOIN post p ON p.term = q.term JOIN dfs d ON d.term = q.term JOIN lens l ON l.id = p.id, st),
+bm AS (SELECT query_id, item, round(sum(s), 9) AS score FROM w GROUP BY query_id, item)"""
+
+
+POSTINGS_SQL = _postings_sql("documents", "doc_id")
+
+
 def _documents(spark, sf):
     return spread(T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -66,12 +82,7 @@ def corpus_stats(spark, sf):
     return R.corpus_stats(R.doc_lengths(_documents(spark, sf))).select("n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
-BM25_SQL = POSTINGS_SQL + f""", st AS (SELECT count(*)::double AS n, avg(length) AS al FROM lens), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-qtok AS (SELECT item_id AS query_id, unnest({_tokens_sql('text')}) AS token FROM benchmark),
-qterm AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, {TERM_SQL} AS term FROM qtok) x WHERE term IS NOT NULL GROUP BY query_id, term),
-w AS (SELECT q.query_id, p.id AS item, qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * l.length / al))) AS s
-  FROM qterm q JOIN post p ON p.term = q.term JOIN dfs d ON d.term = q.term JOIN lens l ON l.id = p.id, st),
-bm AS (SELECT query_id, item, round(sum(s), 9) AS score FROM w GROUP BY query_id, item),
+BM25_SQL = POSTINGS_SQL + _bm25_sql("benchmark", "item_id") + """,
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) - 1 AS rank FROM bm)"""
 
 
@@ -80,8 +91,7 @@ def _queries(spark, sf):
 
 
 def _bm25(spark, sf, k):
-    docs = _documents(spark, sf)
-    return R.bm25_search(_queries(spark, sf), R.build_postings(docs), R.corpus_stats(R.doc_lengths(docs)), k)
+    return R.bm25_over(_queries(spark, sf), _documents(spark, sf), k)
 
 
 @query("WITH " + BM25_SQL + " SELECT query_id, rank, item, round(score, 5) AS score FROM bmr WHERE rank < 10")
@@ -89,6 +99,16 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf, 10).select("query_id", "rank", "item", F.round("score", 5).alias("score"))
 
 
+@query("WITH " + BM25_SQL + " SELECT query_id, rank, item, round(score, 5) AS score FROM bmr WHERE rank < 10")
+def index_search(spark, sf):
+    """The same search out of postings that are written, read back and checked first."""
+    version = f"{shared_folder(spark)}/postings"
+    PS.write_postings(_documents(spark, sf), version)
+    stored = PS.read_postings(spark, version)
+    PS.validate_postings(stored)
+    return PS.search(_queries(spark, sf), stored, 10).select("query_id", "rank", "item", F.round("score", 5).alias("score"))
+
+
 # One query vector per label: the mean of its vectors, so queries stay few at any scale.
 DENSE_SQL = """e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings), dims AS (SELECT label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
 means AS (SELECT label, i, round(avg(x), 9) AS m FROM dims GROUP BY label, i), q AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM means GROUP BY label),
@@ -153,13 +173,56 @@ def _index(spark, sf):
     return search_tables({**index_tables(T.full_products(spark, sf)), "spec": T.specs(spark, sf)})
 
 
-@query()
+CARD_SEARCH_SQL = PAIRS_SQL + ", " + _postings_sql("{cards}", "id") + _bm25_sql("{card_queries}", "query_id") + """,
+alive AS (SELECT req_id, order_number FROM counted WHERE failed = 0),
+allowed AS (SELECT q.query_id, c.id AS item FROM {card_queries} q JOIN {cards} c ON q.req_id IS NULL WHERE trim(q.text) <> ''
+  UNION ALL SELECT q.query_id, c.id FROM {card_queries} q JOIN alive a ON a.req_id = q.req_id JOIN {cards} c ON c.order_number = a.order_number
+  UNION ALL SELECT DISTINCT q.query_id, c.document_id FROM {card_queries} q JOIN alive a ON a.req_id = q.req_id JOIN {cards} c ON c.order_number = a.order_number),
+l1 AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) - 1 AS rank FROM bm JOIN allowed USING (query_id, item)),
+sims AS (SELECT query_id, item, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) AS score FROM allowed JOIN {card_queries} q USING (query_id) JOIN {card_vectors} v ON v.chunk_id = item),
+l2 AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) - 1 AS rank FROM sims),
+u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item, b.item) AS item, a.rank AS bm25_rank, b.rank AS dense_rank FROM (SELECT * FROM l1 WHERE rank < 60) a FULL JOIN (SELECT * FROM l2 WHERE rank < 60) b ON a.query_id = b.query_id AND a.item = b.item),
+f AS (SELECT *, coalesce(1 / (60::double + bm25_rank), 0) + coalesce(1 / (60::double + dense_rank), 0) AS rrf FROM u),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item) - 1 AS fused_rank FROM f),
+urls AS (SELECT section, family, min(product_url) AS url FROM {catalog} GROUP BY section, family),
+cited AS (SELECT fr.*, c.kind, c.order_number, c.section, c.family, c.source_page, coalesce(p.product_url, u.url) AS product_url, p.type_code
+  FROM fr JOIN {cards} c ON c.id = item LEFT JOIN {catalog} p ON p.order_number = c.order_number LEFT JOIN urls u ON u.section = c.section AND u.family = c.family)"""
+
+
+def _card_index(spark, sf):
+    """The cards and their catalog as an index that is written, read back and checked."""
+    products = T.full_products(spark, sf)
+    families = products.groupBy("section", "family").agg(F.min("product_url").alias("product_url"))
+    tables = {"chunk": T.derive(spark, sf, "cards"), "vector": T.derive(spark, sf, "card_vectors"), "product": products, "spec": T.specs(spark, sf), "family": families}
+    path = f"{shared_folder(spark)}/index"
+    write_index(tables, path, "derived")
+    return read_index(spark, path)
+
+
+@query(CARD_SEARCH_SQL + " SELECT query_id, fused_rank AS rank, item, kind, bm25_rank, dense_rank, order_number, type_code, source_page, product_url FROM cited WHERE fused_rank < 10")
 def hybrid_topk(spark, sf):
-    """Requirement texts searched over the cards of the derived catalog, prefiltered by the requirement itself."""
-    reqs = T.requirements(spark, sf)
-    index = _index(spark, sf)
-    texts = reqs.select(F.col("req_id").alias("query_id"), "req_id", F.concat_ws(" ", F.lit("red bolt"), F.array_join("section", " "), F.array_join("connector", " ")).alias("text"))
-    return hybrid_search(index, texts, reqs, top=10, dense=False).select("query_id", "rank", "item", "kind", "bm25_rank", "dense_rank", "source_page")
+    """Questions searched over the cards of a stored index in both lanes, each over what its requirement allows."""
+    found = hybrid_search(_card_index(spark, sf), T.derive(spark, sf, "card_queries"), T.requirements(spark, sf), top=10)
+    return found.select("query_id", "rank", "item", "kind", "bm25_rank", "dense_rank", "order_number", "type_code", "source_page", "product_url")
+
+
+@query(CARD_SEARCH_SQL + """ SELECT query_id, order_number, min(fused_rank) AS rank FROM cited WHERE fused_rank < 25 AND order_number IS NOT NULL GROUP BY query_id, order_number""")
+def search_catalog(spark, sf):
+    """The products among the first 25 hits of every question, each at its best place."""
+    return retrieved_ids(tools.search_catalog(_card_index(spark, sf), T.derive(spark, sf, "card_queries"), T.requirements(spark, sf), top=25))
+
+
+STATS_FIELDS = ["output_type", "ip_rating", "light"]
+
+
+@query("WITH t AS (SELECT * FROM {catalog}), n AS (SELECT count(*) AS chunk_count, count(*) FILTER (WHERE kind = 'family') AS family_card_count, count(DISTINCT document_id) AS document_count FROM {cards}), "
+       + "v AS (SELECT count(*) AS embedded_count, max(len(embedding)) AS embedding_width FROM {card_vectors}) "
+       + " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS stated, round(100.0::double * count({f}) / count(*), 1) AS pct, max(chunk_count) AS chunk_count, max(family_card_count) AS family_card_count, max(document_count) AS document_count, max(embedded_count) AS embedded_count, max(embedding_width) AS embedding_width FROM t, n, v" for f in STATS_FIELDS))
+def index_stats(spark, sf):
+    """Counts of a stored index beside the coverage of some of its fields."""
+    counts, fields = tools.index_stats(_card_index(spark, sf), STATS_FIELDS, "derived")
+    one = counts.select(F.lit(1).alias("_one"), "chunk_count", "family_card_count", "document_count", "embedded_count", "embedding_width")
+    return fields.withColumn("_one", F.lit(1)).join(one, "_one").select("field", "stated", "pct", *one.columns[1:])
 
 
 @query()
@@ -412,18 +475,10 @@ def trace_summary(spark, sf):
     return CV.trace_summary(_as_trace(T.read(spark, sf, "events")))
 
 
-def _shared_folder(spark) -> str:
-    """A fresh folder next to the session's checkpoints; a local one only for a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="run-", dir=None) if base is None else f"{base}/run-{os.urandom(8).hex()}"
-
-
 @query(TRACE_SUMMARY_SQL)
 def trace_summary_stream(spark, sf):
     """The same summary from a stream over the events table."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     schema = T.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     events = _as_trace(stream)
@@ -502,6 +557,27 @@ def row_image_match(spark, sf):
     return IM.row_image_match(images, rows).select("page", "order_number", "image_id", "offset")
 
 
+# Pages of many images: the orders of 32 keys, their lines as rows, the images in the order of their keys.
+CROWDED_SQL = """img AS (SELECT cast(floor(o_orderkey / 32) AS int) AS page, cast(o_orderkey AS string) AS image_id, o_orderkey AS ord, cast(floor(o_totalprice / 600) AS int) * 2 AS top, 10 AS left_at,
+  60 AS w, CASE WHEN o_orderpriority LIKE '1%' THEN 200 ELSE 40 END AS h, cast(o_custkey AS string) AS sha, 900 AS page_width FROM {orders}),
+rws AS (SELECT cast(floor(l_orderkey / 32) AS int) AS page, cast(l_partkey AS string) AS order_number, cast(l_quantity * 16 AS int) AS top, min(l_orderkey * 8 + l_linenumber) AS ord FROM {lineitem} GROUP BY 1, 2, 3)"""
+
+
+@query("WITH RECURSIVE " + CROWDED_SQL + """, th AS (SELECT *, top + h / 2.0::double AS centre, row_number() OVER (PARTITION BY page ORDER BY ord, image_id) AS seq FROM img WHERE w < page_width * 0.7::double AND w * h >= 500 AND h <= 100),
+pr AS MATERIALIZED (SELECT r.page, r.order_number, r.ord, r.top + 5.5::double AS pos, min(abs(t.centre - (r.top + 5.5::double))) AS nearest FROM rws r JOIN th t ON t.page = r.page GROUP BY r.page, r.order_number, r.ord, r.top),
+fold AS (SELECT DISTINCT page, 0::bigint AS seq, []::varchar[] AS taken, NULL::varchar AS order_number, NULL::varchar AS image_id, NULL::double AS "offset" FROM pr
+  UNION ALL SELECT page, seq, CASE WHEN claims THEN list_append(taken, number) ELSE taken END, CASE WHEN claims THEN number END, CASE WHEN claims THEN image END, CASE WHEN claims THEN away END
+  FROM (SELECT f.page, t.seq, f.taken, p.order_number AS number, t.image_id AS image, t.centre - p.pos AS away, abs(t.centre - p.pos) <= 45 AND p.nearest >= abs(t.centre - p.pos) AS claims,
+      row_number() OVER (PARTITION BY f.page ORDER BY abs(t.centre - p.pos), p.ord, p.order_number) AS rn
+    FROM fold f JOIN th t ON t.page = f.page AND t.seq = f.seq + 1 JOIN pr p ON p.page = f.page AND NOT list_contains(f.taken, p.order_number)) x WHERE rn = 1)
+SELECT page, order_number, image_id, "offset" FROM fold WHERE order_number IS NOT NULL""")
+def image_claims(spark, sf):
+    """Thumbnails of crowded pages claim their rows one after another."""
+    images = T.run(spark, sf, "WITH " + CROWDED_SQL + " SELECT * FROM img")
+    rows = T.run(spark, sf, "WITH " + CROWDED_SQL + " SELECT * FROM rws")
+    return IM.row_image_match(images, rows).select("page", "order_number", "image_id", "offset")
+
+
 ASSIGN_SQL = MATCH_SQL + """, heroes AS (SELECT page, image_id, sha, area FROM use WHERE h >= 71 AND (page, image_id) NOT IN (SELECT page, image_id FROM matched)),
 parts AS (SELECT order_number, concat(category, '|', coalesce(family, 'null')) AS fam FROM {catalog} WHERE row_type = 'product'),
 onp AS (SELECT DISTINCT p.order_number, p.fam, h.page, h.image_id, h.sha, h.area FROM rws r JOIN parts p ON p.order_number = r.order_number JOIN heroes h ON h.page = r.page),

@@ -387,19 +387,51 @@ def accessory_links(spark, sf):
     return L.accessory_counts(rows.filter("row_type = 'product'"), rows.filter("row_type = 'accessory'"))
 
 
-@query(SCORED_SQL + """, picks AS (SELECT req_id, max(CASE WHEN rnk = 1 THEN order_number END) AS recommended,
-  string_agg(order_number, ',' ORDER BY rnk) FILTER (WHERE rnk BETWEEN 2 AND 4) AS alternatives, max(req_level) AS req_level,
-  bool_or(ord IN (SELECT ord FROM {enriched} WHERE is_safety_product) AND rnk <= 4) AS safe FROM ranked GROUP BY req_id)
-SELECT r.req_id, recommended, coalesce(alternatives, '') AS alternatives,
+def _num(value: str) -> str:
+    return f"regexp_replace(round({value}, 6)::decimal(30, 6)::varchar, '\\.?0+$', '')"
+
+
+def _told(*parts: str) -> str:
+    return "concat(" + ", ".join(f"coalesce(({p})::varchar, 'not stated')" for p in parts) + ")"
+
+
+DETAIL_SQL = {
+    "solution_class": _told("'solution class '", "p.solution_class"),
+    "sensing_mode": _told("'sensing mode '", "p.sensing_mode"),
+    "sensing_range": _told("'reaches '", _num("p.sensing_range_max_mm"), "' mm for a target at '", _num("r.target_distance_mm"), "' mm'"),
+    "protective_field_height": _told("'protective field of '", _num("p.protective_field_height_mm"), "' mm for '", _num("r.field_height_mm"), "' mm'"),
+    "safety_resolution": _told("'resolution of '", _num("p.safety_resolution_mm"), "' mm for '", _num("r.safety_resolution_mm"), "' mm'"),
+    "ingress_protection": _told("'rated '", "p.enclosure_rating"),
+    "ambient_temperature": _told("'rated '", _num("p.operating_temp_min_c"), "' to '", _num("p.operating_temp_max_c"), "' °C'"),
+    "switching_output": _told("'output '", "p.switching_output"),
+    "response_time": _told("'responds in '", _num("p.response_time_ms"), "' ms'"),
+    "communication_protocol": _told("'protocols '", "array_to_string(list_filter(string_split(p.protocol_list, '|'), lambda x: list_contains(string_split(r.protocol_list, '|'), lower(x))), ', ')"),
+    "application_keywords": _told("'text mentions '", "array_to_string(list_filter(string_split(r.keyword_list, '|'), lambda k: contains(p.search_blob, k)), ', ')"),
+}
+FACTS_SQL = f"""list_filter(['detection principle: ' || p.sensing_mode, 'sensing range up to ' || {_num('p.sensing_range_max_mm')} || ' mm', 'enclosure rating ' || p.enclosure_rating,
+  'output ' || p.switching_output, 'listed on page ' || p.source_page], lambda x: x IS NOT NULL)"""
+WHY_SQL = f"""gains AS (SELECT k.req_id, {FACTS_SQL} AS facts, list_sort(list_filter([{", ".join(f"{{'gain': -{w}::double * k.v_{n}::double, 'i': {i}, 's': k.s_{n}, 'd': {DETAIL_SQL[n]}}}" for i, (n, (w, *_)) in enumerate(OUTCOME_SQL.items()))}],
+  lambda o: o.s = 'satisfied' AND o.gain < 0)) AS best FROM ranked k JOIN {{enriched}} p ON p.order_number = k.order_number JOIN {{scoring_reqs}} r ON r.req_id = k.req_id WHERE rnk = 1),
+why AS (SELECT req_id, array_to_string(CASE WHEN len(best) > 0 THEN list_transform(best[:4], lambda o: o.d) ELSE facts[:4] END, '; ') AS why FROM gains)"""
+
+
+@query(SCORED_SQL + ", " + ACCESSORY_SQL + ", " + WHY_SQL + """, picks AS (SELECT req_id, max(CASE WHEN rnk = 1 THEN order_number END) AS recommended,
+  string_agg(order_number, ',' ORDER BY rnk) FILTER (WHERE rnk BETWEEN 2 AND 4) AS alternatives, max(req_level) AS req_level, count(*) AS survivors,
+  bool_or(ord IN (SELECT ord FROM {enriched} WHERE is_safety_product) AND rnk <= 4) AS safe FROM ranked GROUP BY req_id),
+rest AS (SELECT req_id, count(*) FILTER (WHERE level > req_level) AS excluded FROM scored GROUP BY req_id),
+extras AS (SELECT order_number, string_agg(accessory, ',' ORDER BY rn) AS complete_with FROM placed WHERE rn <= 6 GROUP BY order_number)
+SELECT r.req_id, recommended, coalesce(alternatives, '') AS alternatives, why, CASE WHEN recommended IS NOT NULL THEN coalesce(complete_with, '') END AS complete_with,
+  coalesce(survivors, 0) AS survivors, coalesce(excluded, 0) AS excluded,
   (CASE WHEN req_level > 0 THEN 1 ELSE 0 END) + (CASE WHEN class_list IS NULL AND preferred_list IS NULL AND keyword_list IS NOT NULL THEN 1 ELSE 0 END)
   + (CASE WHEN recommended IS NULL THEN 1 ELSE 0 END) + (CASE WHEN safety_related OR coalesce(safe, false) THEN 1 ELSE 0 END) AS n_notices,
   budget IS NOT NULL AS has_not_applied
-FROM {scoring_reqs} r LEFT JOIN picks ON picks.req_id = r.req_id""")
+FROM {scoring_reqs} r LEFT JOIN picks ON picks.req_id = r.req_id LEFT JOIN rest ON rest.req_id = r.req_id LEFT JOIN why ON why.req_id = r.req_id LEFT JOIN extras ON extras.order_number = recommended""")
 def consult(spark, sf):
     out = SC.consult(T.enriched(spark, sf), T.scoring_requirements(spark, sf))
     return out.select(
         "req_id", F.col("recommendation.order_number").alias("recommended"),
         F.coalesce(F.array_join(F.transform("alternatives", lambda a: a["order_number"]), ","), F.lit("")).alias("alternatives"),
+        F.array_join("recommendation.why", "; ").alias("why"), F.array_join("complete_with", ",").alias("complete_with"), "survivors", "excluded",
         F.size("notices").alias("n_notices"), F.col("not_applied").isNotNull().alias("has_not_applied"),
     )
 

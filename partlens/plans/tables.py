@@ -141,12 +141,38 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 GROUP BY n_nationkey, n_regionkey
 """
 
+# Searchable cards of the catalog: one per product and one per family; a vector and a question each by number.
+CARDS = """
+SELECT concat('sku:', order_number) AS id, 'sku' AS kind, concat('family:', section, ':', coalesce(family, '(no family)')) AS document_id,
+  order_number, family, section, source_page, pdf_page, ord, concat_ws(' ', product_name, type_code, category, family, row_type) AS text
+FROM {catalog}
+UNION ALL
+SELECT concat('family:', section, ':', coalesce(family, '(no family)')), 'family', concat('family:', section, ':', coalesce(family, '(no family)')),
+  NULL, family, section, min(source_page), min(pdf_page), min(ord), concat_ws(' ', 'family', section, max(category), family)
+FROM {catalog} GROUP BY section, family
+"""
+
+CARD_VECTORS = "SELECT id AS chunk_id, embedding FROM {cards} JOIN {embeddings} ON vec_id = ord % 500"
+
+# A question per requirement, one without a requirement, and a blank one.
+CARD_QUERIES = """
+SELECT req_id AS query_id, req_id, embedding,
+  concat_ws(' ', 'red bolt', replace(section, '|', ' '), replace(connector, '|', ' '), replace(family, '|', ' ')) AS text
+FROM {reqs} JOIN {embeddings} ON concat('nation-', cast(vec_id AS string)) = req_id
+UNION ALL
+SELECT CASE vec_id WHEN 40 THEN 'free' ELSE 'blank' END, NULL, embedding, CASE vec_id WHEN 40 THEN 'blue bolt family' ELSE ' ' END
+FROM {embeddings} WHERE vec_id IN (40, 41)
+"""
+
 DERIVED = {
     "line_stats": LINE_STATS,
     "catalog": CATALOG,
     "reqs": REQS,
     "enriched": ENRICHED,
     "scoring_reqs": SCORING_REQS,
+    "cards": CARDS,
+    "card_vectors": CARD_VECTORS,
+    "card_queries": CARD_QUERIES,
 }
 
 
@@ -183,8 +209,9 @@ def oracle(sql: str) -> str:
     body = plain(sql)
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ", ".join(ctes) + ", " + body[len(head):]
     return "WITH " + ", ".join(ctes) + " " + body
 
 
