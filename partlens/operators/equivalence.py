@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlens.operators.ladder import neighbours
+from partlens.operators.ladder import code_runs, ladder_positions, neighbours
 from partlens.plans.scale import pair_with_all, top_k
+from partlens.session import cut_lineage
 
 # The score of a range ratio, and how many candidates are kept.
 SCORE_TOP, SCORE_SLOPE, REACH_BONUS, KEPT = 100.0, 60.0, 8.0, 5
@@ -102,62 +103,76 @@ def first_k_of_other_codes(df: DataFrame, keys: list[str], code: str, order: lis
     return within.drop("rank").join(starts, [*keys, code], "left_semi")
 
 
+def _stated(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Join keys for columns that may be NULL: each as text that tells NULL from every value."""
+    return df.withColumns({f"_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns})
+
+
+def rungs_over(rungs: DataFrame, probes: DataFrame, keys: list[str], value: str, code: str, k: int) -> DataFrame:
+    """(keys, value, neighbour): for every probe the rungs at or over it that hold its first ``k`` parts, whichever single code is left out.
+
+    ``rungs`` holds parts (keys, value, code).  From a probe upward the first ``k`` rungs
+    of its own run (:func:`partlens.operators.ladder.code_runs`) and of the next
+    ``2 k + 2`` runs are enough: of two neighbouring runs at most one holds the left-out
+    code alone, and ``k`` rungs of one code hold ``k`` of its parts.
+    """
+    steps = rungs.groupBy(*keys, value).agg(F.min(code).alias("_first_code"), F.max(code).alias("_last_code"))
+    runs = cut_lineage(code_runs(steps, keys, value, "_first_code", "_last_code"))
+    asked = probes.select(*keys, value).distinct()
+    start = ladder_positions(steps.select(*keys, value), asked, keys, value).select(*keys, value, "position")
+    entry = asked.join(start, [*keys, value]).join(runs.select(*keys, "position", F.col("run").alias("_run"), F.col("offset").alias("_offset")), [*keys, "position"])
+    wanted = entry.withColumn("_ahead", F.explode(F.sequence(F.lit(0), F.lit(2 * k + 2)))).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    wanted = wanted.select(*keys, value, (F.col("_run") + F.col("_ahead")).alias("run"), (F.when(F.col("_ahead") == 0, F.col("_offset")).otherwise(0) + F.col("_step")).alias("offset"))
+    return wanted.join(runs.select(*keys, "run", "offset", F.col(value).alias("neighbour")), [*keys, "run", "offset"]).select(*keys, value, "neighbour")
+
+
 def interchange(catalog: DataFrame, k: int = SHORTLIST) -> DataFrame:
     """Stand-ins for every part of a catalog: same category, at least the range, a compatible output.
 
     Parts that ask the same question (:data:`SIGNATURE`) are answered once, and
     candidates of one slot (:data:`SLOT`) differ only in range, so the best ones
-    are the next rungs at or over the asked range; one rung more than ``k``,
-    because a part never stands in for its own type code and a type code has one
-    range.  A part with neither a range nor an output is not defensible and gets
-    no stand-in.
+    are the next rungs at or over the asked range, as many as leave ``k`` parts when
+    the asking part's own type code is left out, in however many ranges it comes.
+    A part with neither a range nor an output is not defensible and gets no stand-in.
     """
+    slot, other = [f"_{c}" for c in SLOT], [f"c_{c}" for c in SLOT[1:]]
     rows = catalog.select("order_number", "type_code", *SIGNATURE).filter("type_code is not null")
-    reach = k + 1
+    # A few narrow columns that every branch below reads.
+    rows = cut_lineage(rows)
     questions = rows.select(*SIGNATURE).filter("range_max_mm is not null or output is not null").distinct()
-    slots = rows.select(*SLOT).distinct()
-
-    renamed = slots.select("category", *[F.col(c).alias(f"c_{c}") for c in SLOT[1:]])
+    renamed = rows.select(*SLOT).distinct().select("category", *[F.col(c).alias(f"c_{c}") for c in SLOT[1:]])
     paired = questions.join(renamed, "category").filter(
         F.col("output").isNull() | (F.col("c_output") == F.col("output")) | (F.col("c_output") == "PNP/NPN")
     )
-    c_slot = ["category", *[f"c_{c}" for c in SLOT[1:]]]
-    parts = rows.select("category", *[F.col(c).alias(f"c_{c}") for c in SLOT[1:]],
-                        F.col("range_max_mm").alias("value"), "order_number", "type_code")
-
-    def key(df: DataFrame) -> DataFrame:
-        """One hash-joinable key per slot; NULLs are part of it."""
-        return df.withColumn("slot", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0001")) for c in c_slot]))
-
-    slotted = key(parts).select("slot", "value", "order_number", "type_code")
+    # Questions and parts meet on the part's side of the slot.
+    asked = _stated(paired, ["category", *other]).withColumnsRenamed({f"_{c}": f"_{c[2:]}" for c in other}).withColumn("value", F.col("range_max_mm"))
+    asked = cut_lineage(asked)
+    slotted = _stated(rows, SLOT).select(*slot, F.col("range_max_mm").alias("value"), "order_number", "type_code")
     by_number = [F.asc("order_number")]
-    rungs = first_k_of_other_codes(slotted.filter("value is not null"), ["slot", "value"], "type_code", by_number, k)
-    asked = key(paired).withColumn("value", F.col("range_max_mm"))
-    ranged = asked.filter("value is not null")
-    near = neighbours(rungs.select("slot", "value").distinct(), ranged.select("slot", "value").distinct(),
-                      ["slot"], "value", reach, 0)
-    offers_ranged = ranged.join(near, ["slot", "value"]).join(
-        rungs.select("slot", F.col("value").alias("neighbour"), "order_number", "type_code"), ["slot", "neighbour"]
-    )
-    any_range = first_k_of_other_codes(slotted, ["slot"], "type_code", by_number, k).withColumnRenamed("value", "neighbour")
-    offers_open = asked.filter("value is null").join(any_range, "slot")
+    priced, ranged = slotted.filter("value is not null"), asked.filter("value is not null")
+    rungs = first_k_of_other_codes(priced, [*slot, "value"], "type_code", by_number, k)
+    near = rungs_over(priced, ranged, slot, "value", "type_code", k)
+    offers_ranged = ranged.join(near, [*slot, "value"]).join(
+        rungs.select(*slot, F.col("value").alias("neighbour"), "order_number", "type_code"), [*slot, "neighbour"]
+    )
+    any_range = first_k_of_other_codes(slotted, slot, "type_code", by_number, k).withColumnRenamed("value", "neighbour")
+    offers_open = asked.filter("value is null").join(any_range, slot)
     gap = F.when(F.col("value").isNotNull(), (F.col("neighbour") - F.col("value")) / F.greatest(F.col("value"), F.lit(1.0)))
     penalty = (
         F.coalesce(gap, F.lit(0.0))
         + F.when(_differs(F.col("connection"), F.col("c_connection")), CONNECTION_PENALTY).otherwise(0.0)
         + F.when(_differs(F.col("light_type"), F.col("c_light_type")), LIGHT_PENALTY).otherwise(0.0)
     )
-    signature_id = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in SIGNATURE])
     columns = [*SIGNATURE, F.col("order_number").alias("candidate"), F.col("type_code").alias("candidate_code"),
                F.col("neighbour").alias("candidate_range"), penalty.alias("penalty")]
     offers = offers_ranged.select(*columns).unionByName(offers_open.select(*columns))
-    offers = offers.withColumn("signature", signature_id).withColumn("score", 1 / (1 + F.col("penalty")))
+    signature = [f"_{c}" for c in SIGNATURE]
+    offers = _stated(offers, SIGNATURE).withColumn("score", 1 / (1 + F.col("penalty")))
     order = [F.desc("score"), F.asc("candidate")]
-    short = first_k_of_other_codes(offers, ["signature"], "candidate_code", order, k).select(
-        "signature", "candidate", "candidate_code", "candidate_range", "score"
+    short = first_k_of_other_codes(offers, signature, "candidate_code", order, k).select(
+        *signature, "candidate", "candidate_code", "candidate_range", "score"
     )
-    own = rows.withColumn("signature", signature_id)
-    pairs = own.join(short, "signature").filter("type_code != candidate_code")
+    pairs = _stated(rows, SIGNATURE).join(short, signature).filter("type_code != candidate_code")
     ranked = top_k(pairs, ["order_number"], order, k)
     return ranked.select("order_number", "rank", "candidate", "candidate_range", F.round("score", 6).alias("score"))
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partlens.operators.ladder import neighbours
 from partlens.plans.scale import first_by
+from partlens.session import cut_lineage
 
 # Layout limits in page units, and the precedence of match methods.
 PAGE_WIDE, MIN_AREA, THUMB_MAX_H, HERO_MIN_H, TOLERANCE, TEXT_H = 0.7, 500, 100, 71, 45.0, 11
+# Distances of a group's rows and images that are held at once.
+PAIRS_AT_ONCE = 1 << 22
 METHODS = ["row_aligned", "page_hero", "family_hero", "family_hero_loose"]
 
 
@@ -19,30 +25,93 @@ def usable_images(images: DataFrame) -> DataFrame:
     return kept.withColumns({"centre": F.col("top") + F.col("h") / 2, "area": F.col("w") * F.col("h")})
 
 
-def _nearest(points: DataFrame, probes: DataFrame) -> DataFrame:
-    """(page, value, neighbour): the nearest point of every probe; the lower one when two are equally near."""
-    near = neighbours(points, probes, ["page"], "value", 1, 1)
-    order = F.struct(F.abs(F.col("neighbour") - F.col("value")).alias("d"), F.col("neighbour").alias("n"))
-    return near.groupBy("page", "value").agg(F.min_by("neighbour", order).alias("neighbour"))
+def _groups(items: DataFrame) -> DataFrame:
+    """Items with ``grp``: those of one page that an ordered pass over its images may have to see together.
+
+    A page is cut where neighbouring centres lie further apart than the tolerance,
+    found on the extremes of its cells of that height.  A page that prints a number
+    twice is one group, as a claimed number is gone everywhere on it.
+    """
+    cells = items.groupBy("page", "cell").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    order = Window.partitionBy("page").orderBy("cell")
+    apart = F.coalesce(F.col("low") - F.lag("high").over(order) > TOLERANCE, F.lit(True)).cast("int")
+    cut = cells.withColumn("grp", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("page", "cell", "grp")
+    numbers = items.filter(~F.col("image")).groupBy("page", "name").agg(F.count("*").alias("n"))
+    whole = numbers.filter("n > 1").select("page").distinct().withColumn("whole", F.lit(True))
+    return items.join(cut.join(whole, "page", "left"), ["page", "cell"]).withColumn("grp", F.when(F.col("whole"), 0).otherwise(F.col("grp")))
+
+
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims in the order of the images; rows (page, grp, image, value, name) come sorted, a group's text rows before its images."""
+    made: list[list] = [[], [], [], []]
+    group, numbers, places, thumbs, page_of = None, [], [], [], None
+
+    def fold() -> None:
+        if not numbers or not thumbs:
+            return
+        place, centres = np.array(places), np.array([c for c, _ in thumbs])
+        # How near the nearest image of the group is to each row: only an image as near as that may claim it.
+        nearest = np.abs(place[:, None] - centres).min(axis=1) if place.size * centres.size <= PAIRS_AT_ONCE else np.array([np.abs(centres - p).min() for p in place])
+        rows_of: dict[str, list[int]] = {}
+        for i, number in enumerate(numbers):
+            rows_of.setdefault(number, []).append(i)
+        taken = np.zeros(len(numbers), bool)
+        for centre, image in thumbs:
+            away = np.where(taken, np.inf, np.abs(place - centre))
+            best = int(away.argmin())
+            if away[best] > TOLERANCE or nearest[best] < away[best]:
+                continue
+            taken[rows_of[numbers[best]]] = True
+            for column, value in zip(made, (page_of, numbers[best], image, centre - place[best]), strict=True):
+                column.append(value)
+
+    def told(kind: pa.DataType) -> pa.RecordBatch:
+        nonlocal made
+        columns = [pa.array(made[0], kind), pa.array(made[1], pa.string()), pa.array(made[2], pa.string()), pa.array(made[3], pa.float64())]
+        made = [[], [], [], []]
+        return pa.RecordBatch.from_arrays(columns, names=["page", "order_number", "image_id", "offset"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("page").type
+        for page, grp, image, value, name in zip(*(batch.column(c).to_pylist() for c in ("page", "grp", "image", "value", "name")), strict=True):
+            if (page, grp) != group:
+                fold()
+                group, numbers, places, thumbs, page_of = (page, grp), [], [], [], page
+            if image:
+                thumbs.append((value, name))
+            else:
+                numbers.append(name)
+                places.append(value)
+        if made[0]:
+            yield told(kind)
+    if group is not None:
+        fold()
+        yield told(kind)
 
 
 def row_image_match(images: DataFrame, rows: DataFrame) -> DataFrame:
-    """Mutually nearest (thumbnail, row) pairs of a page within the tolerance.
+    """Thumbnails and the rows that they claim, one after another, on every page.
 
-    Both sides look up their nearest neighbour by position on the page's sorted
-    centres, so no page is paired with itself in full.  Two things at one place
-    are told apart by id.
+    In the order of the images (``ord`` where there is one, else the id) each takes the
+    nearest row that is still free, if it lies within the tolerance and no other
+    thumbnail of the page lies nearer to it; of rows equally near the first (``ord``,
+    else the upper one).  What a task folds is a group of :func:`_groups`.
     """
-    thumbs = usable_images(images).filter(F.col("h") <= THUMB_MAX_H).select("page", F.col("centre").cast("double").alias("value"), "image_id", "sha", "area")
-    lines = rows.select("page", (F.col("top") + TEXT_H / 2).cast("double").alias("value"), "order_number")
-    # One image and one row stand for a place: the smallest id.
-    t = first_by(thumbs, ["page", "value"], ["image_id"], ["image_id", "sha", "area"])
-    r = first_by(lines, ["page", "value"], ["order_number"], ["order_number"])
-    to_row = _nearest(r.select("page", "value"), t.select("page", "value")).select("page", F.col("value").alias("t_at"), F.col("neighbour").alias("r_at"))
-    to_thumb = _nearest(t.select("page", "value"), r.select("page", "value")).select("page", F.col("value").alias("r_at"), F.col("neighbour").alias("t_at"))
-    mutual = to_row.join(to_thumb, ["page", "r_at", "t_at"]).filter(F.abs(F.col("t_at") - F.col("r_at")) <= TOLERANCE)
-    out = mutual.join(t.withColumnRenamed("value", "t_at"), ["page", "t_at"]).join(r.withColumnRenamed("value", "r_at"), ["page", "r_at"])
-    return out.select("page", "order_number", "image_id", "sha", "area", (F.col("t_at") - F.col("r_at")).alias("offset"))
+    def order(df: DataFrame, other: Column) -> Column:
+        return F.col("ord").cast("double") if "ord" in df.columns else other
+
+    thumbs = usable_images(images).filter(F.col("h") <= THUMB_MAX_H)
+    centre = (F.col("top") + TEXT_H / 2).cast("double")
+    items = thumbs.select("page", F.col("centre").cast("double").alias("value"), F.lit(True).alias("image"), F.col("image_id").cast("string").alias("name"), order(thumbs, F.lit(0.0)).alias("turn")).unionByName(
+        rows.select("page", centre.alias("value"), F.lit(False).alias("image"), F.col("order_number").cast("string").alias("name"), order(rows, centre).alias("turn"))
+    )
+    items = items.filter("value is not null").withColumn("cell", F.floor(F.col("value") / TOLERANCE))
+    kind = dict(items.dtypes)["page"]
+    dealt = _groups(items).repartition("page", "grp").sortWithinPartitions("page", "grp", "image", "turn", "name")
+    claims = dealt.select("page", "grp", "image", "value", "name").mapInArrow(_claims, f"page {kind}, order_number string, image_id string, offset double")
+    sizes = thumbs.select("page", F.col("image_id").cast("string").alias("image_id"), "sha", "area")
+    return claims.join(first_by(sizes, ["page", "image_id"], ["sha"], ["sha", "area"]), ["page", "image_id"]).select("page", "order_number", "image_id", "sha", "area", "offset")
 
 
 def page_heroes(images: DataFrame, matched: DataFrame) -> DataFrame:
@@ -59,13 +128,14 @@ def propose(images: DataFrame, rows: DataFrame, products: DataFrame) -> DataFram
 
     ``rows`` places order numbers on pages; only products take a hero.
     """
-    matched = row_image_match(images, rows)
+    # Each is read by several branches below; what is kept is a few narrow columns.
+    matched = cut_lineage(row_image_match(images, rows))
     heroes = page_heroes(images, matched)
     placed = rows.select("page", "order_number").distinct()
-    parts = products.filter("row_type = 'product'").select(
+    parts = cut_lineage(products.filter("row_type = 'product'").select(
         "order_number", F.concat_ws("|", "category", F.coalesce("family", F.lit("null"))).alias("fam"), F.coalesce("subfamily", F.lit("")).alias("sub")
-    )
-    on_page = placed.join(parts, "order_number").join(heroes, "page")
+    ))
+    on_page = cut_lineage(placed.join(parts, "order_number").join(heroes, "page"))
     pick = F.struct("page", "image_id", "sha", "area")
     by_sub = on_page.groupBy("fam", "sub").agg(F.min_by(pick, "page").alias("s"))
     by_fam = on_page.groupBy("fam").agg(F.min_by(pick, "page").alias("f"))

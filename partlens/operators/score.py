@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from partlens.functions.text import number_text
 from partlens.functions.units import range_fit
 from partlens.operators.links import top_accessories
 from partlens.plans.scale import clamp_k, pair_with_all, top_k
+from partlens.session import cut_lineage
 from partlens.sources.schemas import ENRICHED, SCORING_REQUIREMENT, complete
 
 NOT_APPLICABLE, UNVERIFIED, SATISFIED, VIOLATED = "not_applicable", "unverified", "satisfied", "violated"
@@ -291,27 +295,69 @@ def relaxed_names(req_level: Column, constraints: list[Constraint] = CONSTRAINTS
     return F.when(req_level > 0, F.array_join(F.slice(order, F.lit(1), req_level), ", "))
 
 
+# Scored rows that a task gathers before it ranks them.
+GATHERED = 100_000
+
+
+def best_by_level(scored: DataFrame, limit: int) -> DataFrame:
+    """What each task knows of its scored rows, read once: for every (req_id, level) how many there are (``n``), and the best ``limit`` rows.
+
+    Only the rows of a requirement's lowest level can survive, and a task's lowest
+    level is never under the lowest of all, so rows are kept of that level alone.  The
+    counts stand in rows without an order number.
+    """
+    names = ["req_id", "level", "n", "order_number", "ord", "fit", "evidence", "rank_score"]
+
+    def compact(rows: pa.Table) -> pa.Table:
+        req = rows.column("req_id").combine_chunks().dictionary_encode()
+        req = (req.chunk(0) if isinstance(req, pa.ChunkedArray) else req).indices.to_numpy()
+        level, score, place = (rows.column(c).to_numpy() for c in ("level", "rank_score", "ord"))
+        order = np.lexsort((place, -score, level, req))
+        first = np.concatenate([[True], req[order][1:] != req[order][:-1]])
+        starts = np.flatnonzero(first)[np.cumsum(first) - 1]
+        kept = (level[order] == level[order][starts]) & (np.arange(len(order)) - starts < limit)
+        return rows.take(pa.array(order[kept]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, int]] = Counter()
+        held: list[pa.Table] = []
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            found = pa.Table.from_batches([batch])
+            tally = found.group_by(["req_id", "level"]).aggregate([([], "count_all")])
+            for req, level, n in zip(*(tally.column(c).to_pylist() for c in ("req_id", "level", "count_all")), strict=True):
+                counts[req, level] += n
+            held.append(found)
+            if sum(t.num_rows for t in held) >= GATHERED:
+                held = [compact(pa.concat_tables(held))]
+        if not counts:
+            return
+        told = pa.table({"req_id": pa.array([r for r, _ in counts], pa.string()), "level": pa.array([v for _, v in counts], pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+        best = compact(pa.concat_tables(held))
+        for rows in (told, best):
+            columns = [rows.column(c) if c in rows.column_names else pa.nulls(rows.num_rows, pa.int64() if c == "n" else schema.field(c).type) for c in names]
+            yield from pa.table(columns, names=names).to_batches()
+
+    narrow = scored.select("req_id", "order_number", F.col("ord").cast("long").alias("ord"), "fit", "evidence", F.col("level").cast("int").alias("level"), "rank_score")
+    return narrow.mapInArrow(run, "req_id string, level int, n long, order_number string, ord long, fit double, evidence double, rank_score double")
+
+
 def score_catalog(products: DataFrame, reqs: DataFrame, limit: int = 12, include_accessories: bool = False,
                   constraints: list[Constraint] = CONSTRAINTS) -> DataFrame:
     """The best surviving products per requirement, with the relaxation that let them survive and true totals.
 
-    Two narrow passes over the pairs: a map-side aggregate finds every
-    requirement's level, then only rows at or below it are ranked.
+    The pairs are scored once: each task counts its levels and keeps the best rows of
+    the lowest one, and the level of a requirement is chosen from what the tasks tell.
     """
     pool = products if include_accessories else products.filter("row_type = 'product'")
-    scored = score_pairs(_all_pairs(pool, reqs), constraints)
-    levels = scored.groupBy("req_id").agg(F.min("level").alias("req_level"))
-    totals = (
-        scored.groupBy("req_id", "level").agg(F.count("*").alias("n"))
-        .join(levels, "req_id")
-        .groupBy("req_id", "req_level")
-        .agg(
-            F.sum(F.when(F.col("level") <= F.col("req_level"), F.col("n")).otherwise(0)).alias("survivors"),
-            F.sum(F.when(F.col("level") > F.col("req_level"), F.col("n")).otherwise(0)).alias("excluded"),
-        )
-    )
-    alive = scored.join(totals, "req_id").filter("level <= req_level")
-    best = top_k(alive, ["req_id"], [F.desc("rank_score"), F.asc("ord")], clamp_k(limit, 12))
+    k = clamp_k(limit, 12)
+    told = cut_lineage(best_by_level(score_pairs(_all_pairs(pool, reqs), constraints), k))
+    counts = told.filter("n is not null").groupBy("req_id", "level").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("req_id").agg(F.min("level").alias("req_level"), F.min_by("n", "level").alias("survivors"), F.sum("n").alias("_all"))
+    totals = totals.select("req_id", "req_level", "survivors", (F.col("_all") - F.col("survivors")).alias("excluded"))
+    alive = told.filter("n is null").drop("n").join(totals, "req_id").filter("level = req_level")
+    best = top_k(alive, ["req_id"], [F.desc("rank_score"), F.asc("ord")], k)
     return best.withColumn("relaxed", relaxed_names(F.col("req_level"), constraints))
 
 
@@ -360,33 +406,28 @@ def consult(products: DataFrame, reqs: DataFrame, limit: int = 8, alternatives:
     req = complete(reqs, SCORING_REQUIREMENT)
     rows = _with_ord(products)
     ranked = score_catalog(products, reqs, limit)
-    shown = ranked.filter(F.col("rank") <= 1 + alternatives)
-    pairs = (
-        shown.select("req_id", "order_number", "rank")
-        .join(rows.select("order_number", F.struct(*rows.columns).alias("p")), "order_number")
-        .join(req.select("req_id", F.struct(*req.columns).alias("r")), "req_id")
-    )
-    told = score_pairs(pairs.drop("order_number", "req_id"), details=True).select("req_id", "order_number", "outcomes")
-    identity = rows.select(
-        "order_number", "type_code", "family", "solution_class", "sensing_mode", "is_safety_product",
-        F.array_compact(
-            F.array(
-                F.concat(F.lit("detection principle: "), "sensing_mode"),
-                F.concat(F.lit("sensing range up to "), number_text(F.col("sensing_range_max_mm")), F.lit(" mm")),
-                F.concat(F.lit("enclosure rating "), "enclosure_rating"),
-                F.concat(F.lit("output "), "switching_output"),
-                F.concat(F.lit("connection: "), "connection"),
-                F.concat(F.lit("listed on page "), "source_page"),
-            )
-        ).alias("facts"),
+    wanted = cut_lineage(ranked.filter(F.col("rank") <= 1 + alternatives))
+    # At most 1 + alternatives rows per requirement, with all that is told of them: the catalog is read once for it.
+    shown = cut_lineage(wanted.join(rows.select("order_number", F.struct(*rows.columns).alias("p")), "order_number"))
+    pairs = shown.select("req_id", "p").join(req.select("req_id", F.struct(*req.columns).alias("r")), "req_id")
+    told = score_pairs(pairs.drop("req_id"), details=True).select("req_id", "order_number", "outcomes")
+    facts = F.array_compact(
+        F.array(
+            F.concat(F.lit("detection principle: "), "p.sensing_mode"),
+            F.concat(F.lit("sensing range up to "), number_text(F.col("p.sensing_range_max_mm")), F.lit(" mm")),
+            F.concat(F.lit("enclosure rating "), "p.enclosure_rating"),
+            F.concat(F.lit("output "), "p.switching_output"),
+            F.concat(F.lit("connection: "), "p.connection"),
+            F.concat(F.lit("listed on page "), "p.source_page"),
+        )
     )
     unverified = F.transform(F.filter("outcomes", lambda o: o["status"] == UNVERIFIED), lambda o: o["constraint"])
-    answers = shown.join(told, ["req_id", "order_number"]).join(identity, "order_number").select(
-        "req_id", "rank", "survivors", "excluded", "relaxed", "is_safety_product",
+    answers = shown.join(told, ["req_id", "order_number"]).select(
+        "req_id", "rank", "survivors", "excluded", "relaxed", "p.is_safety_product",
         F.struct(
-            "rank", "order_number", "type_code", "family", "solution_class", "sensing_mode",
+            "rank", "order_number", "p.type_code", "p.family", "p.solution_class", "p.sensing_mode",
             F.round("fit", 3).alias("fit"), F.round("evidence", 3).alias("evidence"),
-            reasons(F.col("outcomes"), F.col("facts")).alias("why"),
+            reasons(F.col("outcomes"), facts).alias("why"),
             unverified.alias("unverified"),
         ).alias("answer"),
     )
@@ -398,14 +439,13 @@ def consult(products: DataFrame, reqs: DataFrame, limit: int = 8, alternatives:
         F.max("relaxed").alias("relaxed"),
         F.bool_or("is_safety_product").alias("safety_seen"),
     )
-    primary = answers.filter("rank = 1").select("req_id", F.col("answer.order_number").alias("order_number"))
-    parts = rows.filter("row_type = 'product'").select("order_number", "family", "source_page")
+    primary = shown.filter("rank = 1").select("req_id", "order_number", "p.family", "p.source_page", "p.row_type")
     offered = top_accessories(
-        primary.select("order_number").distinct().join(parts, "order_number"),
+        primary.filter("row_type = 'product'").select("order_number", "family", "source_page").distinct(),
         rows.filter("row_type = 'accessory'").select("order_number", "family", "source_page", "ord"),
         accessories,
     )
-    extras = primary.join(offered, "order_number").select("req_id", F.col("accessories").alias("complete_with"))
+    extras = primary.select("req_id", "order_number").join(offered, "order_number").select("req_id", F.col("accessories").alias("complete_with"))
     out = req.select("req_id", "language", "solution_classes", "preferred_modes", "keywords", "safety_related", "budget")
     out = out.join(grouped, "req_id", "left").join(extras, "req_id", "left")
     no_anchor = ~_filled(F.col("solution_classes")) & ~_filled(F.col("preferred_modes")) & _filled(F.col("keywords"))

@@ -1,23 +1,31 @@
-"""Bills of materials: many messy delimited files, one task per file."""
+"""Bills of materials: messy delimited files, whole or read in splits."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partlens.session import cut_lineage
+from partlens.sources.catalog import read_lines
+
 DELIMITERS = ",;\t"
 
 
 def sniff_delimiter(text: str) -> str:
     """The most frequent delimiter outside quotes on the first line that has one; a comma if none has."""
+    return _delimiter_of(text) or ","
+
+
+def _delimiter_of(text: str) -> str | None:
     for line in _outside_quotes(text).replace("\r", "\n").split("\n"):
         counts = [line.count(d) for d in DELIMITERS]
         if any(counts):
             return DELIMITERS[counts.index(max(counts))]
-    return ","
+    return None
 
 
 def _outside_quotes(text: str) -> str:
@@ -27,45 +35,49 @@ def _outside_quotes(text: str) -> str:
 
 
 def split_records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
-    """(physical start line, cells) of every record; quoted delimiters, quotes and line breaks stay in the cell."""
+    """(physical start line, cells) of every record; quoted delimiters, quotes and line breaks stay in the cell.
+
+    Between quotes the text is cut at delimiters and line breaks as a whole; inside
+    them it is taken as it stands.  Nothing between two quotes is a quote in the cell.
+    """
+    cut = re.compile(f"(\r\n|\r|\n|{re.escape(delimiter)})")
     cells: list[str] = []
     cell: list[str] = []
-    quoted = touched = was_quoted = False
+    touched = was_quoted = False
     line = start = 1
-    position, end = 0, len(text)
-    while position <= end:
-        char = text[position] if position < end else "\n"
-        at_end = position == end
-        position += 1
-        if quoted and not at_end:
-            if char == '"' and text[position : position + 1] == '"':
-                cell.append('"')
-                position += 1
-            elif char == '"':
-                quoted = False
-            else:
-                line += char == "\n"
-                cell.append(char)
+    pieces = text.split('"')
+    last = len(pieces) - 1
+    for at, piece in enumerate(pieces):
+        if at % 2:
+            if not touched:
+                touched, start = True, line
+            was_quoted = True
+            line += piece.count("\n")
+            cell.append(piece)
             continue
-        if char in "\r\n":
-            if touched:
-                cells.append("".join(cell))
-                if was_quoted or len(cells) > 1 or cells[0].strip():
-                    yield start, cells
-            cells, cell, touched, was_quoted = [], [], False, False
-            if char == "\r" and text[position : position + 1] == "\n":
-                position += 1
-            line += 1
+        if not piece and 0 < at < last:
+            cell.append('"')
             continue
-        if not touched:
-            touched, start = True, line
-        if char == '"':
-            quoted = was_quoted = True
-        elif char == delimiter:
-            cells.append("".join(cell))
-            cell = []
-        else:
-            cell.append(char)
+        for part in cut.split(piece):
+            if part in ("\r\n", "\r", "\n"):
+                if touched:
+                    cells.append("".join(cell))
+                    if was_quoted or len(cells) > 1 or cells[0].strip():
+                        yield start, cells
+                cells, cell, touched, was_quoted = [], [], False, False
+                line += 1
+            elif part:
+                if not touched:
+                    touched, start = True, line
+                if part == delimiter:
+                    cells.append("".join(cell))
+                    cell = []
+                else:
+                    cell.append(part)
+    if touched:
+        cells.append("".join(cell))
+        if was_quoted or len(cells) > 1 or cells[0].strip():
+            yield start, cells
 
 
 def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +94,68 @@ def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def split_boms(files: DataFrame) -> DataFrame:
-    """(file, record, line, cells) of every record out of (file, value); delimiter-only records are kept."""
+    """(file, record, line, cells) of every record out of (file, value); delimiter-only records are kept.
+
+    For files that fit a value; :func:`read_boms` reads files of any size.
+    """
     return files.select("file", "value").mapInPandas(_split_files, "file string, record int, line int, cells array<string>")
 
 
+def _running(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` (file, line, ...) with the sum of ``value`` over the lines before each, counted in blocks and shifted by the blocks before."""
+    blocked = df.withColumns({"_block": F.shiftright("line", 16), "_value": value})
+    sums = blocked.groupBy("file", "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select("file", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("file", "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return counted.join(shifts, ["file", "_block"]).withColumn(name, F.col("_inside") + F.col("_shift")).drop("_block", "_value", "_inside", "_shift")
+
+
+def _count(text: Column, what: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
+
+
 def read_boms(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return split_boms(files)
+    """(file, record, line, cells) of every record of all files, each read in splits of any number of tasks.
+
+    A line break ends a record if the quotes before it are even in number, a sum over
+    the lines above it; so lines are put together only where a quote stays open.  The
+    delimiter of a file is that of its first line that has one outside of quotes.
+    """
+    lines = read_lines(spark, path, "\n").select("file", "line", "value")
+    parity = _running(lines, _count(F.col("value"), '"'), "_quotes").withColumn("_opens", (F.col("_quotes") % 2 == 0).cast("int"))
+    # The number of a stretch: how many lines up to this one begin outside of quotes.
+    stretched = _running(parity, F.col("_opens"), "_before").withColumn("stretch", F.col("_before") + F.col("_opens"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda e: e["value"]), "\n")
+    # One line each, but for quoted line breaks: a stretch is as long as the longest quoted cell.
+    stretches = stretched.groupBy("file", "stretch").agg(F.min("line").alias("line"), joined.alias("value"))
+    stretches = cut_lineage(stretches)
+
+    def delimiters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_delimiter_of(v) for v in batch["value"]]
+            yield pd.DataFrame({"file": batch["file"], "stretch": batch["stretch"], "delimiter": found}).dropna()
+
+    told = stretches.mapInPandas(delimiters, "file string, stretch long, delimiter string")
+    first = told.groupBy("file").agg(F.min_by("delimiter", "stretch").alias("delimiter"))
+    known = stretches.join(first, "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(",")))
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: dict[str, list] = {"file": [], "line": [], "part": [], "cells": []}
+            for file, line, value, delimiter in zip(batch["file"], batch["line"], batch["value"], batch["delimiter"]):
+                for part, (at, cells) in enumerate(split_records(value, delimiter)):
+                    rows["file"].append(file)
+                    rows["line"].append(line + at - 1)
+                    rows["part"].append(part)
+                    rows["cells"].append([c.strip() for c in cells])
+            yield pd.DataFrame(rows)
+
+    made = cut_lineage(known.select("file", "line", "value", "delimiter").mapInPandas(records, "file string, line long, part int, cells array<string>"))
+    # Records are numbered as lines are; a stretch with bare carriage returns holds several.
+    per_line = made.groupBy("file", "line").agg(F.count("*").alias("n"))
+    numbered = _running(per_line, F.col("n"), "_above").select("file", "line", "_above")
+    order = Window.partitionBy("file", "line").orderBy("part")
+    out = made.join(numbered, ["file", "line"]).withColumn("record", F.col("_above") + F.row_number().over(order) - 1)
+    return out.select("file", F.col("record").cast("int").alias("record"), F.col("line").cast("int").alias("line"), "cells")

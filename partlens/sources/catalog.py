@@ -57,12 +57,10 @@ def parse_products(lines: DataFrame, names: dict[str, str] | None = None) -> Dat
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     ddl = _raw_product_ddl() + ", _corrupt STRING"
-    raw = lines.filter(F.trim("value") != "").select(
-        "file", "line", F.from_json("value", ddl, options).alias("r")
-    )
+    place = ["file", "line", *(["ord"] if "ord" in lines.columns else [])]
+    raw = lines.filter(F.trim("value") != "").select(*place, F.from_json("value", ddl, options).alias("r"))
     rows = raw.select(
-        "file",
-        "line",
+        *place,
         (F.col("r").isNull() | F.col("r._corrupt").isNotNull()).alias("_bad_json"),
         *[null_honest(F.col(f"r.{c}")).alias(c) for c in PRODUCT_IDENTITY],
         *[null_honest(F.col(f"r.{c}"), "double").cast("int").alias(c) for c in ("pdf_page", "occurrences")],
@@ -79,27 +77,35 @@ def parse_products(lines: DataFrame, names: dict[str, str] | None = None) -> Dat
     return rows
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and 1-based line number, read in splits.
+def read_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Text lines with their file, 1-based line number and ``ord``, the 0-based position over all files by path, read in splits.
 
     A row's place inside its split comes from row ids that grow by one; the lines
-    before the split are a sum over one row per split.
+    before the split are a sum over one row per split.  So any split of the files
+    gives the same numbers.  ``sep`` cuts lines there only.
     """
-    rows = spark.read.text(path).select(
+    reader = spark.read if sep is None else spark.read.option("lineSep", sep)
+    rows = reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
-        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        "value",
     )
     blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("lines"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", "first_id", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    # One row for each split of a file, in the order of the files.
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = blocks.select("file", "block", "first_id", zero(F.sum("lines").over(before)).alias("before"), zero(F.sum("lines").over(inside)).alias("above"))
     numbered = rows.join(starts, ["file", "block"])
-    return numbered.select("file", (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line"), "value")
+    place = F.col("id") - F.col("first_id")
+    # A mark of the encoding stands before the first line of a file.
+    value = F.when((F.col("above") == 0) & (place == 0), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return numbered.select("file", (F.col("above") + place + 1).alias("line"), (F.col("before") + place).alias("ord"), value.alias("value"))
 
 
 def read_catalog_jsonl(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
-    """Strict product reader: any row with a bad identity fails the load with its file and line.
+    """Strict product reader: any row with a bad identity fails the load with its file and line; ``ord`` is the row's position.
 
     The check is a filter over every row, so it costs no extra pass; use
     :func:`catalog_rejects` to list all bad rows instead.
@@ -109,7 +115,7 @@ def read_catalog_jsonl(spark: SparkSession, path: str, names: dict[str, str] | N
     # A filter: unlike a column it is not pruned when the caller reads other columns or only counts.
     checked = rows.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
     out = checked.drop("file", "line", "problem")
-    return out if names else complete(out, PRODUCT)
+    return out if names else complete(out, PRODUCT + ", ord BIGINT")
 
 
 def catalog_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -122,8 +128,9 @@ def read_all_rows(spark: SparkSession, path: str) -> DataFrame:
 
     ``ord`` numbers the rows in file order for every later tie-break.
     """
-    rows = spark.read.schema("order_number STRING, row_type STRING, section STRING, pdf_page INT, source_page STRING").json(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    ddl = "order_number STRING, row_type STRING, section STRING, pdf_page INT, source_page STRING"
+    lines = read_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", ddl).alias("r"), "ord").select("r.*", "ord")
 
 
 def read_families_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +167,8 @@ def read_competitors(spark: SparkSession, path: str) -> DataFrame:
 
     ``ord`` keeps file order for ranking ties.
     """
-    raw = spark.read.schema(COMPETITOR).json(path).withColumn("ord", F.monotonically_increasing_id())
+    lines = read_lines(spark, path).filter(F.trim("value") != "")
+    raw = lines.select(F.from_json("value", COMPETITOR).alias("r"), "ord").select("r.*", "ord")
 
     def keep(array: str, key: str) -> Column:
         kept = F.filter(array, lambda e: F.trim(e[key]) != "")
