@@ -1,9 +1,9 @@
 """Postings as stored tables that a search joins without moving them.
 
-A version folder holds ``posting`` (term, id, tf, length, slot), bucketed and sorted
-by slot, ``term`` (term, df, total_tf, slots) and one row of ``corpus`` statistics.  A
-slot is a hash of a term and a share of its chunks: a rare term has one slot, a term
-in more than ``slot_rows`` chunks has several, so no bucket holds all of a hot term.
+A version folder holds ``posting`` (term, share, id, tf, length), bucketed and sorted
+by term and share, ``term`` (term, df, total_tf, shares) and one row of ``corpus``
+statistics.  A rare term has one share, a term in more than ``share_rows`` chunks has
+several, dealt by chunk, so no bucket holds all of a hot term.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.operators import postings as P
 from partlens.operators import retrieval as R
 from partlens.session import cut_lineage
 
-# Buckets of the postings, and chunks of a term that share a slot.
-BUCKETS, SLOT_ROWS = 64, 100_000
+# Buckets of the postings, and chunks of a term that make a share.
+BUCKETS, SHARE_ROWS = 64, 100_000
 
 
 @dataclass(frozen=True)
@@ -32,37 +32,34 @@ class Postings:
     avg_length: float | None
 
 
-def _slot(term: Column, share: Column) -> Column:
-    return F.xxhash64(term, share.cast("long"))
-
-
-def write_postings(chunks: DataFrame, version: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS, slot_rows: int = SLOT_ROWS) -> None:
+def write_postings(chunks: DataFrame, version: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS, share_rows: int = SHARE_ROWS) -> None:
     """Count the terms of ``chunks`` in one pass and write the tables under the folder ``version``."""
     rows = cut_lineage(P.index_rows(chunks, id_col, text_col))
     stated = rows.filter("term is not null")
-    terms = cut_lineage(R.term_stats(stated).withColumn("slots", F.ceil(F.col("df") / slot_rows)))
+    terms = cut_lineage(R.term_stats(stated).withColumn("shares", F.ceil(F.col("df") / share_rows)))
     terms.repartition(buckets, "term").sortWithinPartitions("term").write.parquet(f"{version}/term")
-    # Only terms of several slots take part in the join: at most one for every ``slot_rows`` postings.
-    hot = terms.filter("slots > 1").select("term", "slots")
-    share = F.pmod(F.xxhash64("id"), F.coalesce("slots", F.lit(1)))
-    slotted = stated.join(hot, "term", "left").select("term", "id", "tf", "length", _slot(F.col("term"), share).alias("slot"))
+    # Only terms of several shares take part in the join: at most one for every ``share_rows`` postings.
+    hot = terms.filter("shares > 1").select("term", "shares")
+    share = F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1)))
+    dealt = stated.join(hot, "term", "left").select("term", share.alias("share"), "id", "tf", "length")
     name = f"posting_{uuid.uuid4().hex}"
-    writer = slotted.repartition(buckets, "slot").write.bucketBy(buckets, "slot").sortBy("slot", "term")
+    writer = dealt.repartition(buckets, "term", "share").write.bucketBy(buckets, "term", "share").sortBy("term", "share")
     writer.option("path", f"{version}/posting").saveAsTable(name)
     rows.sparkSession.sql(f"DROP TABLE {name}")
-    P.corpus_stats(rows).withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{version}/corpus")
+    kind = dict(rows.dtypes)["id"]
+    P.corpus_stats(rows).withColumns({"buckets": F.lit(buckets), "id_type": F.lit(kind)}).coalesce(1).write.parquet(f"{version}/corpus")
 
 
 def read_postings(spark: SparkSession, version: str) -> Postings:
     """The tables of a version folder; the postings know their buckets."""
     corpus = spark.read.parquet(f"{version}/corpus").first()
-    plain = spark.read.parquet(f"{version}/posting")
     name = f"posting_{uuid.uuid5(uuid.NAMESPACE_URL, version).hex}"
-    columns = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
+    columns = f"term STRING, share BIGINT, id {corpus.id_type}, tf INT, length INT"
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot, term) INTO {corpus.buckets} BUCKETS LOCATION '{version}/posting'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (term, share) SORTED BY (term, share) INTO {corpus.buckets} BUCKETS LOCATION '{version}/posting'"
     )
-    return Postings(spark.table(name), spark.read.parquet(f"{version}/term"), corpus.n_docs, corpus.avg_length)
+    terms = spark.read.schema("term STRING, df BIGINT, total_tf BIGINT, shares BIGINT").parquet(f"{version}/term")
+    return Postings(spark.table(name), terms, corpus.n_docs, corpus.avg_length)
 
 
 def validate_postings(stored: Postings) -> None:
@@ -73,16 +70,15 @@ def validate_postings(stored: Postings) -> None:
         raise ValueError(f"postings hold {held.rows} rows and {held.tf} words, their terms tell {told.rows} and {told.tf}")
 
 
-def asked_slots(queries: DataFrame, stored: Postings) -> DataFrame:
-    """(query_id, term, qtf, df, slot): the slots that hold the terms of the queries."""
-    asked = R.query_terms(queries).join(stored.term.select("term", "df", "slots"), "term")
-    shares = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    return shares.select("query_id", "term", "qtf", "df", _slot(F.col("term"), F.col("share")).alias("slot"))
+def asked_shares(queries: DataFrame, stored: Postings) -> DataFrame:
+    """(query_id, term, qtf, df, share): the shares that hold the terms of the queries."""
+    asked = R.query_terms(queries).join(stored.term.select("term", "df", "shares"), "term")
+    return asked.select("query_id", "term", "qtf", "df", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
 
 
 def matched(queries: DataFrame, stored: Postings, **params: float) -> DataFrame:
-    """(query_id, item, score) of every chunk that holds a term of a query; the asked slots go to the postings, which stay in place."""
-    hits = stored.posting.join(asked_slots(queries, stored), ["slot", "term"])
+    """(query_id, item, score) of every chunk that holds a term of a query; the asked terms go to the postings, which stay in place."""
+    hits = stored.posting.join(asked_shares(queries, stored), ["term", "share"])
     weight = R.bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.lit(stored.n_docs), F.lit(stored.avg_length), **params)
     return R.sum_weights(hits.select("query_id", F.col("id").alias("item"), (F.col("qtf") * weight).alias("w")))
 
