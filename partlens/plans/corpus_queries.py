@@ -18,12 +18,12 @@ from partlens.plans.build_index import index_tables, search_tables
 from partlens.plans.registry import query
 from partlens.plans.scale import block_row_number, spread, top_k
 from partlens.plans.search import hybrid_search, retrieved_ids
-from partlens.plans.solve_queries import PAIRS_SQL
+from partlens.plans.solve_queries import ANCHOR_SQL, CONFIDENCE_SQL, DISCRIMINATORS, PAIRS_SQL, QUESTIONS_SQL, _list
 from partlens.session import shared_folder
 from partlens.sources import posting_store as PS
 from partlens.sources.bom_files import split_boms
 from partlens.sources.index_store import provenance, read_index, write_index
-from partlens.streaming.bom import audit_stream
+from partlens.streaming.bom import audit_files, audited_lines
 from partlens.streaming.trace import latest_summary, summarize_stream, write_summary
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + "]"
@@ -225,14 +225,23 @@ def index_stats(spark, sf):
     return fields.withColumn("_one", F.lit(1)).join(one, "_one").select("field", "stated", "pct", *one.columns[1:])
 
 
-@query()
+MIGRATE_SQL = CONFIDENCE_SQL + ", firsts AS (SELECT req_id, min(CASE WHEN survives THEN rnk END) AS sr, count(*) AS n FROM judged GROUP BY req_id), " + f"""
+told AS (SELECT *, {ANCHOR_SQL} AS anchored, {_list(DISCRIMINATORS)} AS found FROM {{reqs}}), asked AS ({QUESTIONS_SQL}),
+asks AS (SELECT req_id, string_agg(field, ',' ORDER BY place) AS questions FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY place) AS turn FROM asked) x WHERE turn <= 4 GROUP BY req_id)
+SELECT t.req_id, CASE WHEN NOT (anchored AND found <> '') THEN 'needs_input' WHEN sr IS NOT NULL THEN 'recommendation' ELSE 'no_equivalent' END AS outcome,
+  CASE WHEN sr IS NOT NULL THEN j.order_number END AS order_number, CASE WHEN sr IS NULL THEN j.order_number END AS closest,
+  coalesce(sr, n) AS n_challenged, j.failed + j.unknown AS n_losses, j.confidence, coalesce(questions, '') AS questions
+FROM told t LEFT JOIN firsts f ON f.req_id = t.req_id AND anchored AND found <> '' LEFT JOIN judged j ON j.req_id = f.req_id AND j.rnk = coalesce(sr, 1) LEFT JOIN asks a ON a.req_id = t.req_id"""
+
+
+@query(MIGRATE_SQL)
 def migrate(spark, sf):
     """An outcome per requirement: questions, a recommendation, or the closest part."""
     from partlens.plans.migration import migrate as run
 
-    index = _index(spark, sf)
-    out = run(index, T.requirements(spark, sf), {"principle": {"diffuse": "red widget", "through-beam": "blue bolt"}})
-    return out.select("req_id", "outcome", "order_number", "closest", "n_challenged", "confidence", F.array_join("questions", ",").alias("questions"))
+    out = run({"product": T.products(spark, sf), "spec": T.specs(spark, sf)}, T.requirements(spark, sf))
+    return out.select("req_id", "outcome", "order_number", "closest", "n_challenged", F.nullif(F.size("losses"), F.lit(-1)).alias("n_losses"), "confidence",
+                      F.coalesce(F.array_join("questions", ","), F.lit("")).alias("questions"))
 
 
 # --- chunks ------------------------------------------------------------------
@@ -511,18 +520,34 @@ def _bom_rows(spark, sf):
 BOM_SQL = """b AS (SELECT l_orderkey, o_orderstatus, l_quantity, CASE WHEN l_returnflag <> 'R' THEN l_partkey END AS part, count(*) FILTER (WHERE l_returnflag <> 'R') OVER (PARTITION BY l_orderkey) AS stated FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
-@query("WITH " + BOM_SQL + """ SELECT o_orderstatus, count(*) AS lines, sum(CASE WHEN part IS NULL THEN 1 ELSE 0 END) AS unprocessable, sum(CASE WHEN part IS NOT NULL THEN 1 ELSE 0 END) AS resolved,
-  sum(l_quantity) AS quantity, count(*) AS with_vendor FROM b GROUP BY o_orderstatus""")
-def bom_audit(spark, sf):
-    """Every line of every file, with a heading or without, split, read and resolved."""
+BOM_AUDIT_SQL = "WITH " + BOM_SQL + """ SELECT o_orderstatus, count(*) AS lines, sum(CASE WHEN part IS NULL THEN 1 ELSE 0 END) AS unprocessable, sum(CASE WHEN part IS NOT NULL THEN 1 ELSE 0 END) AS resolved,
+  sum(l_quantity) AS quantity, count(*) AS with_vendor FROM b GROUP BY o_orderstatus"""
+
+
+def _audit_totals(spark, sf, audited):
     status = T.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("file"), "o_orderstatus")
-    out = B.bom_audit(_bom_rows(spark, sf), T.run(spark, sf, RECORDS_SQL)).join(status, "file")
-    return out.groupBy("o_orderstatus").agg(
+    return audited.join(status, "file").groupBy("o_orderstatus").agg(
         F.count("*").alias("lines"), F.count_if(F.col("status") == "unprocessable").alias("unprocessable"), F.count_if(F.col("status") == "resolved").alias("resolved"),
         F.sum("quantity").alias("quantity"), F.count("vendor").alias("with_vendor"),
     )
 
 
+@query(BOM_AUDIT_SQL)
+def bom_audit(spark, sf):
+    """Every line of every file, with a heading or without, split, read and resolved."""
+    return _audit_totals(spark, sf, B.bom_audit(_bom_rows(spark, sf), T.run(spark, sf, RECORDS_SQL)))
+
+
+@query(BOM_AUDIT_SQL)
+def bom_audit_stream(spark, sf):
+    """The same audit from a stream of whole files, a folder for each batch."""
+    folder = shared_folder(spark)
+    _bom_files(spark, sf).select("file", "value").write.parquet(f"{folder}/files")
+    files = spark.readStream.schema("file STRING, value STRING").option("maxFilesPerTrigger", 64).parquet(f"{folder}/files")
+    audit_files(files, T.run(spark, sf, RECORDS_SQL), ["acme"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _audit_totals(spark, sf, audited_lines(spark, f"{folder}/out"))
+
+
 @query("""WITH s AS (SELECT l_orderkey, max(CASE WHEN o_orderstatus <> 'P' OR l_returnflag <> 'R' THEN 1 ELSE 0 END) AS told FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
 SELECT role, col, count(*) AS files FROM (SELECT 'part_number' AS role, 0 AS col FROM s WHERE told > 0 UNION ALL SELECT 'vendor', 2 FROM s UNION ALL SELECT 'quantity', 1 FROM s) x GROUP BY role, col""")
 def bom_roles(spark, sf):

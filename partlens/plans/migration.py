@@ -12,27 +12,28 @@ from partlens.operators.retrieval import CANDIDATES
 from partlens.plans.search import hybrid_search, retrieved_ids
 from partlens.session import cut_lineage
 
-RETRIEVED = 50
 
-
-def migrate(index: dict[str, DataFrame], reqs: DataFrame, terms: dict[str, dict[str, str]], retrieved: int = RETRIEVED) -> DataFrame:
+def migrate(index: dict[str, DataFrame], reqs: DataFrame, terms: dict[str, dict[str, str]] | None = None, retrieved: int | None = None) -> DataFrame:
     """One outcome per requirement: needs_input with its questions, a recommendation, or no_equivalent with the closest.
 
-    Retrieval only nominates (``retrieved`` hits); the order is the solver's, over
-    every product nominated.  A requirement whose text is empty is solved over the
-    whole catalog.
+    Every product is solved, so one that can pass is found whatever its card says.  With
+    ``retrieved`` only the products among so many hits of the requirement's text
+    (``terms``) are; a requirement whose text is empty is still solved over all.
     """
     req = S.complete(reqs, S.REQUIREMENT)
     assessed = cut_lineage(CP.sufficiency(reqs))
     ready = req.join(assessed.filter("sufficient").select("req_id"), "req_id", "left_semi")
-    texts = A.retrieval_query(ready, terms)
-    queries = texts.filter("text != ''").select(F.col("req_id").alias("query_id"), "text", "req_id")
-    found = retrieved_ids(hybrid_search(index, queries, ready, top=retrieved, candidate_k=max(retrieved, CANDIDATES), dense=False))
-    nominated = found.select(F.col("query_id").alias("req_id"), "order_number")
-    silent = ready.join(texts.filter("text = ''"), "req_id", "left_semi")
-    solved = S.solve_candidates(index["product"], index["spec"], ready, nominated, max(retrieved, 100)).unionByName(
-        S.solve(index["product"], index["spec"], silent, retrieved).select("req_id", "order_number", "passed", "failed", "unknown", "verdicts", "viable", "rank")
-    )
+    if retrieved is None:
+        solved = S.solve(index["product"], index["spec"], ready, A.MAX_CHALLENGED)
+    else:
+        texts = A.retrieval_query(ready, terms or {})
+        queries = texts.filter("text != ''").select(F.col("req_id").alias("query_id"), "text", "req_id")
+        found = retrieved_ids(hybrid_search(index, queries, ready, top=retrieved, candidate_k=max(retrieved, CANDIDATES), dense=False))
+        nominated = found.select(F.col("query_id").alias("req_id"), "order_number")
+        silent = ready.join(texts.filter("text = ''"), "req_id", "left_semi")
+        solved = S.solve_candidates(index["product"], index["spec"], ready, nominated, A.MAX_CHALLENGED).unionByName(
+            S.solve(index["product"], index["spec"], silent, A.MAX_CHALLENGED)
+        )
     # A handful of rows per requirement, read by every later step.
     return decide(assessed, cut_lineage(solved))
 

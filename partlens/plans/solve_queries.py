@@ -460,9 +460,13 @@ def sufficiency(spark, sf):
 _useful = [q for q in CP.QUESTION_RANK if q in DISCRIMINATORS]
 
 
-@query("WITH s AS (SELECT *, " + ANCHOR_SQL + " AS anchored, " + _list(DISCRIMINATORS) + " AS found FROM {reqs}), q AS ("
-       + "SELECT req_id, 'principle' AS field, 2 AS place FROM s WHERE NOT anchored"
-       + "".join(f" UNION ALL SELECT req_id, '{f}', {CP.QUESTION_RANK.index(f)} FROM s WHERE found = '' AND NOT ({STATED_SQL[f]})" for f in _useful)
+# The open questions of the requirements in ``told``, which says whether they are anchored and what was found.
+QUESTIONS_SQL = "SELECT req_id, 'principle' AS field, 2 AS place FROM told WHERE NOT anchored" + "".join(
+    f" UNION ALL SELECT req_id, '{f}', {CP.QUESTION_RANK.index(f)} FROM told WHERE found = '' AND NOT ({STATED_SQL[f]})" for f in _useful
+)
+
+
+@query("WITH told AS (SELECT *, " + ANCHOR_SQL + " AS anchored, " + _list(DISCRIMINATORS) + " AS found FROM {reqs}), q AS (" + QUESTIONS_SQL
        + "), o AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY place) AS rank FROM q) SELECT req_id, rank, field FROM o WHERE rank <= 4")
 def question_queue(spark, sf):
     return CP.question_queue(CP.sufficiency(T.requirements(spark, sf)))

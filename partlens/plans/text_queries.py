@@ -8,6 +8,7 @@ from partlens.functions import text as X
 from partlens.functions import units as U
 from partlens.functions.describe import parse_description as describe_column
 from partlens.operators import enrich as EN
+from partlens.operators import gloss as G
 from partlens.operators import normalize as N
 from partlens.operators.bom import looks_like_part, looks_like_quantity, quantity
 from partlens.operators.match import map_housing
@@ -67,6 +68,22 @@ def gloss(spark, sf):
     return spread(T.read(spark, sf, "documents")).select("doc_id", hits.alias("hits"), pairs.alias("pairs"), out.isNotNull().alias("changed"))
 
 
+# A dictionary out of the data: every word of the benchmark texts stands for itself in brackets.
+GLOSSARY_SQL = "SELECT phrase, concat('<', phrase, '>') AS told FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS phrase FROM benchmark) x WHERE length(phrase) >= 5"
+PRINT_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[™®]', '', 'g')), '[‐-―]', '-', 'g'), '[“”‘’]', '"', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query("WITH g AS (" + GLOSSARY_SQL + "), m AS (SELECT map_from_entries(list((phrase, told))) AS words FROM g), f AS (SELECT doc_id, " + PRINT_SQL + """ AS t FROM documents),
+o AS (SELECT doc_id, t, array_to_string(list_transform(regexp_extract_all(t, '[a-z0-9]+|[^a-z0-9]'), lambda x: coalesce(words[x], x)), '') AS told FROM f, m)
+SELECT doc_id, CASE WHEN t <> '' AND told <> t THEN md5(told) END AS told FROM o""")
+def gloss_texts(spark, sf):
+    """Whole texts with all words of a large dictionary replaced in one walk."""
+    words = T.read(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower(X.strip_accents(F.col("text"))), F.lit("[a-z0-9]+"), F.lit(0))).alias("phrase"))
+    terms = words.distinct().filter(F.length("phrase") >= 5).select("phrase", F.concat(F.lit("<"), "phrase", F.lit(">")).alias("told"))
+    out = G.gloss_texts(spread(T.read(spark, sf, "documents").select("doc_id", "text")), "text", terms, name="told")
+    return out.select("doc_id", F.md5("told").alias("told"))
+
+
 TRIGGERS = [("the", ["article", "Definite"]), ("un", ["article", "indefinite"]), ("license", ["license", "terms"]), ("copyright", ["terms", "notice"]), ("que", ["question"])]
 _trigger = lambda t: f"regexp_matches(t, '(^|[^a-z0-9]){t}')"
 
