@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlens.functions.text import fold_print, keywords, number_text
@@ -347,6 +347,20 @@ def build_documents(products: DataFrame, families: DataFrame | None = None, tran
     return cards.unionByName(own)
 
 
+def document_order(chunks: DataFrame, name: str = "place") -> DataFrame:
+    """The documents of chunks with their 0-based place by section, then family; a document without a family comes last in its section."""
+    documents = chunks.groupBy("document_id").agg(F.min("section").alias("section"), F.min("family").alias("family"))
+    ordered = documents.withColumn("_last", F.col("family").isNull())
+    # Places are counted per section and shifted by the documents of the sections before: one row for each section is ordered as a whole.
+    inside = Window.partitionBy("section").orderBy("_last", "family", "document_id")
+    counted = ordered.withColumn("_inside", F.row_number().over(inside) - 1)
+    sizes = ordered.groupBy("section").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(F.col("section").alias("_section"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    out = counted.join(shifts, F.col("section").eqNullSafe(F.col("_section")))
+    return out.select("document_id", "section", "family", (F.col("_inside") + F.col("_shift")).cast("int").alias(name))
+
+
 def group_chunks(chunks: DataFrame, slice_rows: int = 1000) -> DataFrame:
     """The ordered chunk ids and texts of every document, in slices of bounded size.
 

@@ -98,14 +98,18 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[str], page: str) -> Dat
     return joined.withColumn("also_on_pages", F.array_except("_pages", F.array(page))).drop("_pages")
 
 
-def id_coverage(expected: DataFrame, extracted: DataFrame, key: str, pattern: str | None = None) -> DataFrame:
-    """Totals of a comparison of expected and extracted ids: missing, unexpected, repeated and malformed."""
-    e = expected.select(F.col(key).cast("string").alias(key)).distinct().withColumn("_e", F.lit(1))
-    x = extracted.select(F.col(key).cast("string").alias(key)).groupBy(key).agg(F.count("*").alias("_x"))
-    both = e.join(x, key, "full_outer")
+def id_coverage(expected: DataFrame, extracted: DataFrame, key: str, pattern: str | None = None, section: str | None = None) -> DataFrame:
+    """Totals of a comparison of expected and extracted ids: missing, unexpected, repeated and malformed.
+
+    With ``section`` (a column of both) a row per section; an id is compared within its section.
+    """
+    by = [section] if section else []
+    e = expected.select(*by, F.col(key).cast("string").alias(key)).distinct().withColumn("_e", F.lit(1))
+    x = extracted.select(*by, F.col(key).cast("string").alias(key)).groupBy(*by, key).agg(F.count("*").alias("_x"))
+    both = e.join(x, [*by, key], "full_outer")
     bad = ~F.col(key).rlike(pattern) if pattern else F.lit(False)
-    counted = both.agg(
-        F.sum("_x").alias("rows_extracted"),
+    counted = both.groupBy(*by).agg(
+        F.coalesce(F.sum("_x"), F.lit(0)).alias("rows_extracted") if by else F.sum("_x").alias("rows_extracted"),
         F.count("_x").alias("distinct_ids"),
         F.count("_e").alias("expected_ids"),
         F.count_if(F.col("_e").isNotNull() & F.col("_x").isNull()).alias("missing"),

@@ -142,13 +142,18 @@ def solve_candidates(products: DataFrame, specs: DataFrame, reqs: DataFrame, can
     """Solve each requirement over its own candidate list (req_id, order_number).
 
     An id the catalog does not carry is ignored; a requirement without rows in
-    ``candidates`` has an empty list and yields nothing.
+    ``candidates`` has an empty list and yields nothing; a row with a NULL order number
+    stands for the whole catalog.
     """
+    n = clamp_k(k, 20)
     listed = candidates.select("req_id", "order_number").distinct()
     req = complete(reqs, REQUIREMENT)
     packed = req.select(F.col("req_id"), F.struct(*req.columns).alias("req"))
     pairs = listed.join(attach_specs(products, specs), "order_number").join(packed, "req_id")
-    return top_k(evaluate(pairs), ["req_id"], solve_order(), clamp_k(k, 20))
+    whole = listed.filter("order_number is null").select("req_id").distinct()
+    some = top_k(evaluate(pairs.join(whole, "req_id", "left_anti")), ["req_id"], solve_order(), n)
+    free = req.join(whole, "req_id", "left_semi")
+    return some if free.isEmpty() else some.unionByName(solve(products, specs, free, n).select(*some.columns))
 
 
 def prefilter(products: DataFrame, specs: DataFrame, reqs: DataFrame) -> DataFrame:
