@@ -164,12 +164,30 @@ SELECT CASE vec_id WHEN 40 THEN 'free' ELSE 'blank' END, NULL, embedding, CASE v
 FROM {embeddings} WHERE vec_id IN (40, 41)
 """
 
+# The catalog as it is printed: every text and number that a card can show, for some of the rows.
+SHOWN = """
+SELECT ord, order_number, row_type, section, family, category, source_page, pdf_page, type_code, product_name, product_url,
+  CASE WHEN pdf_page % 4 = 0 THEN 'mini' END AS subfamily, output_type AS switching_output,
+  CASE WHEN pdf_page % 3 = 0 THEN 'light/dark' END AS output_function, connector AS connection, principle AS sensor_principle,
+  CASE WHEN pdf_page % 5 = 0 THEN 'background' END AS detection_principle, light AS light_type,
+  CASE WHEN ip_rating IS NOT NULL THEN concat('IP ', cast(ip_rating AS string)) END AS enclosure_rating, housing AS housing_material,
+  CASE WHEN pdf_page % 7 = 0 THEN repeat(concat(product_name, ' '), 25) END AS short_description,
+  CASE WHEN io_link THEN 'IO-Link' END AS interface, CASE WHEN pdf_page % 2 = 0 THEN 'round spot' END AS light_spot,
+  CASE WHEN pdf_page % 9 = 0 THEN ' teach-in ' END AS adjustment, CASE WHEN pdf_page % 6 = 0 THEN repeat('screw ', 30) END AS scope_of_delivery,
+  sensing_range_min_mm, sensing_range_max_mm, supply_voltage_min_v, supply_voltage_max_v, response_time_ms, switching_frequency_hz,
+  operating_temp_min_c, operating_temp_max_c, CASE WHEN pdf_page % 8 = 0 THEN cast(0.25 AS double) END AS resolution_value,
+  CASE WHEN pdf_page % 16 = 0 THEN 'mm' END AS resolution_unit, cast(pdf_page * 30 AS double) AS output_current_max_ma,
+  CASE WHEN pdf_page % 3 = 1 THEN concat('weight|', cast(pdf_page AS string), ' g|blank| |note|', repeat('text ', 20), '|made in|here|fifth|lost') END AS spec_text
+FROM {catalog}
+"""
+
 DERIVED = {
     "line_stats": LINE_STATS,
     "catalog": CATALOG,
     "reqs": REQS,
     "enriched": ENRICHED,
     "scoring_reqs": SCORING_REQS,
+    "shown": SHOWN,
     "cards": CARDS,
     "card_vectors": CARD_VECTORS,
     "card_queries": CARD_QUERIES,
