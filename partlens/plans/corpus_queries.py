@@ -11,6 +11,7 @@ from partlens.operators import coverage as CV
 from partlens.operators import images as IM
 from partlens.operators import match as M
 from partlens.operators import normalize as N
+from partlens.operators import paged as PG
 from partlens.operators import retrieval as R
 from partlens.plans import tables as T
 from partlens.plans import tools
@@ -461,6 +462,23 @@ def index_provenance(spark, sf):
     return out.select("chunk_count", "family_card_count", "embedded_count", "product_count", "document_count")
 
 
+@query("WITH " + READINGS_SQL + """, r AS (SELECT DISTINCT part_id, field, run_id FROM readings), p AS (SELECT *, (row_number() OVER (PARTITION BY part_id, field ORDER BY run_id) - 1) // 4 AS page, count(*) OVER (PARTITION BY part_id, field) AS n FROM r)
+SELECT part_id, field, page, max(n) AS n, string_agg(run_id, ',' ORDER BY run_id) AS runs FROM p GROUP BY part_id, field, page""")
+def reading_runs(spark, sf):
+    """All runs that read a field of a part, in pages of four."""
+    out = PG.paged_sets(_readings(spark, sf), ["part_id", "field"], "run_id", 4)
+    return out.select("part_id", "field", "page", "n", F.array_join("entries", ",").alias("runs"))
+
+
+@query("""WITH d AS (SELECT DISTINCT lang, source, md5(text) AS key FROM documents), p AS (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY key) - 1) // 50 AS page, count(*) OVER (PARTITION BY lang, source) AS n FROM d)
+SELECT lang, source, page, max(n) AS n, count(*) AS entries, min(key) AS first, max(key) AS last FROM p GROUP BY lang, source, page""")
+def source_texts(spark, sf):
+    """The different texts of every language and source, in pages of fifty: a few keys hold all rows."""
+    rows = T.read(spark, sf, "documents").select("lang", "source", F.md5("text").alias("key"))
+    out = PG.paged_sets(rows, ["lang", "source"], "key", 50)
+    return out.select("lang", "source", "page", "n", F.size("entries").alias("entries"), F.get("entries", F.lit(0)).alias("first"), F.element_at("entries", -1).alias("last"))
+
+
 # --- traces --------------------------------------------------------------------
 
 TRACE_SQL = """SELECT user_id AS run_id, CASE event_type WHEN 'click' THEN 'tool.call' WHEN 'error' THEN 'challenger.attack' ELSE event_type END AS type, event_id * 1.0 AS at_ms, event_type AS label,
