@@ -104,7 +104,8 @@ def compare(described: DataFrame, groups: DataFrame, differences_only: bool = Fa
     sizes = groups.groupBy("group_id").agg(F.count_distinct("order_number").alias("asked"), F.count("*").alias("rows"))
     problem = F.when((F.col("asked") < 2) | (F.col("asked") > 5) | (F.col("asked") != F.col("rows")),
                      F.concat(F.lit("a comparison needs 2 to 5 distinct parts: group "), F.col("group_id").cast("string")))
-    sizes = sizes.withColumn("asked", F.when(problem.isNotNull(), F.raise_error(problem).cast("bigint")).otherwise(F.col("asked")))
+    # A filter: unlike a column it is not pruned when the caller reads other columns or only counts.
+    sizes = sizes.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
     cells = groups.join(described, "order_number")
     silent = F.array_sort(F.collect_list(F.when(~F.col("stated"), F.col("order_number"))))
     fields = cells.groupBy("group_id", "position", "field").agg(

@@ -368,9 +368,32 @@ def excluded_products(products: DataFrame, reqs: DataFrame, constraints: list[Co
     return scored.select("req_id", "order_number", excluded_by(F.col("req_level"), F.col("outcomes")).alias("excluded_by"))
 
 
+def violation_counts(products: DataFrame, reqs: DataFrame, constraints: list[Constraint] = CONSTRAINTS) -> DataFrame:
+    """(req_id, mask, products): how many products violate exactly the hard constraints whose bits, in declaration order, are set.
+
+    One pass over the pairs and one partial aggregate: a requirement has at most as
+    many rows as there are sets of hard constraints.
+    """
+    hard = [c for c in constraints if c.hard]
+    mask = F.lit(0)
+    for i, c in enumerate(hard):
+        mask = mask + F.when(c.build(F.col("p"), F.col("r")).status == VIOLATED, 1 << i).otherwise(0)
+    pool = products.filter("row_type = 'product'")
+    return _all_pairs(pool, reqs).select(F.col("r.req_id").alias("req_id"), mask.alias("mask")).groupBy("req_id", "mask").agg(F.count("*").alias("products"))
+
+
 def excluded_counts(products: DataFrame, reqs: DataFrame, constraints: list[Constraint] = CONSTRAINTS) -> DataFrame:
-    out = excluded_products(products, reqs, constraints)
-    return out.groupBy("req_id", "excluded_by").agg(F.count("*").alias("products"))
+    """(req_id, excluded_by, products): how many products each constraint excludes once the requirement is relaxed as far as it must be."""
+    counted = cut_lineage(violation_counts(products, reqs, constraints))
+    hard = [c.name for c in constraints if c.hard]
+    place = {name: i + 1 for i, name in enumerate(relaxation_order(constraints))}
+    violated = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    level = F.greatest(F.lit(0), *[F.when(violated(i), place[n]).otherwise(0) for i, n in enumerate(hard)])
+    placed = counted.withColumn("level", level)
+    levels = placed.groupBy("req_id").agg(F.min("level").alias("req_level"))
+    out = placed.join(levels, "req_id").filter("level > req_level")
+    first = F.coalesce(*[F.when(violated(i) & (F.col("req_level") < place[n]), n) for i, n in enumerate(hard)])
+    return out.groupBy("req_id", first.alias("excluded_by")).agg(F.sum("products").alias("products"))
 
 
 def reasons(outcomes: Column, facts: Column, limit: int = 4) -> Column:

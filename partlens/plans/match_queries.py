@@ -308,6 +308,16 @@ GROUPS_SQL = """pairs AS (SELECT order_number AS group_id, order_number, lead(or
 groups AS (SELECT group_id, order_number FROM pairs WHERE other IS NOT NULL UNION ALL SELECT group_id, other FROM pairs WHERE other IS NOT NULL)"""
 
 
+@query("WITH " + DESCRIBED_SQL + ", " + GROUPS_SQL + """, cells AS (SELECT g.group_id, d.* FROM groups g JOIN described d ON d.order_number = g.order_number)
+SELECT group_id, field, bool_and(stated) AS comparable, CASE WHEN bool_and(stated) THEN count(DISTINCT value) = 1 END AS identical,
+  coalesce(string_agg(order_number, ',' ORDER BY order_number) FILTER (WHERE NOT stated), '') AS not_stated_for FROM cells GROUP BY group_id, field""")
+def compared_parts(spark, sf):
+    """Every field of every group of parts: comparable, identical, and who does not state it."""
+    groups = T.run(spark, sf, "WITH " + GROUPS_SQL + " SELECT * FROM groups")
+    out = CP.compare(_described(spark, sf).filter(F.col("field").isin(*DESCRIBED_FIELDS)), groups)
+    return out.select("group_id", "field", "comparable", "identical", F.array_join("not_stated_for", ",").alias("not_stated_for"))
+
+
 @query("WITH " + DESCRIBED_SQL + ", " + GROUPS_SQL + """, cells AS (SELECT g.group_id, d.* FROM groups g JOIN described d ON d.order_number = g.order_number),
 f AS (SELECT group_id, field, bool_and(stated) AS comparable, count(DISTINCT CASE WHEN stated THEN value END) AS n FROM cells GROUP BY group_id, field)
 SELECT field, count(*) AS groups, sum(CASE WHEN comparable THEN 1 ELSE 0 END) AS comparable, sum(CASE WHEN comparable AND n = 1 THEN 1 ELSE 0 END) AS identical FROM f GROUP BY field""")

@@ -155,6 +155,17 @@ def evidence_summary(spark, sf):
     return rows.select("req_id", "rank", "order_number", F.array_join("unverified", ", ").alias("unverified"), "evidence")
 
 
+@query(PAIRS_SQL + f""", alive AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY unknown, passed DESC, order_number) AS place, count(*) OVER (PARTITION BY req_id) AS n FROM counted WHERE failed = 0)
+SELECT req_id, place AS rank, order_number, {_joined('unknown')} AS unverified, n AS viable FROM alive WHERE place <= 6""")
+def solve_constraints(spark, sf):
+    """The call as a user makes it: the viable products with what could not be verified, and how many there are in all."""
+    from partlens.plans.tools import solve_constraints as call
+
+    ranked, totals = call({"product": T.products(spark, sf), "spec": T.specs(spark, sf)}, T.requirements(spark, sf), top=6)
+    joined = ranked.select("req_id", "rank", "order_number", F.array_join("unverified", ", ").alias("unverified")).join(totals.select("req_id", "viable"), "req_id")
+    return joined
+
+
 LOW_FLAGS = {
     "output_type": "flags LIKE '%switching_output%'", "io_link": "flags LIKE '%switching_output%'",
     "connector": "flags LIKE '%connection%'", "connector_pins": "flags LIKE '%connection%'",

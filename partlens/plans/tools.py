@@ -26,7 +26,7 @@ def solve_constraints(index: dict[str, DataFrame], reqs: DataFrame, top: int | N
     stated = S.complete(reqs, S.REQUIREMENT).withColumn("_stated", CP.stated_fields())
     empty = (F.size("_stated") == 0) & (F.coalesce(F.size("row_type"), F.lit(0)) <= 0)
     message = F.concat(F.lit("requirement states no constraint: "), "req_id")
-    checked = stated.withColumn("req_id", F.when(empty, F.raise_error(message)).otherwise(F.col("req_id"))).drop("_stated")
+    checked = stated.where(F.when(~empty, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_stated")
     ranked = S.solve(index["product"], index["spec"], checked, clamp_k(top, 20), viable_only)
     return S.evidence_summary(ranked), S.solve_totals(index["product"], index["spec"], checked)
 
