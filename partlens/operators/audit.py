@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partlens.functions.text import field_key, number_text, quoted_in, squeeze
 from partlens.functions.units import asserted_value, close_to
 from partlens.plans.scale import first_by
+from partlens.session import cut_lineage
 
 # How many ranked candidates are attacked, and the order of confidence levels.
 MAX_CHALLENGED = 4
@@ -184,39 +185,34 @@ def compat_checks(lines: DataFrame, designs: DataFrame) -> DataFrame:
     washdown).  Connector checks meet per distinct connector value of a design,
     not per pair of lines.
     """
+    needed = ["design_id", "order_number", "role", "sensing_range_max_mm", "output_type", "supply_voltage_min_v", "supply_voltage_max_v", "ip_rating", "ip69k", "connector"]
+    # A few narrow columns that the checks of rows, designs and connectors read.
+    lines = cut_lineage(lines.select(*needed))
     rows = lines.join(designs.withColumnRenamed("output_type", "want_output"), "design_id")
-    sensors = rows.filter("role = 'sensor'")
     ok = lambda c: F.when(c, "ok").otherwise("warning")
-
-    def checks(df: DataFrame, kind: str, status: Column, other: Column | None = None) -> DataFrame:
-        partner = F.lit(None).cast("string") if other is None else other
-        subject = F.col("order_number") if "order_number" in df.columns else F.lit(None).cast("string")
-        return df.select("design_id", F.lit(kind).alias("check"), subject.alias("order_number"),
-                         partner.alias("with"), status.alias("status"))
-
-    reach = sensors.filter("sensing_distance_mm is not null")
-    output = sensors.filter("want_output is not null")
+    sensor = F.col("role") == "sensor"
     stated_output = F.col("output_type").isNotNull() & (F.col("output_type") != "unknown")
     fits = (F.col("output_type") == F.col("want_output")) | (F.col("output_type") == "PNP/NPN") | (F.col("want_output") == "PNP/NPN")
-    powered = rows.filter("supply_voltage_v is not null")
+    powered = F.col("supply_voltage_v").isNotNull()
     has_window = F.col("supply_voltage_min_v").isNotNull() | F.col("supply_voltage_max_v").isNotNull()
     in_window = F.coalesce(F.col("supply_voltage_v") >= F.col("supply_voltage_min_v"), F.lit(True)) & F.coalesce(
         F.col("supply_voltage_v") <= F.col("supply_voltage_max_v"), F.lit(True)
     )
-    dark = powered.groupBy("design_id").agg(F.bool_or(has_window).alias("_any")).filter("not _any")
-    washed = sensors.filter("washdown")
-    accessories = rows.filter("role <> 'sensor'").select("design_id").distinct()
-    return (
-        checks(reach, "range", F.when(F.col("sensing_range_max_mm").isNull(), "unverified").otherwise(
-            ok(F.col("sensing_range_max_mm") >= F.col("sensing_distance_mm"))))
-        .unionByName(checks(output, "output", F.when(~stated_output, "unverified").otherwise(ok(fits))))
-        .unionByName(checks(powered.filter(has_window), "voltage", ok(in_window)))
-        .unionByName(checks(dark, "voltage", F.lit("unverified")))
-        .unionByName(connector_compat(lines))
-        .unionByName(checks(washed, "washdown", F.when(F.col("ip_rating").isNull(), "unverified").otherwise(
-            ok(F.coalesce(F.col("ip69k"), F.lit(False))))))
-        .unionByName(checks(accessories, "fitment", F.lit("unverified")))
-    )
+    of_row = {
+        "range": (sensor & F.col("sensing_distance_mm").isNotNull(),
+                  F.when(F.col("sensing_range_max_mm").isNull(), "unverified").otherwise(ok(F.col("sensing_range_max_mm") >= F.col("sensing_distance_mm")))),
+        "output": (sensor & F.col("want_output").isNotNull(), F.when(~stated_output, "unverified").otherwise(ok(fits))),
+        "voltage": (powered & has_window, ok(in_window)),
+        "washdown": (sensor & F.col("washdown"), F.when(F.col("ip_rating").isNull(), "unverified").otherwise(ok(F.coalesce(F.col("ip69k"), F.lit(False))))),
+    }
+    made = F.array_compact(F.array(*[F.when(asked, F.struct(F.lit(kind).alias("check"), status.alias("status"))) for kind, (asked, status) in of_row.items()]))
+    none = F.lit(None).cast("string")
+    rows_told = rows.select("design_id", "order_number", F.explode(made).alias("c")).select("design_id", "c.check", "order_number", none.alias("with"), "c.status")
+    seen = rows.groupBy("design_id").agg(F.bool_or(powered).alias("powered"), F.bool_or(powered & has_window).alias("window"), F.bool_or(~sensor).alias("extras"))
+    dark = F.when(F.col("powered") & ~F.col("window"), F.lit("voltage"))
+    told = F.array_compact(F.array(dark, F.when(F.col("extras"), F.lit("fitment"))))
+    designs_told = seen.select("design_id", F.explode(told).alias("check"), none.alias("order_number"), none.alias("with"), F.lit("unverified").alias("status"))
+    return rows_told.unionByName(designs_told).unionByName(connector_compat(lines))
 
 
 def connector_compat(lines: DataFrame) -> DataFrame:
