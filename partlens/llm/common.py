@@ -42,6 +42,27 @@ def _names(id_: Column, key: Column) -> tuple[Column, Column]:
     return F.coalesce(id_.cast("long"), F.lit(0)), F.xxhash64(key, id_.isNull())
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by their places, ``c0`` and on: no name of a caller meets one of ours."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place_of(docs: DataFrame, name: str) -> str:
+    """The plain name of a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with underscores behind it until no other column has it in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, key: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` named in ``kept`` (``id``, ``key``: of the columns ``key``, ``times``), each as often as ``times`` says.
 
@@ -49,13 +70,14 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: tuple[str, ...], id_col: st
     its copies.  The texts are shuffled once: the join, the choice of one row and
     the repetition share the partitions.  Names in ``docs`` may be any.
     """
-    id_, key_ = _names(F.col(id_col), row_key(*key))
-    named = docs.withColumns({"__id": id_, "__key": key_})
+    plain = plain_names(docs)
+    id_, key_ = _names(F.col(place_of(docs, id_col)), row_key(*[place_of(docs, k) for k in key]))
+    named = plain.withColumns({"__id": id_, "__key": key_})
     kid, kkey = _names(F.col("id"), F.col("key"))
     keys = kept.groupBy(kid.alias("__kid"), kkey.alias("__kkey")).agg(F.sum("times").cast("int").alias("__times"))
     rows = named.join(keys, (F.col("__id") == F.col("__kid")) & (F.col("__key") == F.col("__kkey"))).where("__times > 0")
     rows = once(rows, "__id", "__key").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*plain.columns).toDF(*docs.columns)
 
 
 #: Bits of the mark table by which rows without a partner are left out of a shuffle: it is broadcast and never larger than this.

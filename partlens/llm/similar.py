@@ -1,38 +1,45 @@
-"""Groups of texts that share most of their word shingles: SimHash bands, confirmed by exact Jaccard.
-
-Texts with the same set of shingles are one node.  A node's SimHash has WORDS * 64
-bits over its distinct shingles.  Two sets of Jaccard 0.8 have a cosine of 0.889 or
-more, so they differ in 15 % of the bits: BANDS bands of 16 bits bring them
-together, and of the nodes that meet, those within LIMIT of the 128 bits kept for
-that are candidates.  Every candidate is confirmed by the exact Jaccard of the sets.
-
-Components need no pairs within a group: first each node is linked to its neighbour
-in the order of its bits, in FIRST_BANDS of the bands; then all pairs that meet in
-any band and are not yet in one component are weighed.  Only nodes that no band
-brings together, or that differ in more than LIMIT bits, are missed.
+"""Groups of texts that share most of their word shingles: SimHash neighbours first, then an exact set join.
+
+Texts with the same set of shingles are one node.  First pass: each node has a
+64-bit SimHash over its distinct shingles; codes that the Gray-order index of
+``simhash`` links, and codes that stand next to each other in Gray order under some
+rotations of the bits, are weighed by the exact Jaccard of the sets.  So a large
+group of copies is one component before anything is compared in it.
+
+Second pass, exact for a Jaccard of SIMILAR: two sets that are so alike share a
+shingle among the first fifth (and one more) of each, under any one order of all
+shingles.  The order is by how often a shingle occurs, rarest first, as a count
+sketch of a fixed size tells it; what a sketch gets wrong changes the work and never
+the result.  Texts that share a frequent passage do not meet on it.  Nodes that meet,
+have different roots, and could reach the Jaccard by their sizes and by what is left
+of each set behind the shingle, are weighed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlens.llm.common import _names, components, marked, once, row_key, whole_groups
+from partlens.llm import simhash
+from partlens.llm.common import _names, components, marked, once, row_key, whole_groups, written
 from partlens.session import cut_lineage
 
 #: Words of a shingle, and the similarity of texts of one group (as a fraction).
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Words of 64 bits: the first COMPARED are compared, the others are cut into bands of 16 bits.
-COMPARED, WORDS = 2, 18
-BANDS, FIRST_BANDS = 4 * (WORDS - COMPARED), 8
-#: Differing bits of the 128 compared: at Jaccard 0.8 the mean is 19.4 and the deviation 4.1.
-LIMIT = 36
-SHINGLES_AT_ONCE, ROWS_AT_ONCE = 255 * 16, 1 << 18
+#: Differing bits that the index links, those of neighbours that are weighed, and the turns of the bits under which neighbours are looked for.
+LINKED, LIMIT, TURNS = 3, 16, (0, 16, 32, 48)
+#: Counters of the sketch, the parts it is added up in, and steps of a level for each doubling of a count.
+SLOTS, PARTS, STEPS = 1 << 22, 64, 5
+#: Shingles counted at once, rows of a task held together, and rows of a shingle that one task compares.
+COUNTED, ROWS_AT_ONCE, GROUP_ROWS = 1 << 20, 1 << 18, 20_000
+#: Nodes whose prefix a task remembers to have handed on.
+SEEN = 200_000
 SEED = 42
 
 
@@ -43,9 +50,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TURNS = _mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -59,88 +63,186 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(made)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of shingles as WORDS numbers of 64 bits."""
-    ones = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, found.size, SHINGLES_AT_ONCE):
-        bits = np.unpackbits(_mixed(found[at : at + SHINGLES_AT_ONCE, None] ^ _TURNS).view(np.uint8), axis=1, bitorder="little")
-        # Eight counts in a number: no more than 255 rows at a time.
-        some = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
-        ones += some.view(np.uint8).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > found.size, bitorder="little").view(np.uint64)
+def node_of(found: np.ndarray) -> int:
+    """The name of a set of shingles, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def code_of(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles, as a signed number; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, found.size, simhash.SHINGLES_AT_ONCE):
+        ones += np.unpackbits(found[at : at + simhash.SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > found.size, bitorder="little").view(np.int64)[0])
+
+
+class Counts:
+    """How often shingles occur, by hash in SLOTS counters: never too few, too many where others share the counter."""
+
+    def __init__(self) -> None:
+        self.counts, self.held, self.size = np.zeros(SLOTS, np.int64), [], 0
+
+    def add(self, found: np.ndarray) -> None:
+        self.held.append(found)
+        self.size += found.size
+        if self.size >= COUNTED:
+            self._count()
+
+    def _count(self) -> None:
+        if self.held:
+            self.counts += np.bincount(slots(np.concatenate(self.held)), minlength=SLOTS)
+            self.held, self.size = [], 0
+
+    def parts(self) -> Iterator[tuple[int, bytes]]:
+        self._count()
+        for i, part in enumerate(self.counts.reshape(PARTS, -1)):
+            if part.any():
+                yield i, zlib.compress(part.tobytes(), 1)
+
+
+def slots(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, key: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(*key).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, key: tuple[str, ...]) -> DataFrame:
-    """``id``, ``key``, ``node`` (a hash of the set of shingles) and ``bits`` of every row."""
+def _noted(rows: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``node``, ``code`` of every row; and each task's counts, as rows with ``part`` and ``counts``."""
+    names = ["id", "key", "node", "code", "part", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
         for batch in batches:
-            nodes, bits = [], []
+            nodes, codes = [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                bits.append(sketch(found).tobytes())
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(bits, pa.binary())], names=["id", "key", "node", "bits"])
+                counts.add(found)
+                nodes.append(node_of(found))
+                codes.append(code_of(found))
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(codes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(batch.num_rows, k) for k in kinds[4:])], names=names)
+        for part, told in counts.parts():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([part], pa.int32()), pa.array([told], pa.binary())], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(*key).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, node long, bits binary")
+    return rows.mapInArrow(run, "id long, key long, node long, code long, part int, counts binary")
 
 
-def _banded(nodes: DataFrame, bands: range) -> DataFrame:
-    """``group`` (a band and its value), ``node``, ``root`` and the compared bits ``c0``, ``c1``: one row for each node and band."""
-    wanted = np.array(bands)
+def _levels(noted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each counter (STEPS for each doubling), and whether its count is over GROUP_ROWS: SLOTS bytes and bits, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+
+        def told() -> pa.RecordBatch:
+            level = np.rint(STEPS * np.log2(1.0 + total)).clip(0, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([np.packbits(total > GROUP_ROWS).tobytes()], pa.binary())], names=["part", "level", "often"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE // BANDS):
-                part = batch.slice(at, ROWS_AT_ONCE // BANDS)
-                code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-                values = np.ascontiguousarray(code[:, COMPARED:]).view(np.uint16)[:, wanted].astype(np.int64)
-                rows = [(values + (wanted << 16)).ravel()]
-                rows += [np.repeat(part.column(i).to_numpy(), wanted.size) for i in (0, 1)]
-                rows += [np.repeat(np.ascontiguousarray(code[:, i]).view(np.int64), wanted.size) for i in range(COMPARED)]
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["group", "node", "root", "c0", "c1"])
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i != part:
+                    if part is not None:
+                        yield told()
+                    part, total = i, np.zeros(SLOTS // PARTS, np.int64)
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+        if part is not None:
+            yield told()
 
-    return nodes.select("node", "root", "bits").mapInArrow(run, "group long, node long, root long, c0 long, c1 long")
+    rows = noted.where("part is not null").select("part", "counts").repartition(PARTS, "part").sortWithinPartitions("part")
+    level, often = np.zeros((PARTS, SLOTS // PARTS), np.uint8), np.zeros((PARTS, SLOTS // PARTS // 8), np.uint8)
+    for r in rows.mapInArrow(run, "part int, level binary, often binary").collect():
+        level[r.part], often[r.part] = np.frombuffer(r.level, np.uint8), np.frombuffer(r.often, np.uint8)
+    return level.ravel(), np.unpackbits(often.ravel()).astype(bool)
 
 
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+def _turned(code: Column, by: int) -> Column:
+    return code if not by else F.shiftleft(code, by).bitwiseOR(F.shiftrightunsigned(code, 64 - by))
 
 
-def _near(c0: np.ndarray, c1: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Whether the places differ in few of the compared bits (as unsigned numbers: of signed ones numpy counts the bits of the size)."""
-    return sum(np.bitwise_count((c[a] ^ c[b]).view(np.uint64)).astype(np.int64) for c in (c0, c1)) <= limit
+def _gray(code: Column) -> Column:
+    """The place of a code in Gray order."""
+    for by in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, by))
+    return code
 
 
-def _neighbours(banded: DataFrame, limit: int) -> DataFrame:
-    """``a``, ``b``: nodes that stand next to each other in a group, in the order of their bits, and differ in few."""
+def _neighbours(nodes: DataFrame) -> DataFrame:
+    """``a``, ``b``: nodes that stand next to each other in Gray order, under one of TURNS of their bits, and differ in few bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = _columns(batch)
+            turn, code, node = (batch.column(i).to_numpy() for i in range(3))
             if last is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
-            last = [x[-1:] for x in cols]
-            group, node, _, c0, c1 = cols
-            a = np.flatnonzero(group[1:] == group[:-1])
-            a = a[_near(c0, c1, a, a + 1, limit)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[a + 1])), pa.array(np.maximum(node[a], node[a + 1]))], names=["a", "b"])
-
-    rows = banded.repartition("group").sortWithinPartitions("group", "c0", "c1", "node")
+                turn, code, node = (np.concatenate([x, y]) for x, y in zip(last, (turn, code, node), strict=True))
+            last = turn[-1:], code[-1:], node[-1:]
+            near = (np.bitwise_count((code[1:] ^ code[:-1]).view(np.uint64)) <= LIMIT) & (turn[1:] == turn[:-1])
+            a, b = node[:-1][near], node[1:][near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    turned = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), _gray(_turned(F.col("code"), t)).alias("rank")) for t in TURNS]))
+    rows = nodes.select("code", "node", turned.alias("t")).select("t.turn", "code", "node", "t.rank")
+    # Many nodes may have the same code, so the node is part of the order that is dealt out.
+    rows = rows.repartitionByRange("turn", "rank", "node").sortWithinPartitions("turn", "rank", "node").select("turn", "code", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _others(banded: DataFrame, limit: int) -> DataFrame:
-    """``a``, ``b``: all nodes of a group that differ in few bits and have different roots."""
+def _linked(nodes: DataFrame) -> DataFrame:
+    """``a``, ``b``: a node of each code and one of the code that the Gray-order index links it to."""
+    codes = cut_lineage(nodes.groupBy("code").agg(F.min("node").alias("node")))
+    links = simhash.links(codes.select("code"), LINKED)
+    first = links.join(codes.select(F.col("code").alias("a"), F.col("node").alias("x")), "a")
+    both = first.join(codes.select(F.col("code").alias("b"), F.col("node").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def prefix_size(n: int) -> int:
+    """How many of ``n`` ordered shingles are enough to meet every set of a Jaccard of SIMILAR."""
+    part, whole = SIMILAR
+    return n - -(-part * n // whole) + 1
+
+
+def _prefixes(rows: DataFrame, level: np.ndarray, often: np.ndarray) -> DataFrame:
+    """``node``, ``size`` and ``first``: the rarest shingles (with whether they may be in over GROUP_ROWS sets) of each node."""
+    spread = rows.sparkSession.sparkContext.broadcast((level, np.packbits(often)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, often = spread.value[0], np.unpackbits(spread.value[1]).astype(bool)
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, sizes, firsts, oftens = [], [], [], []
+            for text in batch.column(0):
+                found = shingles(text.as_py())
+                node = node_of(found)
+                if not found.size or node in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(node)
+                at = slots(found)
+                rarest = np.argsort(level[at], kind="stable")[: prefix_size(found.size)]
+                nodes.append(node)
+                sizes.append(found.size)
+                firsts.append(found[rarest].view(np.int64))
+                oftens.append(often[at[rarest]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(oftens, pa.list_(pa.bool_()))], names=["node", "size", "first", "often"]
+            )
+
+    found = rows.select("text").mapInArrow(run, "node long, size long, first array<long>, often array<boolean>")
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"), F.first("often").alias("often"))
+
+
+def _meeting(rooted: DataFrame) -> DataFrame:
+    """``a``, ``b``: nodes of different roots that share a shingle of their prefixes and could be similar by their sizes."""
+    part, whole = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, 0, lambda b: np.ones(b.num_rows, np.int64), ROWS_AT_ONCE):
-            group, node, root, c0, c1 = _columns(chunk)
+            group, root, node, size, rest, side = (chunk.column(i).to_numpy() for i in range(6))
             place = np.arange(group.size)
             fresh = np.flatnonzero(group[1:] != group[:-1]) + 1
             end = np.append(fresh, group.size)[np.searchsorted(fresh, place, side="right")]
@@ -151,14 +253,25 @@ def _others(banded: DataFrame, limit: int) -> DataFrame:
                 place, other, end = (x[other < end] for x in (place, other, end))
                 if not place.size:
                     break
-                near = _near(c0, c1, place, other, limit)
-                if near.any():
-                    x, y = node[place[near]], node[other[near]]
+                most = 1 + np.minimum(rest[place], rest[other])
+                fit = ((part + whole) * most >= part * (size[place] + size[other])) & ((side[place] < 0) | (side[place] != side[other]))
+                if fit.any():
+                    x, y = node[place[fit]], node[other[fit]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
                 other = other + 1
 
-    rows = banded.repartition("group").sortWithinPartitions("group", "root", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = rooted.select("node", "root", "size", F.posexplode(F.arrays_zip("first", "often")).alias("at", "s"))
+    rows = rows.select(F.col("s.first").alias("shingle"), "root", "node", "size", (F.col("size") - 1 - F.col("at")).alias("rest"), F.col("s.often").alias("often"))
+    # A shingle of very many sets is dealt in blocks: each two blocks meet in a group of their own, and so does each block with itself.
+    counts = rows.where("often").groupBy("shingle").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("blocks")).where("blocks > 1")
+    hot = rows.where("often").join(counts, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Within a block with itself all rows meet (side -1); in a group of two blocks only rows of different ones.
+    group = F.xxhash64("shingle", F.least("own", "met"), F.greatest("own", "met"))
+    dealt = hot.select(group.alias("group"), "root", "node", "size", "rest", F.when(F.col("own") == F.col("met"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("side"))
+    plain = rows.where("not often").select(F.col("shingle").alias("group"), "root", "node", "size", "rest", F.lit(-1).cast("long").alias("side"))
+    met = plain.unionByName(dealt).repartition("group").sortWithinPartitions("group", "root", "node")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -185,20 +298,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, id_col: str
     return both.where((part + whole) * common >= part * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("text",), limit: int = LIMIT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("text",)) -> DataFrame:
     """``id``, ``key`` and ``root`` (the same for all rows of a group) of every row of ``docs``.
 
     Null and blank texts have the same, empty set; a row counts as often as it
     stands in the table; other columns are not read; an empty table gives an empty result.
     """
-    rows = cut_lineage(_sketches(docs, id_col, text_col, key))
-    per_node = rows.groupBy("node").agg(F.min("bits").alias("bits"), F.min(F.struct("id", "key")).alias("r"))
-    nodes = cut_lineage(per_node.select("node", "bits", "r.id", "r.key"))
+    texts = _texts(docs, id_col, text_col, key)
+    noted = written(_noted(texts), "noted")
+    rows = noted.where("part is null").select("id", "key", "node", "code")
+    per_node = rows.groupBy("node").agg(F.first("code").alias("code"), F.min(F.struct("id", "key")).alias("r"))
+    nodes = cut_lineage(per_node.select("node", "code", "r.id", "r.key"))
     of_node = nodes.select("node", "id", "key")
-    near = cut_lineage(_neighbours(_banded(nodes.withColumn("root", F.col("node")), range(FIRST_BANDS)), limit))
+    near = cut_lineage(_linked(nodes).unionByName(_neighbours(nodes)).distinct())
     links = cut_lineage(confirmed(near, docs, of_node, id_col, text_col, key))
-    rooted = _rooted(nodes.select("node", "bits"), links)
-    others = cut_lineage(_others(_banded(rooted, range(BANDS)), limit).join(near, ["a", "b"], "left_anti"))
+    rooted = written(_rooted(_prefixes(texts, *_levels(noted)), links), "prefixes")
+    others = cut_lineage(_meeting(rooted).join(near, ["a", "b"], "left_anti"))
     links = links.unionByName(cut_lineage(confirmed(others, docs, of_node, id_col, text_col, key)))
     return _rooted(rows.select("id", "key", "node"), links).select("id", "key", "root")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from partlens.llm.common import marked, once, whole_groups, written
+from partlens.llm.common import free_names, marked, once, place_of, plain_names, whole_groups, written
 from partlens.session import cut_lineage
 
 LENGTH = 200
@@ -291,23 +291,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_STRETCHES) -> DataFrame:
-    """The rows and columns of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept_text``.
+    """The rows and columns of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept_text`` behind them.
 
     ``kept_text`` is what is left as characters: one that lost a byte is gone.  A
     text shorter than 200 bytes, empty or null loses nothing (null: no bytes,
     ``kept_text`` null); rows that repeat a text each lose all that another row
     has, and of equal texts every one; an empty table gives an empty result; other
-    columns are handed on, whatever their names.
+    columns are handed on, whatever their names: a new column whose name is taken,
+    in any case, gets underscores behind it.
     """
-    found = cut_lineage(repeats(docs, id_col, text_col, most).distinct())
+    plain, id_at, text_at = plain_names(docs), place_of(docs, id_col), place_of(docs, text_col)
+    columns = plain.columns
+    found = cut_lineage(repeats(plain, id_at, text_at, most).distinct())
     spans = found.groupBy(F.col("id").alias("__sid"), F.col("key").alias("__skey")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
-    id_, key = _names(id_col, text_col)
-    rows = marked(docs.withColumns({"__id": id_, "__key": key, "__text": F.col(text_col).cast("string")}), found.select(F.col("id").alias("__id"), F.col("key").alias("__key")), ("__id", "__key"))
+    id_, key = _names(id_at, text_at)
+    rows = marked(plain.withColumns({"__id": id_, "__key": key, "__text": F.col(text_at).cast("string")}), found.select(F.col("id").alias("__id"), F.col("key").alias("__key")), ("__id", "__key"))
     met = rows.where("__maybe").join(spans, (F.col("__id") == F.col("__sid")) & (F.col("__key") == F.col("__skey")), "left")
-    columns = docs.columns
-    met = met.select(*[F.col(f"`{c}`") for c in columns], "__text", "__spans")
-    whole = rows.where("not __maybe").select(*[F.col(f"`{c}`") for c in columns], "__text", F.lit(None).cast(met.schema["__spans"].dataType).alias("__spans"))
-    met = met.unionByName(whole) if len(set(columns)) == len(columns) else met.union(whole)
+    met = met.select(*columns, "__text", "__spans")
+    whole = rows.where("not __maybe").select(*columns, "__text", F.lit(None).cast(met.schema["__spans"].dataType).alias("__spans"))
+    met = met.unionByName(whole)
     made = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +319,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = [pa.array([f[k] for f in found], kind) for k, (_, kind) in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=[*columns, *[name for name, _ in made]])
 
-    kinds = StructType([*docs.schema.fields, *[StructField(n, StringType() if k == pa.string() else LongType()) for n, k in made]])
-    return met.mapInArrow(run, kinds)
+    kinds = StructType([*plain.schema.fields, *[StructField(n, StringType() if k == pa.string() else LongType()) for n, k in made]])
+    return met.mapInArrow(run, kinds).toDF(*docs.columns, *free_names([name for name, _ in made], docs.columns))
 
 
 def _cut(text: str | None, spans: pa.ListScalar) -> tuple[int, int, int, str, str | None]:
