@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.llm import mixing, piece_codec, quality, similar, suffixes
-from partlens.llm.common import keep_rows, written
+from partlens.llm.common import keep_rows, plain_names, written
 from partlens.llm.queries import piece_model
 
 #: The columns that, with the id, tell rows apart.
@@ -33,9 +33,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without the characters that repeats of 200 bytes cover; ``n_chars`` is counted again."""
-    cut = suffixes.without_repeats(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cut = plain_names(suffixes.without_repeats(docs))
+    kept = F.col(cut.columns[-1])
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return cut.select(*[new.get(c, F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
