@@ -38,6 +38,8 @@ LINKED, LIMIT, TURNS = 3, 16, (0, 16, 32, 48)
 SLOTS, PARTS, STEPS = 1 << 22, 64, 5
 #: Shingles counted at once, rows of a task held together, and rows of a shingle that one task compares.
 COUNTED, ROWS_AT_ONCE, GROUP_ROWS = 1 << 20, 1 << 18, 20_000
+#: Nodes that share a shingle from which on their pairs must pass the parities, and bits of these.
+MANY, PARITIES = 64, 1_024
 #: Nodes whose prefix a task remembers to have handed on.
 SEEN = 200_000
 SEED = 42
@@ -76,6 +78,12 @@ def code_of(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > found.size, bitorder="little").view(np.int64)[0])
 
 
+def parities(found: np.ndarray) -> bytes:
+    """PARITIES bits: whether an odd number of the set's shingles falls on each.  Two sets differ in as many shingles as bits or more."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 class Counts:
     """How often shingles occur, by hash in SLOTS counters: never too few, too many where others share the counter."""
 
@@ -131,14 +139,14 @@ def _noted(rows: DataFrame) -> DataFrame:
 
 
 def _levels(noted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The level of each counter (STEPS for each doubling), and whether its count is over GROUP_ROWS: SLOTS bytes and bits, whatever the corpus."""
+    """The level of each counter (STEPS for each doubling), and whether its count is over MANY: SLOTS bytes and bits, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, None
 
         def told() -> pa.RecordBatch:
             level = np.rint(STEPS * np.log2(1.0 + total)).clip(0, 255).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([np.packbits(total > GROUP_ROWS).tobytes()], pa.binary())], names=["part", "level", "often"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([np.packbits(total > MANY).tobytes()], pa.binary())], names=["part", "level", "often"])
 
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -207,14 +215,14 @@ def prefix_size(n: int) -> int:
 
 
 def _prefixes(rows: DataFrame, level: np.ndarray, often: np.ndarray) -> DataFrame:
-    """``node``, ``size`` and ``first``: the rarest shingles (with whether they may be in over GROUP_ROWS sets) of each node."""
+    """``node``, ``size``, ``first``: the rarest shingles (``often``: whether they may be in over MANY sets) and ``bits``, the parities, of each node."""
     spread = rows.sparkSession.sparkContext.broadcast((level, np.packbits(often)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, often = spread.value[0], np.unpackbits(spread.value[1]).astype(bool)
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, firsts, oftens = [], [], [], []
+            nodes, sizes, firsts, oftens, bits = [], [], [], [], []
             for text in batch.column(0):
                 found = shingles(text.as_py())
                 node = node_of(found)
@@ -228,12 +236,12 @@ def _prefixes(rows: DataFrame, level: np.ndarray, often: np.ndarray) -> DataFram
                 sizes.append(found.size)
                 firsts.append(found[rarest].view(np.int64))
                 oftens.append(often[at[rarest]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(oftens, pa.list_(pa.bool_()))], names=["node", "size", "first", "often"]
-            )
+                bits.append(parities(found))
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(oftens, pa.list_(pa.bool_())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "first", "often", "bits"])
 
-    found = rows.select("text").mapInArrow(run, "node long, size long, first array<long>, often array<boolean>")
-    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("first").alias("first"), F.first("often").alias("often"))
+    found = rows.select("text").mapInArrow(run, "node long, size long, first array<long>, often array<boolean>, bits binary")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "first", "often", "bits")])
 
 
 def _meeting(rooted: DataFrame) -> DataFrame:
@@ -243,6 +251,9 @@ def _meeting(rooted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, 0, lambda b: np.ones(b.num_rows, np.int64), ROWS_AT_ONCE):
             group, root, node, size, rest, side = (chunk.column(i).to_numpy() for i in range(6))
+            told = chunk.column(6).is_valid().to_numpy(zero_copy_only=False)
+            bits = np.zeros((group.size, PARITIES // 64), np.uint64)
+            bits[told] = np.frombuffer(b"".join(chunk.column(6).drop_null().to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
             place = np.arange(group.size)
             fresh = np.flatnonzero(group[1:] != group[:-1]) + 1
             end = np.append(fresh, group.size)[np.searchsorted(fresh, place, side="right")]
@@ -255,6 +266,9 @@ def _meeting(rooted: DataFrame) -> DataFrame:
                     break
                 most = 1 + np.minimum(rest[place], rest[other])
                 fit = ((part + whole) * most >= part * (size[place] + size[other])) & ((side[place] < 0) | (side[place] != side[other]))
+                hot = np.flatnonzero(fit & told[place])
+                apart = np.bitwise_count(bits[place[hot]] ^ bits[other[hot]]).sum(axis=1, dtype=np.int64)
+                fit[hot] = (part + whole) * apart <= (whole - part) * (size[place[hot]] + size[other[hot]])
                 if fit.any():
                     x, y = node[place[fit]], node[other[fit]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -262,14 +276,18 @@ def _meeting(rooted: DataFrame) -> DataFrame:
 
     rows = rooted.select("node", "root", "size", F.posexplode(F.arrays_zip("first", "often")).alias("at", "s"))
     rows = rows.select(F.col("s.first").alias("shingle"), "root", "node", "size", (F.col("size") - 1 - F.col("at")).alias("rest"), F.col("s.often").alias("often"))
+    # Exact counts of those that may be in many sets; the sketch only tells which to count.
+    counts = cut_lineage(rows.where("often").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > MANY))
+    watched = rows.where("often").join(counts, "shingle", "left")
+    cool = rows.where("not often").unionByName(watched.where("n is null").drop("n"))
+    plain = cool.select(F.col("shingle").alias("group"), "root", "node", "size", "rest", F.lit(-1).cast("long").alias("side"), F.lit(None).cast("binary").alias("bits"))
     # A shingle of very many sets is dealt in blocks: each two blocks meet in a group of their own, and so does each block with itself.
-    counts = rows.where("often").groupBy("shingle").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("blocks")).where("blocks > 1")
-    hot = rows.where("often").join(counts, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    hot = watched.where("n is not null").join(rooted.select("node", "bits"), "node").withColumn("blocks", F.ceil(F.col("n") / GROUP_ROWS))
     hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # Within a block with itself all rows meet (side -1); in a group of two blocks only rows of different ones.
     group = F.xxhash64("shingle", F.least("own", "met"), F.greatest("own", "met"))
-    dealt = hot.select(group.alias("group"), "root", "node", "size", "rest", F.when(F.col("own") == F.col("met"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("side"))
-    plain = rows.where("not often").select(F.col("shingle").alias("group"), "root", "node", "size", "rest", F.lit(-1).cast("long").alias("side"))
+    side = F.when(F.col("own") == F.col("met"), F.lit(-1)).otherwise(F.col("own")).cast("long")
+    dealt = hot.select(group.alias("group"), "root", "node", "size", "rest", side.alias("side"), "bits")
     met = plain.unionByName(dealt).repartition("group").sortWithinPartitions("group", "root", "node")
     return met.mapInArrow(run, "a long, b long").distinct()
 
