@@ -37,9 +37,11 @@ LINKED, LIMIT, TURNS = 3, 16, (0, 16, 32, 48)
 #: Counters of the sketch, the parts it is added up in, and steps of a level for each doubling of a count.
 SLOTS, PARTS, STEPS = 1 << 22, 64, 5
 #: Shingles counted at once, rows of a task held together, and rows of a shingle that one task compares.
-COUNTED, ROWS_AT_ONCE, GROUP_ROWS = 1 << 20, 1 << 18, 20_000
+COUNTED, ROWS_AT_ONCE, GROUP_ROWS = 1 << 20, 1 << 16, 20_000
 #: Nodes that share a shingle from which on their pairs must pass the parities, and bits of these.
 MANY, PARITIES = 64, 1_024
+#: Pairs whose parities are compared at once.
+PAIRS_AT_ONCE = 8_192
 #: Nodes whose prefix a task remembers to have handed on.
 SEEN = 200_000
 SEED = 42
@@ -266,9 +268,9 @@ def _meeting(rooted: DataFrame) -> DataFrame:
                     break
                 most = 1 + np.minimum(rest[place], rest[other])
                 fit = ((part + whole) * most >= part * (size[place] + size[other])) & ((side[place] < 0) | (side[place] != side[other]))
-                hot = np.flatnonzero(fit & told[place])
-                apart = np.bitwise_count(bits[place[hot]] ^ bits[other[hot]]).sum(axis=1, dtype=np.int64)
-                fit[hot] = (part + whole) * apart <= (whole - part) * (size[place[hot]] + size[other[hot]])
+                for hot in np.array_split(np.flatnonzero(fit & told[place]), 1 + place.size // PAIRS_AT_ONCE):
+                    apart = np.bitwise_count(bits[place[hot]] ^ bits[other[hot]]).sum(axis=1, dtype=np.int64)
+                    fit[hot] = (part + whole) * apart <= (whole - part) * (size[place[hot]] + size[other[hot]])
                 if fit.any():
                     x, y = node[place[fit]], node[other[fit]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
