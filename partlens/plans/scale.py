@@ -33,6 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that must not be sent whole through the driver.
+
+    Spark plans a broadcast by the bytes of the rows before an explode, compressed;
+    a side that grows with the input is therefore named as one to be shuffled.
+    """
+    return df.hint("merge")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key group, ranked from 1.
 
