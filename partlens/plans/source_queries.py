@@ -18,12 +18,14 @@ from partlens.sources import catalog, index_store
 from partlens.sources.bom_files import read_boms
 from partlens.sources.trace import read_trace, write_trace
 
-FILES = 6
+# Files at least, and the rows that a task sorts into one of them.
+FILES, FILE_ROWS = 6, 200_000
 
 
 def _lines(rows, order: list[str], path: str) -> str:
-    """Rows (value, and the columns to order by) as text files; the files' names follow the order."""
-    rows.repartitionByRange(FILES, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    """Rows (value, and the columns to order by) as text files, more of them for more rows; the files' names follow the order."""
+    files = max(FILES, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value").write.text(path)
     return path
 
 

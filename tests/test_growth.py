@@ -1,9 +1,11 @@
 """Steps whose memory and time must not grow faster than the input, read off their plans and counts."""
 
-import pytest
+import glob
+
 from pyspark.sql import functions as F
 
 from partlens.operators import match as M
+from partlens.plans import source_queries as SQ
 
 
 def plan(df):
@@ -19,3 +21,12 @@ def test_near_misses_send_no_side_to_the_driver(spark):
     found = M.near_miss(queries, catalog)
     assert "BroadcastHashJoin" not in plan(found)
     assert found.filter("query_id = 20 and rank = 1").first().type_code == "blue-ring-20"
+
+
+def test_files_are_written_by_more_tasks_for_more_rows(spark, tmp_path):
+    rows = spark.range(3 * SQ.FILE_ROWS * 4).select(F.col("id").cast("string").alias("value"), "id")
+    path = SQ._lines(rows, ["id"], f"{tmp_path}/lines")
+    files = sorted(glob.glob(f"{path}/part-*"))
+    assert len(files) == 12
+    firsts = [int(open(f).readline()) for f in files]
+    assert firsts == sorted(firsts) and firsts[0] == 0
