@@ -27,8 +27,8 @@ ACCENTED, PLAIN = _latin_letters()
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks, for precomposed and for decomposed input."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), MARKS, "")
+    """Letters without their marks, for precomposed and for decomposed input; ASCII text, told by its size, stays as it is."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), MARKS, ""))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from partlens.session import cut_lineage
 from partlens.sources.catalog import read_lines
 
 DELIMITERS = ",;\t"
+BREAK = re.compile("\r\n|\r|\n")
+# A quoted stretch that reads the same without its quotes: some text, and nothing that cuts cells or lines.
+BARE = re.compile(f"[^{DELIMITERS}\r\n]*[^{DELIMITERS}\r\n\\s][^{DELIMITERS}\r\n]*")
 
 
 def sniff_delimiter(text: str) -> str:
@@ -40,12 +44,17 @@ def split_records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
     Between quotes the text is cut at delimiters and line breaks as a whole; inside
     them it is taken as it stands.  Nothing between two quotes is a quote in the cell.
     """
+    pieces = text.split('"')
+    if delimiter in DELIMITERS and len(pieces) % 2 and all(pieces[2:-1:2]) and all(map(BARE.fullmatch, pieces[1::2])):
+        for at, whole in enumerate(BREAK.split("".join(pieces)), 1):
+            if whole and (delimiter in whole or whole.strip()):
+                yield at, whole.split(delimiter)
+        return
     cut = re.compile(f"(\r\n|\r|\n|{re.escape(delimiter)})")
     cells: list[str] = []
     cell: list[str] = []
     touched = was_quoted = False
     line = start = 1
-    pieces = text.split('"')
     last = len(pieces) - 1
     for at, piece in enumerate(pieces):
         if at % 2:
@@ -80,17 +89,21 @@ def split_records(text: str, delimiter: str) -> Iterator[tuple[int, list[str]]]:
             yield start, cells
 
 
-def _split_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {"file": [], "record": [], "line": [], "cells": []}
-        for file, value in zip(batch["file"], batch["value"]):
+        files, records, lines, flat, ends = [], [], [], [], [0]
+        for file, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
             text = value.lstrip("\ufeff")
             for record, (line, cells) in enumerate(split_records(text, sniff_delimiter(text))):
-                rows["file"].append(file)
-                rows["record"].append(record)
-                rows["line"].append(line)
-                rows["cells"].append([c.strip() for c in cells])
-        yield pd.DataFrame(rows)
+                files.append(file)
+                records.append(record)
+                lines.append(line)
+                flat += [c.strip() for c in cells]
+                ends.append(len(flat))
+        cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(records, pa.int32()), pa.array(lines, pa.int32()), cells], names=["file", "record", "line", "cells"]
+        )
 
 
 def split_boms(files: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def split_boms(files: DataFrame) -> DataFrame:
 
     For files that fit a value; :func:`read_boms` reads files of any size.
     """
-    return files.select("file", "value").mapInPandas(_split_files, "file string, record int, line int, cells array<string>")
+    return files.select("file", "value").mapInArrow(_split_files, "file string, record int, line int, cells array<string>")
 
 
 def _running(df: DataFrame, value: Column, name: str) -> DataFrame:

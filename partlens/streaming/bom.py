@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from partlens.functions.text import part_key
 from partlens.operators import bom
+from partlens.operators.match import part_keys
 from partlens.sources.bom_files import split_boms
 
 
@@ -38,10 +39,12 @@ def audit_files(files: DataFrame, records: DataFrame, vendors: list[str], path:
 
     The roles of a file's columns are read off all of its lines, so a batch takes files
     whole.  A batch that is run again writes its folder again, and nothing twice.
+    The catalog is reduced to its keys once, not with each batch.
     """
+    keys = part_keys(records)
 
     def audit(batch: DataFrame, number: int) -> None:
-        lines = bom.bom_audit(bom.bom_rows(split_boms(batch), vendors), records)
+        lines = bom.bom_audit(bom.bom_rows(split_boms(batch), vendors), keys)
         lines.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return files.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,8 +4,11 @@ import glob
 
 from pyspark.sql import functions as F
 
+from partlens.operators import bom as B
 from partlens.operators import match as M
 from partlens.plans import source_queries as SQ
+from partlens.sources.bom_files import split_boms, split_records
+from partlens.streaming import bom as stream
 
 
 def plan(df):
@@ -30,3 +33,36 @@ def test_files_are_written_by_more_tasks_for_more_rows(spark, tmp_path):
     assert len(files) == 12
     firsts = [int(open(f).readline()) for f in files]
     assert firsts == sorted(firsts) and firsts[0] == 0
+
+
+def test_files_are_cut_into_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    files = spark.createDataFrame([(f"f{i}", f'Part No,Qty\nMX-{i},"2"\n') for i in range(20)], "file string, value string")
+    counted = files.select("file", F.udf(count, "string")("value").alias("value"))
+    rows = B.bom_rows(split_boms(counted), ["acme"]).collect()
+    assert len(rows) == 20 and seen.value == 20
+    assert rows[0].quantity == 2.0 and set(rows[0].raw) == {"Part No", "Qty"}
+
+
+def test_quoted_cells_read_the_same_where_quotes_do_not_matter():
+    assert list(split_records('a,"b"\r\n\n"c d",e\r,\n  \nf', ",")) == [(1, ["a", "b"]), (3, ["c d", "e"]), (4, ["", ""]), (6, ["f"])]
+    assert list(split_records('" "\n"a""b",c', ",")) == [(1, [" "]), (2, ['a"b', "c"])]
+    assert list(split_records('"a,b"x"c"', ",")) == [(1, ["a,bxc"])]
+
+
+def test_a_stream_reduces_its_catalog_once(spark, tmp_path, monkeypatch):
+    made = []
+    keys = M._best_per_key
+    monkeypatch.setattr(M, "_best_per_key", lambda keyed: made.append(1) or keys(keyed))
+    for i in range(3):
+        spark.createDataFrame([(f"f{i}", f"Part No,Qty\nMX-{i},2")], "file string, value string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/files")
+    records = spark.createDataFrame([("Acme", "BR", "MX-1", 1, 1)], "vendor string, series string, model string, ord long, richness int")
+    files = spark.readStream.schema("file STRING, value STRING").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/files")
+    stream.audit_files(files, records, [], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted((r.part_number, r.status) for r in stream.audited_lines(spark, f"{tmp_path}/out").collect()) == [("MX-0", "unknown"), ("MX-1", "resolved"), ("MX-2", "unknown")]
+    assert len(made) == 2
