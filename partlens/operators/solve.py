@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partlens.functions import verdicts as V
-from partlens.plans.scale import clamp_k, pair_with_all, top_k
+from partlens.plans.scale import clamp_k, pair_with_all, shuffled, top_k
 from partlens.sources.schemas import REQUIREMENT, SPEC, complete
 
 STRUCTURE = ["section", "row_type", "family"]
@@ -167,7 +167,8 @@ def prefilter_pairs(products: DataFrame, specs: DataFrame, reqs: DataFrame, pair
     req = complete(reqs, REQUIREMENT)
     packed = req.select("req_id", F.struct(*req.columns).alias("req"))
     named = pairs.select("req_id", "order_number").distinct()
-    met = named.join(attach_specs(products, specs), "order_number").join(packed, "req_id")
+    # Catalog and specs grow with the input; the bytes of their files say little of what a broadcast of them takes.
+    met = named.join(shuffled(attach_specs(products, shuffled(specs))), "order_number").join(packed, "req_id")
     return evaluate(met, details=False).filter("viable").select("req_id", "order_number")
 
 

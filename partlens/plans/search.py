@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partlens.operators import chunks as C
 from partlens.operators import retrieval as R
 from partlens.operators.solve import prefilter_pairs
-from partlens.plans.scale import clamp_k
+from partlens.plans.scale import clamp_k, shuffled
 from partlens.session import cut_lineage
 from partlens.sources import posting_store
 
@@ -26,11 +26,11 @@ def surviving(index: dict[str, DataFrame], asked: DataFrame, reqs: DataFrame, fo
     Verdicts are evaluated for the products of found cards only.
     """
     cards = index["chunk"].select(F.col("id").alias("item"), "kind", "order_number", "document_id")
-    named = found.select("query_id", "item").join(asked.select("query_id", "req_id"), "query_id").join(cards, "item")
+    named = found.select("query_id", "item").join(asked.select("query_id", "req_id"), "query_id").join(shuffled(cards), "item")
     rows = named.filter("kind = 'sku' and req_id is not null").select("query_id", "item", "req_id", "order_number")
     families = named.filter("kind = 'family' and req_id is not null").select("query_id", "item", "req_id", "document_id")
     members = families.select("req_id", "document_id").distinct().join(
-        cards.filter("kind = 'sku'").select("document_id", "order_number"), "document_id"
+        shuffled(cards.filter("kind = 'sku'").select("document_id", "order_number")), "document_id"
     )
     pairs = rows.select("req_id", "order_number").unionByName(members.select("req_id", "order_number"))
     alive = cut_lineage(prefilter_pairs(index["product"], index["spec"], reqs, pairs))

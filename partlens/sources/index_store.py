@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partlens.plans.scale import shuffled
 from partlens.sources import posting_store
 
 VERSION = 2
@@ -109,7 +110,7 @@ def validate_index(spark: SparkSession, version: str) -> None:
     vector = spark.read.parquet(f"{version}/vector")
     if chunk.count() != told["chunk_count"]:
         raise ValueError(f"index {version}: chunk count differs from its provenance")
-    if not vector.join(chunk, vector["chunk_id"] == chunk["id"], "left_anti").isEmpty():
+    if not vector.join(shuffled(chunk.select("id")), F.col("chunk_id") == F.col("id"), "left_anti").isEmpty():
         raise ValueError(f"index {version}: a vector belongs to no chunk")
     stored = posting_store.read_postings(spark, version)
     if stored.n_docs != told["chunk_count"]:

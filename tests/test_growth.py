@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from partlens.operators import bom as B
 from partlens.operators import match as M
+from partlens.operators import solve as S
 from partlens.plans import source_queries as SQ
+from partlens.plans import tables as T
 from partlens.sources.bom_files import split_boms, split_records
 from partlens.streaming import bom as stream
 
@@ -66,3 +68,11 @@ def test_a_stream_reduces_its_catalog_once(spark, tmp_path, monkeypatch):
     stream.audit_files(files, records, [], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted((r.part_number, r.status) for r in stream.audited_lines(spark, f"{tmp_path}/out").collect()) == [("MX-0", "unknown"), ("MX-1", "resolved"), ("MX-2", "unknown")]
     assert len(made) == 2
+
+
+def test_judging_pairs_sends_neither_catalog_nor_specs_to_the_driver(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = T.products(spark, sf).limit(5).select(F.lit("nation-3").alias("req_id"), "order_number")
+    alive = S.prefilter_pairs(T.products(spark, sf), T.specs(spark, sf), T.requirements(spark, sf), pairs)
+    sides = [line for line in plan(alive).split("Initial Plan")[0].splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in sides if "[order_number" in line]
