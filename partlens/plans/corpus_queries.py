@@ -20,7 +20,7 @@ from partlens.plans.registry import query
 from partlens.plans.scale import block_row_number, spread, top_k
 from partlens.plans.search import hybrid_search, retrieved_ids
 from partlens.plans.solve_queries import ANCHOR_SQL, CONFIDENCE_SQL, DISCRIMINATORS, PAIRS_SQL, QUESTIONS_SQL, _list
-from partlens.session import shared_folder
+from partlens.session import cut_lineage, shared_folder
 from partlens.sources import posting_store as PS
 from partlens.sources.bom_files import split_boms
 from partlens.sources.index_store import provenance, read_index, write_index
@@ -140,7 +140,8 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ite
 
 def _fused(spark, sf):
     """The lexical lane fused with a second lane that orders its candidates by length."""
-    lexical = _bm25(spark, sf, 60)
+    # A few rows for each query, read three times.
+    lexical = cut_lineage(_bm25(spark, sf, 60))
     sizes = T.read(spark, sf, "documents").select(F.col("doc_id").alias("item"), "n_chars")
     second = top_k(lexical.drop("rank").join(sizes, "item"), ["query_id"], [F.desc("n_chars"), F.asc("item")], 20)
     lanes = lexical.filter("rank < 20").select("query_id", "item", "rank", F.lit("bm25").alias("lane")).unionByName(

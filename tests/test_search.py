@@ -47,6 +47,18 @@ def test_long_runs_without_words_are_read_in_linear_time():
     assert counts == {"ab": 1, "ab7": 1} and length == 3
 
 
+def test_texts_read_together_are_read_apart():
+    """No run, joined word or glued number reaches from one text into the next, whatever bytes they hold."""
+    texts = [*odd_texts(400), "ab", "12", "a\0b", "m\x1c7", "m\x0b7", None, ""]
+    reader = postings.TermReader()
+    at, terms, counts, lengths, names = reader.count_all(postings.pa.array(texts))
+    found = [{} for _ in texts]
+    for text, term, n in zip(at, names.take(postings.pa.array(terms)).to_pylist(), counts):
+        found[text][term] = n
+    assert [(f, n) for f, n in zip(found, lengths)] == [reader.count(t or "") for t in texts]
+    assert reader.count("m\x0b7")[0] == {"m7": 1} and reader.count("m\x1c7")[0] == {"m7": 1}
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
@@ -74,6 +86,50 @@ def test_stored_postings_answer_like_texts(spark, docs, questions, tmp_path):
     assert "Bucketed: true" in plan.splitlines()[scan] and not above, plan
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan have written, once it has run."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        if metric.isDefined():
+            found.append(metric.get().value())
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        for at in range(node.children().size()):
+            inner.append(node.children().apply(at))
+        for n in inner:
+            walk(n)
+
+    walk(plan)
+    return sum(found)
+
+
+def test_no_pair_of_a_chunk_and_a_query_is_shuffled(spark, docs, questions, tmp_path, monkeypatch):
+    """A search sums whole chunks where they lie, in slices of them, as the join of all pairs does."""
+    rows = postings.index_rows(docs).persist()
+    pairs = retrieval.sum_weights(retrieval.bm25_pairs(questions, rows.filter("term is not null"), postings.corpus_stats(rows))).count()
+    want = retrieval.bm25_search(questions, rows.filter("term is not null"), postings.corpus_stats(rows), 5)
+    want = sorted(map(tuple, want.select("query_id", "rank", "item", "score").collect()))
+    monkeypatch.setattr(retrieval, "CELLS", 700)
+    found = retrieval.bm25_over(questions, docs, 5)
+    assert sorted(map(tuple, found.select("query_id", "rank", "item", "score").collect())) == want and len(want) == 5 * questions.count()
+    assert shuffled_rows(found) < pairs / 3
+    version = str(tmp_path / "v")
+    monkeypatch.setattr(posting_store, "BUCKET_ROWS", 5000)
+    posting_store.write_postings(docs, version, buckets=2, share_rows=7)
+    stored = posting_store.read_postings(spark, version)
+    assert spark.read.parquet(f"{version}/corpus").first().buckets == -(-rows.filter("term is not null").count() // 5000) > 2
+    kept = posting_store.search(questions, stored, 5)
+    assert sorted(map(tuple, kept.select("query_id", "rank", "item", "score").collect())) == want
+
+
+def test_many_asked_terms_meet_the_postings_in_joins(spark, docs, questions, tmp_path, monkeypatch):
+    want = sorted(map(tuple, retrieval.bm25_over(questions, docs, 5).select("query_id", "rank", "item", "score").collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 3)
+    assert sorted(map(tuple, retrieval.bm25_over(questions, docs, 5).select("query_id", "rank", "item", "score").collect())) == want
+
+
 def test_postings_that_do_not_add_up_are_refused(spark, docs, tmp_path):
     version = str(tmp_path / "v")
     posting_store.write_postings(docs, version, buckets=2)
