@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKS = "[\\u0300-\\u036f]"
+MARKS = "".join(map(chr, range(0x0300, 0x0370)))
 
 
 def _latin_letters() -> tuple[str, str]:
@@ -24,11 +24,13 @@ def _latin_letters() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _latin_letters()
+DASHES, QUOTES, TRADE_MARKS = "\u2010\u2011\u2012\u2013\u2014\u2015", "\u201c\u201d\u2018\u2019", "\u2122\u00ae"
 
 
 def strip_accents(c: Column) -> Column:
     """Letters without their marks, for precomposed and for decomposed input; ASCII text, told by its size, stays as it is."""
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), MARKS, ""))
+    # Signs without a counterpart are dropped, so one pass does it all.
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, ACCENTED + MARKS, PLAIN))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,7 +39,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
+    # A single space stays as it is, so it is no match.
+    return F.trim(F.regexp_replace(c, "(?U)\\s{2,}|[^\\S ]", " "))
 
 
 def fold(c: Column) -> Column:
@@ -47,9 +50,8 @@ def fold(c: Column) -> Column:
 
 def fold_print(c: Column) -> Column:
     """``fold`` for printed text: dashes and quotes unified, trade marks dropped."""
-    plain = F.regexp_replace(strip_accents(c), "[\\u2010-\\u2015]", "-")
-    plain = F.regexp_replace(plain, "[\\u201c\\u201d\\u2018\\u2019]", '"')
-    return squeeze(F.lower(F.regexp_replace(plain, "[\\u2122\\u00ae]", "")))
+    plain = F.translate(c, ACCENTED + DASHES + QUOTES + MARKS + TRADE_MARKS, PLAIN + "-" * len(DASHES) + '"' * len(QUOTES))
+    return squeeze(F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)))
 
 
 def part_key(c: Column) -> Column:

@@ -32,22 +32,27 @@ class PhraseTrie:
     def replace(self, text: str) -> str:
         """The text with the longest phrase at each place replaced; no letter or digit may touch a phrase of several tokens."""
         tokens = self.token.findall(text)
-        word = [t[0] in WORD for t in tokens] + [False]
-        out, at, n, root = [], 0, len(tokens), self.root
-        while at < n:
-            node = root.get(tokens[at])
+        nodes = list(map(self.root.get, tokens))
+        out, at, n = None, 0, len(tokens)
+        # Only a token that begins a phrase can change; all others stay where they are.
+        for start, node in enumerate(nodes):
+            if node is None or start < at:
+                continue
             # A mark by itself is a phrase wherever it stands.
-            end, told = at + 1, tokens[at] if node is None else node.get(END, tokens[at])
-            if node is not None and not (at and word[at - 1]):
-                k = at + 1
+            end, told = start + 1, node.get(END, tokens[start])
+            if not (start and tokens[start - 1][0] in WORD):
+                k = start + 1
                 while node is not None:
-                    if END in node and not word[k]:
+                    if END in node and not (k < n and tokens[k][0] in WORD):
                         end, told = k, node[END]
                     node = node.get(tokens[k]) if k < n else None
                     k += 1
+            if out is None:
+                out = []
+            out += tokens[at:start]
             out.append(told)
             at = end
-        return "".join(out)
+        return text if out is None else "".join(out + tokens[at:])
 
 
 def gloss_texts(texts: DataFrame, column: str, terms: Mapping[str, str] | DataFrame, rules: Sequence[tuple[str, str]] = (), name: str = "gloss") -> DataFrame:

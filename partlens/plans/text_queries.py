@@ -60,12 +60,12 @@ c AS (SELECT doc_id, list_count(list_filter(words, lambda x: x IN ('the', 'of',
 SELECT doc_id, hits, pairs, hits + pairs > 0 AS changed FROM c""")
 def gloss(spark, sf):
     """Words of a small glossary found in each text, and whether the gloss changed it."""
-    c = F.col("text")
-    start, out = X.fold_print(c), X.gloss(c, GLOSS)
+    rows = spread(T.read(spark, sf, "documents")).select("doc_id", "text", X.fold_print(F.col("text")).alias("start"))
+    start, out = F.col("start"), X.gloss(F.col("text"), GLOSS)
     words = F.regexp_extract_all(start, F.lit("[a-z0-9]+"), F.lit(0))
     hits = F.size(F.filter(words, lambda w: w.isin(*[k for k in GLOSS if " " not in k])))
     pairs = F.regexp_count(F.concat(F.lit(" "), start, F.lit(" ")), F.lit("[^a-z0-9]for the[^a-z0-9]"))
-    return spread(T.read(spark, sf, "documents")).select("doc_id", hits.alias("hits"), pairs.alias("pairs"), out.isNotNull().alias("changed"))
+    return rows.select("doc_id", hits.alias("hits"), pairs.alias("pairs"), out.isNotNull().alias("changed"))
 
 
 # A dictionary out of the data: every word of the benchmark texts stands for itself in brackets.

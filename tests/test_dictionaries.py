@@ -61,3 +61,18 @@ def test_audit_stream_of_whole_files(spark, tmp_path):
     assert told(audited_lines(spark, str(tmp_path / "out"))) == told(want) and want.count() == 15
     audit_files(stream(), records, [], str(tmp_path / "out"), str(tmp_path / "state2")).awaitTermination()
     assert told(audited_lines(spark, str(tmp_path / "out"))) == told(want)
+
+
+def test_printed_text_is_folded_in_one_pass(spark):
+    """One pattern, that of white space, goes over a text; what it gives is what one replacement after the other gives."""
+    rng = random.Random(8)
+    signs = ["a", "É", "ñ", "İ", "ß", "́", "‐", "—", "“", "’", "™", "®", " ", "  ", "\t", "\xa0", " ", "\n", "-", "K"]
+    texts = [(i, "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))) for i in range(3000)] + [(3000, None), (3001, " a  b\t")]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    plain = F.regexp_replace(F.translate("text", text.ACCENTED, text.PLAIN), "[\\u0300-\\u036f]", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, "[\\u2010-\\u2015]", "-"), "[\\u201c\\u201d\\u2018\\u2019]", '"')
+    step = F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, "[\\u2122\\u00ae]", "")), "(?U)\\s+", " "))
+    out = rows.select("id", text.fold_print(F.col("text")).alias("made"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    both = rows.select("id", text.fold_print(F.col("text")).alias("made"), step.alias("want")).collect()
+    assert len(both) == 3002 and [r for r in both if r.made != r.want] == []
