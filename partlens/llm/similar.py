@@ -11,8 +11,9 @@ shingle among the first fifth (and one more) of each, under any one order of all
 shingles.  The order is by how often a shingle occurs, rarest first, as a count
 sketch of a fixed size tells it; what a sketch gets wrong changes the work and never
 the result.  Texts that share a frequent passage do not meet on it.  Nodes that meet,
-have different roots, and could reach the Jaccard by their sizes and by what is left
-of each set behind the shingle, are weighed.
+have different roots, and could reach the Jaccard by their sizes, by what is left
+of each set behind the shingle, and by the parities of their sets, are weighed: the
+nearest ones of each node first, then all that have different roots even so.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ LINKED, LIMIT, TURNS = 3, 16, (0, 16, 32, 48)
 SLOTS, PARTS, STEPS = 1 << 22, 64, 5
 #: Shingles counted at once, rows of a task held together, and rows of a shingle that one task compares.
 COUNTED, ROWS_AT_ONCE, GROUP_ROWS = 1 << 20, 1 << 16, 20_000
-#: Nodes that share a shingle from which on their pairs must pass the parities, and bits of these.
+#: Nodes that share a shingle from which on it is dealt in blocks, and bits of the parities that all pairs must pass.
 MANY, PARITIES = 64, 1_024
 #: Pairs whose parities are compared at once.
 PAIRS_AT_ONCE = 8_192
@@ -246,51 +247,107 @@ def _prefixes(rows: DataFrame, level: np.ndarray, often: np.ndarray) -> DataFram
     return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "first", "often", "bits")])
 
 
-def _meeting(rooted: DataFrame) -> DataFrame:
-    """``a``, ``b``: nodes of different roots that share a shingle of their prefixes and could be similar by their sizes."""
+def _fitting(group: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two rows of a group, by slices: of different roots, and similar as far as their sizes and what is left behind the shingle tell."""
     part, whole = SIMILAR
+    place = np.arange(group.size)
+    fresh = np.flatnonzero(group[1:] != group[:-1]) + 1
+    end = np.append(fresh, group.size)[np.searchsorted(fresh, place, side="right")]
+    # Rows of a group are sorted by root: those after the run of a row's own root have other ones.
+    run_ends = np.flatnonzero((group[1:] != group[:-1]) | (root[1:] != root[:-1])) + 1
+    other = np.append(run_ends, group.size)[np.searchsorted(run_ends, place, side="right")]
+    while True:
+        place, other, end = (x[other < end] for x in (place, other, end))
+        if not place.size:
+            return
+        most = 1 + np.minimum(rest[place], rest[other])
+        fit = (part + whole) * most >= part * (size[place] + size[other])
+        yield place[fit], other[fit]
+        other = other + 1
+
+
+def _paired(cool: DataFrame) -> DataFrame:
+    """The rows of ``cool`` (``group``, ``root``, ``node``, ``size``, ``rest``) that fit one of another root in their group; no group has over MANY.
+
+    ``group`` is then a hash of the nodes that are left of the group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, 0, lambda b: np.ones(b.num_rows, np.int64), ROWS_AT_ONCE):
-            group, root, node, size, rest, side = (chunk.column(i).to_numpy() for i in range(6))
-            told = chunk.column(6).is_valid().to_numpy(zero_copy_only=False)
-            bits = np.zeros((group.size, PARITIES // 64), np.uint64)
-            bits[told] = np.frombuffer(b"".join(chunk.column(6).drop_null().to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
-            place = np.arange(group.size)
-            fresh = np.flatnonzero(group[1:] != group[:-1]) + 1
-            end = np.append(fresh, group.size)[np.searchsorted(fresh, place, side="right")]
-            # Rows of a group are sorted by root: those after the run of a row's own root have other ones.
-            run_ends = np.flatnonzero((group[1:] != group[:-1]) | (root[1:] != root[:-1])) + 1
-            other = np.append(run_ends, group.size)[np.searchsorted(run_ends, place, side="right")]
-            while True:
-                place, other, end = (x[other < end] for x in (place, other, end))
-                if not place.size:
-                    break
-                most = 1 + np.minimum(rest[place], rest[other])
-                fit = ((part + whole) * most >= part * (size[place] + size[other])) & ((side[place] < 0) | (side[place] != side[other]))
-                for hot in np.array_split(np.flatnonzero(fit & told[place]), 1 + place.size // PAIRS_AT_ONCE):
-                    apart = np.bitwise_count(bits[place[hot]] ^ bits[other[hot]]).sum(axis=1, dtype=np.int64)
-                    fit[hot] = (part + whole) * apart <= (whole - part) * (size[place[hot]] + size[other[hot]])
-                if fit.any():
-                    x, y = node[place[fit]], node[other[fit]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-                other = other + 1
-
+            group, root, node, size, rest = (column.to_numpy() for column in chunk.columns)
+            paired = np.zeros(group.size, bool)
+            for place, other in _fitting(group, root, size, rest):
+                paired[place] = paired[other] = True
+            group, root, node, size, rest = (x[paired] for x in (group, root, node, size, rest))
+            if group.size:
+                starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                same = np.bitwise_xor.reduceat(_mixed(node.view(np.uint64)), starts).view(np.int64)
+                group = np.repeat(same, np.diff(np.append(starts, group.size)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group, root, node, size, rest)], names=["group", "root", "node", "size", "rest"])
+
+    return cool.repartition("group").sortWithinPartitions("group", "root", "node").mapInArrow(run, "group long, root long, node long, size long, rest long")
+
+
+def _shared(rooted: DataFrame) -> DataFrame:
+    """``node``, ``group``, ``n``, ``size``, ``rest``: the nodes that share a shingle of their prefixes with one of another root; ``n`` is about a group's size, if large.
+
+    Nodes that share many shingles stand in one group for all those that the same nodes
+    share, with the most that is left of each set behind any of them; should two groups
+    have one hash, more nodes meet.
+    """
     rows = rooted.select("node", "root", "size", F.posexplode(F.arrays_zip("first", "often")).alias("at", "s"))
-    rows = rows.select(F.col("s.first").alias("shingle"), "root", "node", "size", (F.col("size") - 1 - F.col("at")).alias("rest"), F.col("s.often").alias("often"))
+    rows = rows.select(F.col("s.first").alias("group"), "root", "node", "size", (F.col("size") - 1 - F.col("at")).alias("rest"), F.col("s.often").alias("often"))
     # Exact counts of those that may be in many sets; the sketch only tells which to count.
-    counts = cut_lineage(rows.where("often").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > MANY))
-    watched = rows.where("often").join(counts, "shingle", "left")
-    cool = rows.where("not often").unionByName(watched.where("n is null").drop("n"))
-    plain = cool.select(F.col("shingle").alias("group"), "root", "node", "size", "rest", F.lit(-1).cast("long").alias("side"), F.lit(None).cast("binary").alias("bits"))
+    many = rows.where("often").groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).where(F.col("n") > MANY)
+    watched = rows.where("often").join(cut_lineage(many), "group", "left")
+    cool = rows.where("not often").unionByName(watched.where("n is null").drop("n", "same")).drop("often")
+    hot = watched.where("n is not null").select(F.col("same").alias("group"), "root", "node", "size", "rest", "n")
+    both = _paired(cool).withColumn("n", F.lit(1).cast("long")).unionByName(hot)
+    return cut_lineage(both.repartition("node").groupBy("node", "group", "n", "size").agg(F.max("rest").alias("rest")))
+
+
+def _meeting(rooted: DataFrame, shared: DataFrame | None = None, nearest: bool = False) -> DataFrame:
+    """``a``, ``b``: nodes of different roots that share a shingle of their prefixes and could be similar by their sizes and parities.
+
+    ``nearest``: of each node and group only the pair with the fewest differing
+    parities, so that there are no more pairs than rows of ``shared``.
+    """
+    part, whole = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, 0, lambda b: np.ones(b.num_rows, np.int64), ROWS_AT_ONCE):
+            group, root, node, size, rest, side = (chunk.column(i).to_numpy() for i in range(6))
+            bits = np.frombuffer(b"".join(chunk.column(6).to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            least, partner = np.full(group.size, PARITIES + 1), np.full(group.size, -1)
+            for place, other in _fitting(group, root, size, rest):
+                meet = (side[place] < 0) | (side[place] != side[other])
+                place, other = place[meet], other[meet]
+                for at in range(0, place.size, PAIRS_AT_ONCE):
+                    x, y = place[at : at + PAIRS_AT_ONCE], other[at : at + PAIRS_AT_ONCE]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    near = (part + whole) * apart <= (whole - part) * (size[x] + size[y])
+                    x, y, apart = x[near], y[near], apart[near]
+                    if nearest:
+                        for one, two in ((x, y), (y, x)):
+                            less = apart < least[one]
+                            least[one[less]], partner[one[less]] = apart[less], two[less]
+                    elif x.size:
+                        yield pairs_of(node[x], node[y])
+            if nearest and (partner >= 0).any():
+                yield pairs_of(node[partner >= 0], node[partner[partner >= 0]])
+
+    def pairs_of(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    # Most shingles are in one set only, so parities are dealt out to the shared ones alone.
+    told = (_shared(rooted) if shared is None else shared).join(rooted.select("node", "root", "bits"), "node").withColumn("blocks", F.ceil(F.col("n") / GROUP_ROWS))
     # A shingle of very many sets is dealt in blocks: each two blocks meet in a group of their own, and so does each block with itself.
-    hot = watched.where("n is not null").join(rooted.select("node", "bits"), "node").withColumn("blocks", F.ceil(F.col("n") / GROUP_ROWS))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    told = told.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # Within a block with itself all rows meet (side -1); in a group of two blocks only rows of different ones.
-    group = F.xxhash64("shingle", F.least("own", "met"), F.greatest("own", "met"))
+    group = F.xxhash64("group", F.least("own", "met"), F.greatest("own", "met"))
     side = F.when(F.col("own") == F.col("met"), F.lit(-1)).otherwise(F.col("own")).cast("long")
-    dealt = hot.select(group.alias("group"), "root", "node", "size", "rest", side.alias("side"), "bits")
-    met = plain.unionByName(dealt).repartition("group").sortWithinPartitions("group", "root", "node")
+    told = told.select(group.alias("group"), "root", "node", "size", "rest", side.alias("side"), "bits")
+    met = told.repartition("group").sortWithinPartitions("group", "root", "node")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -333,8 +390,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = cut_lineage(_linked(nodes).unionByName(_neighbours(nodes)).distinct())
     links = cut_lineage(confirmed(near, docs, of_node, id_col, text_col, key))
     rooted = written(_rooted(_prefixes(texts, *_levels(noted)), links), "prefixes")
-    others = cut_lineage(_meeting(rooted).join(near, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut_lineage(confirmed(others, docs, of_node, id_col, text_col, key)))
+    # The nearest of each node first: a large group of near copies is one component, or few, before all pairs of different roots are looked at.
+    shared, told = _shared(rooted), rooted.select("node", "root", "bits")
+    for nearest in (True, False):
+        others = cut_lineage(_meeting(told, shared, nearest).join(near, ["a", "b"], "left_anti"))
+        links = links.unionByName(cut_lineage(confirmed(others, docs, of_node, id_col, text_col, key)))
+        near, told = near.unionByName(others), _rooted(told.drop("root"), links) if nearest else told
     return _rooted(rows.select("id", "key", "node"), links).select("id", "key", "root")
 
 
