@@ -3,7 +3,7 @@
 The model file is read as a protocol buffer; from its pieces, scores and
 specifications the normaliser, the space mark, the merges (or unigram scores) and
 the byte fallback are rebuilt as a pipeline of the tokenizers library, which
-encodes batches on several threads.  The tokens are held against sentencepiece's
+encodes each distinct word.  The tokens are held against sentencepiece's
 own, and the decoded tokens against the text.
 """
 
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +135,7 @@ class Codec:
     """The rebuilt pipeline and sentencepiece's own, with the parts of texts met so far.
 
     A text is cut where no piece runs across.  Each distinct word is encoded once
-    by the rebuilt model (a batch on several threads), encoded by sentencepiece
-    and decoded; tokens of a text are those of its words in a row.
+    by the rebuilt model, encoded by sentencepiece and decoded; tokens of a text are those of its words in a row.
     """
 
     def __init__(self, path: str):
@@ -151,10 +152,9 @@ class Codec:
         self.part, lone = safe_parts([text for text, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)])
         self.front = "\n" if "\n" in lone else ""
         self.quick = self.plain and self.model.dummy_prefix and bool(self.front) and self.part.match(f"a{MARK}").end() == 1
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        #: One object for each token, shared by all words that hold it.
-        self.tokens = list(range(len(self.model.pieces)))
+        #: The tokens of a word, as 32-bit numbers in a row.
+        self.words: dict[str, array] = {}
+        self.old: dict[str, array] = {}
         #: The words and parts on which the libraries differ, and those that decoding does not give back.
         self.differ: set[str] = set()
         self.lossy: set[str] = set()
@@ -193,13 +193,21 @@ class Codec:
     def _learn(self, new: list[str]) -> None:
         parts = [[w[1:]] if w[:1] == " " else self.part.findall(w if w[:1] == "\n" else MARK + w) for w in new]
         flat = list(chain.from_iterable(parts))
-        tokens = [e.ids for e in self.bare.encode_batch_fast(flat, add_special_tokens=False)]
+        # Parts go past the normaliser, so the model alone gives their tokens.
+        tokenize = self.bare.model.tokenize
+        tokens = [[t.id for t in tokenize(p)] for p in flat]
         back = self.bare.decode_batch(tokens, skip_special_tokens=False)
         own = self._library(flat)
-        at, shared = 0, self.tokens
+        at = 0
+        for word, made in zip(new, parts, strict=True):
+            to = at + len(made)
+            self.words[word] = array("i", own[at] if to == at + 1 else chain.from_iterable(own[at:to]))
+            at = to
+        if tokens == own and back == [p.replace(MARK, " ") for p in flat]:
+            return
+        at = 0
         for word, made in zip(new, parts, strict=True):
             to = at + len(made)
-            self.words[word] = tuple([shared[t] for ids in own[at:to] for t in ids])
             if tokens[at:to] != own[at:to]:
                 self.differ.add(word)
             if "".join(back[at:to]) != "".join(made).replace(MARK, " "):
@@ -221,6 +229,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _lists(tokens: list[bytes | None]) -> pa.Array:
+    """Lists of 32-bit numbers out of their bytes; none for none."""
+    ends = np.cumsum([0, *(len(t or b"") // 4 for t in tokens)])
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(t or b"" for t in tokens))])
+    none = np.array([t is None for t in tokens], bool)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(none) if none.any() else None)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_tokens``, ``tokens``, ``parity`` and ``round_trip`` of every row of ``docs``, over whole texts.
 
@@ -241,19 +257,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 tools.learn(set().union(*cut))
                 known = tools.words.__getitem__
                 for text, words in zip(texts, cut, strict=True):
-                    ids = list(chain.from_iterable(map(known, words)))
+                    ids = b"".join(map(known, words))
                     same = tools.differ.isdisjoint(words) if tools.differ else True
                     if tools.plain:
                         back = (tools.lossy.isdisjoint(words) if tools.lossy else True) and MARK not in (text or "")
                     else:
-                        back = tools.whole.decode(ids, skip_special_tokens=False) == text
+                        back = tools.whole.decode(list(memoryview(ids).cast("i")), skip_special_tokens=False) == text
                     none = text is None
                     tokens.append(None if none else ids)
-                    sizes.append(None if none else len(ids))
+                    sizes.append(None if none else len(ids) // 4)
                     parity.append(None if none else same)
                     exact.append(None if none else back)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(parity, pa.bool_()), pa.array(exact, pa.bool_())],
+                    [rows.column(0), pa.array(sizes, pa.int64()), _lists(tokens), pa.array(parity, pa.bool_()), pa.array(exact, pa.bool_())],
                     names=["id", "n_tokens", "tokens", "parity", "round_trip"],
                 )
 
