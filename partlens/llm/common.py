@@ -116,30 +116,62 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Links that one task joins to a forest at once.
+LINKS_AT_ONCE = 1 << 20
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """``u``, ``v`` (``v`` < ``u``): the links that a task holds as stars around the smallest node; never more of them than ``links``."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = np.concatenate([b.column(i).to_numpy() for i in (0, 1) for b in held])
+        nodes, at = np.unique(ends, return_inverse=True)
+        root = nodes[forest(nodes.size, *np.split(at, 2))]
+        child = root != nodes
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(root[child])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= LINKS_AT_ONCE:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether no node of ``links`` has two different smaller ones, or a smaller and a larger one."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("up")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))).alias("e")).select("e.*")
+    told = ends.groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"), F.max(F.col("up").isNull()).alias("top"))
+    return told.where("least <> most or (top and least is not null)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (its component's smallest node) for the nodes of ``edges`` (``a``, ``b``: long, not null).
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014): every
     step is a grouped minimum and a join, so no component and no hub is ever held
-    by one task.  Each round is checkpointed; it ends when the links stay the same.
+    by one task.  A round makes no more links or partitions than it was given; what a
+    task holds it joins to a forest at once.  Each round is checkpointed; the rounds end
+    when all links are stars, so links that are stars from the start take none.
     Empty input gives an empty result.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, seen = cut_lineage(links), None
-    while True:
-        told = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(told) == seen:
-            break
-        seen = tuple(told)
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links = cut_lineage(_forests(links))
+    while not _all_stars(links):
+        both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         met = large.join(low, F.col("u") == F.col("w"))
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
-    roots = links.select("v").distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+        # The link to the smallest one stays, all others go from there to it.
+        links = cut_lineage(_forests(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))))
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.min("v").alias("root"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -388,18 +388,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = cut_lineage(per_node.select("node", "code", "r.id", "r.key"))
     of_node = nodes.select("node", "id", "key")
     near = cut_lineage(_linked(nodes).unionByName(_neighbours(nodes)).distinct())
-    links = cut_lineage(confirmed(near, docs, of_node, id_col, text_col, key))
-    rooted = written(_rooted(_prefixes(texts, *_levels(noted)), links), "prefixes")
+    # Links found later are joined to the stars that are known, not to all links once more.
+    roots = cut_lineage(components(cut_lineage(confirmed(near, docs, of_node, id_col, text_col, key))))
+    rooted = written(_under(_prefixes(texts, *_levels(noted)), roots), "prefixes")
     # The nearest of each node first: a large group of near copies is one component, or few, before all pairs of different roots are looked at.
     shared, told = _shared(rooted), rooted.select("node", "root", "bits")
     for nearest in (True, False):
         others = cut_lineage(_meeting(told, shared, nearest).join(near, ["a", "b"], "left_anti"))
-        links = links.unionByName(cut_lineage(confirmed(others, docs, of_node, id_col, text_col, key)))
-        near, told = near.unionByName(others), _rooted(told.drop("root"), links) if nearest else told
-    return _rooted(rows.select("id", "key", "node"), links).select("id", "key", "root")
+        links = cut_lineage(confirmed(others, docs, of_node, id_col, text_col, key))
+        links = links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        # Narrow rows out of files: as many tasks read them as a shuffle has.
+        roots = cut_lineage(components(links.coalesce(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+        near, told = near.unionByName(others), _under(told.drop("root"), roots) if nearest else told
+    return _under(rows.select("id", "key", "node"), roots).select("id", "key", "root")
+
+
+def _under(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of each ``node``: its own where ``roots`` (of :func:`components`) does not have it."""
+    return rows.join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the ``root`` of each ``node``."""
-    roots = components(links).select(F.col("node").alias("of"), "root")
-    return rows.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+    """``rows`` with the ``root`` of each ``node`` that ``links`` tell."""
+    return _under(rows, components(links))

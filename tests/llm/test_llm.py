@@ -410,3 +410,20 @@ def test_pipeline_stages(spark, docs):
     texts = {r.doc_id: r.text for r in mixed.collect()}
     assert len(last) == mixed.count() and all(list(r.tokens) == library.encode(texts[r.doc_id]) for r in last)
     assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    from partlens.llm import common
+
+    cuts = []
+    cut = common.cut_lineage
+    monkeypatch.setattr(common, "cut_lineage", lambda df: cuts.append(df.rdd.getNumPartitions()) or cut(df))
+    stars = [(k, 10 * (k // 10)) for k in range(200)]
+    table = spark.createDataFrame(stars, "a long, b long").repartition(5)
+    assert {r.node: r.root for r in common.components(table).collect()} == dict(stars)
+    assert cuts == [5]
+    # A chain dealt over tasks takes rounds, and no round makes more partitions than a shuffle does.
+    cuts.clear()
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long").repartition(5)
+    assert {r.root for r in common.components(chain).collect()} == {0}
+    assert len(cuts) > 1 and max(cuts) <= 8
