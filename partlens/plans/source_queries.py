@@ -192,7 +192,9 @@ def read_bom_files(spark, sf):
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.concat("l_partkey", F.lit(';"two\nlines; of '), "l_orderkey", F.lit('"')).alias("value")
     )
     path = f"{shared_folder(spark)}/boms"
-    rows.repartition(8, "l_suppkey").sortWithinPartitions("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").select("l_suppkey", "value").write.partitionBy("l_suppkey").text(path)
+    # A file for each supplier, written by more tasks for more rows.
+    tasks = max(8, -(-rows.count() // FILE_ROWS))
+    rows.repartition(tasks, "l_suppkey").sortWithinPartitions("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").select("l_suppkey", "value").write.partitionBy("l_suppkey").text(path)
     found = read_boms(spark, f"{path}/*")
     supplier = F.regexp_extract("file", "l_suppkey=([0-9]+)", 1).cast("int")
     return found.select(supplier.alias("supplier"), "record", "line", F.get("cells", F.lit(0)).alias("part"), F.get("cells", F.lit(1)).alias("note"))

@@ -9,6 +9,7 @@ from partlens.operators import match as M
 from partlens.operators import solve as S
 from partlens.plans import source_queries as SQ
 from partlens.plans import tables as T
+from partlens.sources import bom_files
 from partlens.sources.bom_files import split_boms, split_records
 from partlens.streaming import bom as stream
 
@@ -84,3 +85,15 @@ def test_a_lookup_of_typed_codes_sends_no_side_to_every_task(spark):
     out = M.classify_input(typed, rows)
     assert {r.query_id: r["mode"] for r in out.collect()} == {1: "part", 2: "part", 3: "describe", 4: "describe"}
     assert "BroadcastHashJoin" not in plan(out)
+
+
+def test_no_line_of_a_bill_of_materials_is_a_row_of_a_step(spark, tmp_path, monkeypatch):
+    rows = []
+    cut = bom_files.cut_lineage
+    monkeypatch.setattr(bom_files, "cut_lineage", lambda df: rows.append(cut(df)) or rows[-1])
+    text = "﻿Part;Note\n" + "".join(f'MX-{i};"two\nlines; ""{i}"""\n' for i in range(15_000)) + 'a\rb\nc;"open\nto the end\n'
+    (tmp_path / "a.csv").write_text(text, newline="")
+    want = split_boms(spark.createDataFrame([("a.csv", text)], "file string, value string")).orderBy("record").collect()
+    found = bom_files.read_boms(spark, str(tmp_path)).orderBy("record").collect()
+    assert [(r.record, r.cells) for r in found] == [(r.record, r.cells) for r in want] and len(found) == 15_004
+    assert max(df.count() for df in rows) < 20
