@@ -152,9 +152,10 @@ def interchange(catalog: DataFrame, k: int = SHORTLIST) -> DataFrame:
     priced, ranged = slotted.filter("value is not null"), asked.filter("value is not null")
     rungs = first_k_of_other_codes(priced, [*slot, "value"], "type_code", by_number, k)
     near = rungs_over(priced, ranged, slot, "value", "type_code", k)
-    offers_ranged = ranged.join(near, [*slot, "value"]).join(
-        rungs.select(*slot, F.col("value").alias("neighbour"), "order_number", "type_code"), [*slot, "neighbour"]
-    )
+    # Parts of one slot differ in range only, so they are cut for each asked range, before the questions that share it multiply them.
+    parts = near.join(rungs.select(*slot, F.col("value").alias("neighbour"), "order_number", "type_code"), [*slot, "neighbour"])
+    parts = first_k_of_other_codes(parts, [*slot, "value"], "type_code", [F.asc("neighbour"), *by_number], k)
+    offers_ranged = ranged.join(parts, [*slot, "value"])
     any_range = first_k_of_other_codes(slotted, slot, "type_code", by_number, k).withColumnRenamed("value", "neighbour")
     offers_open = asked.filter("value is null").join(any_range, slot)
     gap = F.when(F.col("value").isNotNull(), (F.col("neighbour") - F.col("value")) / F.greatest(F.col("value"), F.lit(1.0)))
@@ -172,9 +173,15 @@ def interchange(catalog: DataFrame, k: int = SHORTLIST) -> DataFrame:
     short = first_k_of_other_codes(offers, signature, "candidate_code", order, k).select(
         *signature, "candidate", "candidate_code", "candidate_range", "score"
     )
-    pairs = _stated(rows, SIGNATURE).join(short, signature).filter("type_code != candidate_code")
-    ranked = top_k(pairs, ["order_number"], order, k)
-    return ranked.select("order_number", "rank", "candidate", "candidate_range", F.round("score", 6).alias("score"))
+    # The list of a question has at most k rows of k + 1 codes; a part's own come out of it where it lies, so that no task sorts parts times offers.
+    better = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(-F.col("score")).alias("_least")
+    listed = short.groupBy(*signature).agg(F.array_sort(F.collect_list(F.struct(better, "candidate", "candidate_code", "candidate_range", "score"))).alias("_offers"))
+    own = F.slice(F.filter("_offers", lambda o: o["candidate_code"] != F.col("type_code")), 1, k)
+    per_part = _stated(rows, SIGNATURE).join(listed, signature).select("order_number", own.alias("_offers"))
+    # A number that the catalog has twice is ranked once.
+    ranked = per_part.groupBy("order_number").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_offers"))), 1, k).alias("_offers"))
+    ranked = ranked.select("order_number", F.posexplode("_offers").alias("_at", "_o"))
+    return ranked.select("order_number", (F.col("_at") + 1).alias("rank"), "_o.candidate", "_o.candidate_range", F.round("_o.score", 6).alias("score"))
 
 
 def derated_solve(catalog: DataFrame, asks: DataFrame, k: int = SHORTLIST) -> DataFrame:

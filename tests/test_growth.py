@@ -5,6 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from partlens.operators import bom as B
+from partlens.operators import equivalence as E
 from partlens.operators import match as M
 from partlens.operators import solve as S
 from partlens.plans import source_queries as SQ
@@ -97,3 +98,23 @@ def test_no_line_of_a_bill_of_materials_is_a_row_of_a_step(spark, tmp_path, monk
     found = bom_files.read_boms(spark, str(tmp_path)).orderBy("record").collect()
     assert [(r.record, r.cells) for r in found] == [(r.record, r.cells) for r in want] and len(found) == 15_004
     assert max(df.count() for df in rows) < 20
+
+
+def test_stand_ins_are_ranked_without_sorting_parts_times_offers(spark):
+    rows = [(f"{i:04d}", f"code-{i % 90}", "c", float(i % 40), "PNP", ("M8", "M12")[i % 2], None) for i in range(400)]
+    # One number stands twice in the catalog, under two codes and ranges.
+    rows += [("0007", "code-91", "c", 30.0, "PNP", "M8", None)]
+    table = spark.createDataFrame(rows, "order_number string, type_code string, category string, range_max_mm double, output string, connection string, light_type string")
+    found = E.interchange(table, 3)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[1] != b[1] and b[3] >= a[3]:
+                score = 1 / (1 + (b[3] - a[3]) / max(a[3], 1.0) + (0.35 if a[5] != b[5] else 0.0))
+                want.setdefault(a[0], []).append((-score, b[0], b[3]))
+    got = {}
+    for r in found.orderBy("order_number", "rank").collect():
+        got.setdefault(r.order_number, []).append((r["rank"], r.candidate, r.candidate_range, r.score))
+    assert got == {n: [(i, c, v, round(-s, 6)) for i, (s, c, v) in enumerate(sorted(x)[:3], 1)] for n, x in want.items()}
+    # The last step, from the lists of the questions on, has no window over the parts.
+    assert "windowspecdefinition(order_number#" not in plan(found)
