@@ -22,16 +22,21 @@ from partlens.sources.trace import read_trace, write_trace
 FILES, FILE_ROWS = 6, 200_000
 
 
-def _lines(rows, order: list[str], path: str) -> str:
-    """Rows (value, and the columns to order by) as text files, more of them for more rows; the files' names follow the order."""
+def _lines(rows, order: list[str], path: str, value="value", **options) -> str:
+    """Rows as text files, more of them for more rows; the files' names follow the order.
+
+    ``value`` is made of rows that are in their place, so only the columns it reads and
+    those of the order are shuffled, not its text.  ``options`` are the writer's.
+    """
     files = max(FILES, -(-rows.count() // FILE_ROWS))
-    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    placed = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    placed.select(value).write.options(**options).text(path)
     return path
 
 
-def _json_files(spark, rows, fields: dict, *order: str) -> str:
+def _json_files(spark, rows, fields: dict, *order: str, **options) -> str:
     entry = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
-    return _lines(rows.select(entry.alias("value"), *order), [*order], f"{shared_folder(spark)}/files")
+    return _lines(rows, [*order], f"{shared_folder(spark)}/files", entry.alias("value"), **options)
 
 
 def _catalog_fields():
@@ -119,7 +124,8 @@ def _competitors(spark, sf):
         "outputs": F.when(n > 3, F.array(F.struct(F.lit("PNP").alias("type"), F.lit("x").alias("detail")))), "housing_material": F.when(flag == "N", "").otherwise("metal"),
         "features": F.when(n == 1, F.array(F.lit("a"), F.lit("b"))),
     }
-    return catalog.read_competitors(spark, _json_files(spark, T.read(spark, sf, "lineitem"), fields, *LINE_ORDER))
+    # As text the records are many times the table; a compressed file is read in one piece, of some FILE_ROWS records.
+    return catalog.read_competitors(spark, _json_files(spark, T.read(spark, sf, "lineitem"), fields, *LINE_ORDER, compression="gzip"))
 
 
 @query("WITH " + COMPETITOR_SQL + """ SELECT ord, concat('M', l_partkey) AS model, l_returnflag AS modes, CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS outputs, CASE WHEN l_linenumber = 1 THEN 2 ELSE 0 END AS features,

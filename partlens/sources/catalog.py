@@ -82,7 +82,8 @@ def read_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
 
     A row's place inside its split comes from row ids that grow by one; the lines
     before the split are a sum over one row per split.  So any split of the files
-    gives the same numbers.  ``sep`` cuts lines there only.
+    gives the same numbers.  The sums go to every task, one row for each split that the
+    driver plans, and no line is shuffled.  ``sep`` cuts lines there only.
     """
     reader = spark.read if sep is None else spark.read.option("lineSep", sep)
     rows = reader.text(path).select(
@@ -96,9 +97,17 @@ def read_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFr
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    starts = blocks.select("file", "block", "first_id", zero(F.sum("lines").over(before)).alias("before"), zero(F.sum("lines").over(inside)).alias("above"))
-    numbered = rows.join(starts, ["file", "block"])
+    starts = blocks.select("file", "block", "first_id", "lines", zero(F.sum("lines").over(before)).alias("before"), zero(F.sum("lines").over(inside)).alias("above"))
+    return _placed(rows, starts)
+
+
+def _placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` (file, block, id, value) numbered by ``starts``, one row for each split; a split that was not counted fails the read."""
+    numbered = rows.join(F.broadcast(starts), ["file", "block"], "left")
     place = F.col("id") - F.col("first_id")
+    # Lines are counted first and read afterwards; should the cores, and so the splits, change between, no line is lost or misplaced in silence.
+    counted = F.when(place.between(0, F.col("lines") - 1), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("splits changed while reading "), "file")).cast("boolean"))
+    numbered = numbered.where(counted)
     # A mark of the encoding stands before the first line of a file.
     value = F.when((F.col("above") == 0) & (place == 0), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
     return numbered.select("file", (F.col("above") + place + 1).alias("line"), (F.col("before") + place).alias("ord"), value.alias("value"))
@@ -168,7 +177,8 @@ def read_competitors(spark: SparkSession, path: str) -> DataFrame:
     ``ord`` keeps file order for ranking ties.
     """
     lines = read_lines(spark, path).filter(F.trim("value") != "")
-    raw = lines.select(F.from_json("value", COMPETITOR).alias("r"), "ord").select("r.*", "ord")
+    # Out of an array: filters on the fields are not pushed below it, where each would parse the line again.
+    raw = lines.select(F.explode(F.array(F.from_json("value", COMPETITOR))).alias("r"), "ord").select("r.*", "ord")
 
     def keep(array: str, key: str) -> Column:
         kept = F.filter(array, lambda e: F.trim(e[key]) != "")

@@ -1,7 +1,10 @@
 """Steps whose memory and time must not grow faster than the input, read off their plans and counts."""
 
 import glob
+import gzip
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from partlens.operators import bom as B
@@ -10,11 +13,21 @@ from partlens.operators import match as M
 from partlens.operators import solve as S
 from partlens.plans import source_queries as SQ
 from partlens.plans import tables as T
-from partlens.sources import bom_files
+from partlens.sources import bom_files, catalog
 from partlens.sources.bom_files import split_boms, split_records
 from partlens.streaming import bom as stream
 
 
+@pytest.fixture
+def no_small_sides(spark):
+    """No side of a join is taken as small by its size."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
 def plan(df):
     """The plan as it was executed."""
     df.collect()
@@ -118,3 +131,37 @@ def test_stand_ins_are_ranked_without_sorting_parts_times_offers(spark):
     assert got == {n: [(i, c, v, round(-s, 6)) for i, (s, c, v) in enumerate(sorted(x)[:3], 1)] for n, x in want.items()}
     # The last step, from the lists of the questions on, has no window over the parts.
     assert "windowspecdefinition(order_number#" not in plan(found)
+
+
+def test_lines_are_numbered_without_a_shuffle_of_lines(spark, tmp_path, no_small_sides):
+    (tmp_path / "a.jsonl").write_text("\ufeffa1\na2\n")
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as file:
+        file.write("\ufeffb1\n\nb3\n")
+    (tmp_path / "c.jsonl").write_text("c1")
+    lines = catalog.read_lines(spark, str(tmp_path))
+    assert "SortMergeJoin" not in plan(lines)
+    assert [(r.ord, r.line, r.value) for r in lines.orderBy("ord").collect()] == [(0, 1, "a1"), (1, 2, "a2"), (2, 1, "b1"), (3, 2, ""), (4, 3, "b3"), (5, 1, "c1")]
+
+
+@pytest.mark.parametrize("starts", [[("f", 0, 0, 1)], [("f", 0, 1, 2)], [("f", 64, 0, 2)], []])
+def test_lines_of_splits_that_were_not_counted_fail_the_read(spark, starts):
+    rows = spark.createDataFrame([("f", 0, 0, "a"), ("f", 0, 1, "b")], "file string, block long, id long, value string")
+    counted = [(*s, 0, 0) for s in starts]
+    with pytest.raises(Exception, match="splits changed while reading f"):
+        catalog._placed(rows, spark.createDataFrame(counted, "file string, block long, first_id long, lines long, before long, above long")).collect()
+
+
+def test_records_of_competitors_take_less_disk_than_their_table(spark, tmp_path, monkeypatch):
+    sf, dealt = "/root/testdata/sf0.01", []
+    frame = type(spark.range(0))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: dealt.extend(self.columns) or deal(self, *a))
+    monkeypatch.setattr(SQ, "shared_folder", lambda spark: str(tmp_path))
+    rows = SQ.read_competitors(spark, sf)
+    # The text of a record is neither shuffled nor written at its full length, and is parsed once.
+    assert "l_orderkey" in dealt and "value" not in dealt
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/files/part-*")) < os.path.getsize(f"{sf}/lineitem.parquet")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    lines = catalog.read_lines(spark, f"{tmp_path}/files")
+    table = T.read(spark, sf, "lineitem")
+    assert lines.count() == table.count() == lines.agg(F.max("ord")).first()[0] + 1 and rows.count() == table.filter("l_partkey % 7 <> 0").count()
